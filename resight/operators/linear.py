@@ -33,7 +33,8 @@ def _moments(df: DataFrame, y: str, x: str, by: Sequence[str]) -> DataFrame:
 def line_statistics(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
     """Least-squares line per group with standard errors, t, F and R-squared, without tail areas."""
     n, sxx, syy, sxy = (F.col(c) for c in ("n", "sxx", "syy", "sxy"))
-    rss = F.greatest(F.lit(0.0), syy - F.try_divide(sxy * sxy, sxx))
+    left = syy - F.try_divide(sxy * sxy, sxx)
+    rss = F.when(left < 0, F.lit(0.0)).otherwise(left)
     df_error = (n - 2).cast("double")
     mse = F.when(df_error > 0, F.col("rss") / F.col("df"))
     return (
@@ -346,7 +347,8 @@ def shapiro_statistic(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
         )
     )
     joined = null_safe_join(groups, sums, keys, "left").withColumns({"a1": a1, "a2": a2})
-    w = F.least(F.lit(1.0), F.try_divide(weighted * weighted, F.col("sst")))
+    ratio = F.try_divide(weighted * weighted, F.col("sst"))
+    w = F.when(ratio > 1, F.lit(1.0)).otherwise(ratio)
     return joined.select(*by, F.col("n_all").alias("n"), w.alias("w"))
 
 

@@ -159,7 +159,8 @@ def dunn(
     )
     return (
         out.withColumn("p", tails.columns()["normal"](F.col("z")))
-        .withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p") * F.col("__m")))
+        .withColumn("p_adjusted", F.col("p") * F.col("__m"))
+        .withColumn("p_adjusted", F.when(F.col("p_adjusted") > 1, 1.0).otherwise(F.col("p_adjusted")))
         .withColumn("significant", F.col("p_adjusted") < alpha)
         .drop("__m")
     )

@@ -122,14 +122,14 @@ def _interval(spark, d):
     return growth.interval_growth(t.measured(spark, d))
 
 
-@query("q_interval_growth", 2)
+@query("q_interval_growth", 4)
 def _(spark, d):
     return _interval(spark, d).select(
         "id", "event_id", "dt", "prev_dt", "days_elapsed", "growth", "growth_rate", "years_since_first"
     )
 
 
-@query("q_interval_growth_unfiltered", 2)
+@query("q_interval_growth_unfiltered", 4)
 def _(spark, d):
     """As the earliest analysis does it: without season filter or cohort."""
     return growth.interval_growth(t.nests(spark, d)).select(
@@ -236,12 +236,12 @@ def _(spark, d):
     return _clutches(spark, d)
 
 
-@query("q_clutch_with_size")
+@query("q_clutch_with_size", 8)
 def _(spark, d):
     return _sized(spark, d)
 
 
-@query("q_clutch_interval")
+@query("q_clutch_interval", 8)
 def _(spark, d):
     return _returned(spark, d).select("id", "event_id", "year", "prev_year", "return_interval", "size")
 
@@ -472,7 +472,7 @@ def _(spark, d):
     return linear.fit_line(rows, "hatch", "size", ["quarter"])
 
 
-@query("q_ols_diagnostics")
+@query("q_ols_diagnostics", 8)
 def _(spark, d):
     return linear.diagnostics(_sized(spark, d), "hatch", "size").drop(
         "unhatched", "eggs", "dt", "month", "day", "year"
@@ -623,7 +623,7 @@ def _(spark, d):
     return linear.band(_sized(spark, d), "hatch", "size")
 
 
-@query("q_scatter")
+@query("q_scatter", 8)
 def _(spark, d):
     return chart.scatter(_first_sizes(spark, d), "season", "size")
 

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resight.operators.reuse import cached
+
 SINGULAR = 1e-4
 
 
@@ -103,34 +105,35 @@ def fit_random_intercept(df: DataFrame, y: str, x: str, group: str = "id") -> Mi
     rows = _complete(df, y, x, group).select(
         group, F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")
     )
-    mean = rows.agg(F.avg("x").alias("x"), F.avg("y").alias("y")).first()
-    if mean["x"] is None:
-        raise ValueError("no complete rows")
-    rows = rows.withColumns({"x": F.col("x") - mean["x"], "y": F.col("y") - mean["y"]})
-    x_, y_ = F.col("x"), F.col("y")
-    per_group = rows.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(x_).alias("sx"),
-        F.sum(y_).alias("sy"),
-        F.sum(x_ * x_).alias("xx"),
-        F.sum(x_ * y_).alias("xy"),
-        F.sum(y_ * y_).alias("yy"),
-    )
-    sx, sy = F.col("sx"), F.col("sy")
-    sizes = (
-        per_group.groupBy("n")
-        .agg(
-            F.count(F.lit(1)).alias("groups"),
-            F.sum(sx).alias("x"),
-            F.sum(sy).alias("y"),
-            *[F.sum(c).alias(c) for c in ("xx", "xy", "yy")],
-            F.sum(sx * sx).alias("sx_sx"),
-            F.sum(sx * sy).alias("sx_sy"),
-            F.sum(sy * sy).alias("sy_sy"),
+    with cached(rows):
+        mean = rows.agg(F.avg("x").alias("x"), F.avg("y").alias("y")).first()
+        if mean["x"] is None:
+            raise ValueError("no complete rows")
+        centred = rows.withColumns({"x": F.col("x") - mean["x"], "y": F.col("y") - mean["y"]})
+        x_, y_ = F.col("x"), F.col("y")
+        per_group = centred.groupBy(group).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(x_).alias("sx"),
+            F.sum(y_).alias("sy"),
+            F.sum(x_ * x_).alias("xx"),
+            F.sum(x_ * y_).alias("xy"),
+            F.sum(y_ * y_).alias("yy"),
+        )
+        sx, sy = F.col("sx"), F.col("sy")
+        sizes = (
+            per_group.groupBy("n")
+            .agg(
+                F.count(F.lit(1)).alias("groups"),
+                F.sum(sx).alias("x"),
+                F.sum(sy).alias("y"),
+                *[F.sum(c).alias(c) for c in ("xx", "xy", "yy")],
+                F.sum(sx * sx).alias("sx_sx"),
+                F.sum(sx * sy).alias("sx_sy"),
+                F.sum(sy * sy).alias("sy_sy"),
+            )
+            .orderBy("n")
+            .collect()
         )
-        .orderBy("n")
-        .collect()
-    )
     t = {c: np.array([float(r[c]) for r in sizes]) for c in sizes[0].asDict()}
     grid = np.concatenate([[0.0], np.geomspace(1e-3, 1e3, 121)])
     scores = [_evaluate(v, t)[0] for v in grid]

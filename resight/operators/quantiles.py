@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from resight.operators.reuse import cached
 from resight.operators.skew import bounded, null_safe_join
 
 ACCURACY = 50_000
@@ -34,38 +35,40 @@ def summarise(
     value: str,
     by: Sequence[str] = (),
     probs: dict[str, float] | None = None,
-    extra: dict[str, Column] | None = None,
+    cache: bool = False,
 ) -> DataFrame:
     """Per group: ``n`` (all rows), ``n_valid``, ``mean``, ``sd``, ``min``, ``max`` and exact quantiles.
 
     Quantiles interpolate linearly between order statistics; the default is ``{"median": 0.5}``.
-    ``extra`` adds further aggregates to the first pass.
+    ``cache`` keeps keys and value between the two passes and runs both at once: right for an input
+    that joins or windows behind it have already reduced, wasteful for a plain scan.
     """
-    probs = {"median": 0.5} if probs is None else probs
-    extra = extra or {}
-    keys = list(by) or [ALL]
-    rows = df if by else df.withColumn(ALL, F.lit(0))
-    v = F.col(value).cast("double")
+    rows = df.select(*by, F.col(value).cast("double").alias("__v"))
+    with cached(rows, cache):
+        result = _summarise(rows, list(by), {"median": 0.5} if probs is None else probs)
+        return bounded(result) if cache else result
+
+
+def _summarise(rows: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
+    keys = by or [ALL]
+    rows = rows if by else rows.withColumn(ALL, F.lit(0))
+    v = F.col("__v")
     qs = list(probs.values())
-    first = rows.groupBy(*keys).agg(
+    first = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(v).alias("n_valid"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("sd"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
-        *[c.alias(k) for k, c in extra.items()],
         F.percentile_approx(v, _brackets(qs), ACCURACY).alias("__q"),
     )
-    if not by:
-        row = first.first()
-        known = {c: F.lit(row[c]).cast(first.schema[c].dataType) for c in first.columns}
-    else:
+    if by:
         first = bounded(first)
         known = {c: F.col(c) for c in first.columns}
-    if not qs:
-        return first.drop("__q") if by else first.drop("__q", ALL)
-
+    else:
+        row = first.first()
+        known = {c: F.lit(row[c]).cast(first.schema[c].dataType) for c in first.columns}
     edges = {
         f"__{i}{tag}": F.when(known["n_valid"] <= SMALL_GROUP, known[bound]).otherwise(
             known["__q"][2 * i + side]
@@ -73,7 +76,7 @@ def summarise(
         for i in range(len(qs))
         for side, tag, bound in ((0, "lo", "min"), (1, "hi", "max"))
     }
-    values = rows.where(v.isNotNull()).select(*keys, v.alias("__v"))
+    values = rows.where(v.isNotNull())
     if by:
         lookup = first.select(*keys, *[c.alias(k) for k, c in edges.items()])
         placed = null_safe_join(values, lookup, keys)
@@ -121,7 +124,3 @@ def summarise(
         *[c.alias(k) for k, c in known.items() if k not in ("__q", ALL)], F.lit(0).alias(ALL)
     )
     return null_safe_join(single, result, [ALL], "left").drop(ALL)
-
-
-def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    return summarise(df, value, by, probs).select(*by, *probs)

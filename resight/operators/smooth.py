@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resight.operators.quantiles import summarise
+from resight.operators.reuse import cached
+from resight.operators.skew import LOCAL_ROWS
 
 
 @dataclass(frozen=True)
@@ -58,17 +60,16 @@ class Basis:
 def make_basis(df: DataFrame, x: str, k: int = 5) -> Basis:
     """Knots at even quantiles of the distinct values; fewer knots when there are fewer values."""
     distinct = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias(x)).distinct()
-    probs = {f"q{i}": i / (k - 1) for i in range(k)}
-    row = summarise(distinct, x, probs=probs).first()
-    if row["n_valid"] < 2:
+    few = [r[x] for r in distinct.take(LOCAL_ROWS + 1)]
+    if len(few) < 2:
         raise ValueError(f"{x} needs at least two distinct values")
-    low, high = row["min"], row["max"]
-    if row["n_valid"] < k:
-        m = row["n_valid"]
-        row = summarise(distinct, x, probs={f"q{i}": i / (m - 1) for i in range(m)}).first()
-        k = m
-    at = [(row[f"q{i}"] - low) / (high - low) for i in range(k)]
-    return Basis(x, low, high, tuple(at))
+    if len(few) <= LOCAL_ROWS:
+        at = np.quantile(few, np.linspace(0, 1, min(k, len(few))))
+    else:
+        row = summarise(distinct, x, probs={f"q{i}": i / (k - 1) for i in range(k)}).first()
+        at = np.array([row[f"q{i}"] for i in range(k)])
+    low, high = float(at[0]), float(at[-1])
+    return Basis(x, low, high, tuple(float(v) for v in (at - low) / (high - low)))
 
 
 @dataclass(frozen=True)
@@ -172,28 +173,39 @@ def _reml(logs, gram, zy, yy, n, penalties, ranks, null_dim):
 
 def fit_smooths(df: DataFrame, y: str, xs: Sequence[str], k: int = 5) -> SmoothFit:
     """Fit ``y`` on the sum of smooths of ``xs`` over complete rows."""
-    rows = _complete(df, y, xs)
-    bases = tuple(make_basis(rows, x, k) for x in xs)
-    columns = [c for b in bases for c in b.columns(F.col(b.name))]
-    names = [f"z{i}" for i in range(len(columns))] + ["y"]
-    design = rows.select(
-        *[c.alias(f"z{i}") for i, c in enumerate(columns)], F.col(y).cast("double").alias("y")
-    )
-    stats = design.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"mean_{c}") for c in names],
-        *[
-            F.covar_pop(a, b).alias(f"{a}_{b}")
-            for i, a in enumerate(names)
-            for b in names[i:]
-        ],
-    ).first()
-    n = stats["n"]
-    size = len(names)
-    cross = np.zeros((size, size))
-    for i, a in enumerate(names):
-        for j in range(i, size):
-            cross[i, j] = cross[j, i] = n * stats[f"{a}_{names[j]}"]
+    with cached(_complete(df, y, xs).select(y, *xs)) as rows:
+        bases = tuple(make_basis(rows, x, k) for x in xs)
+        n, means, cross = _moments(rows, y, bases)
+    return _fit_moments(y, bases, n, means, cross)
+
+
+def fit_each(df: DataFrame, y: str, xs: Sequence[str], k: int = 5) -> list[SmoothFit]:
+    """One single-smooth fit per predictor, all on the rows complete in every predictor."""
+    with cached(_complete(df, y, xs).select(y, *xs)) as rows:
+        out = []
+        for x in xs:
+            bases = (make_basis(rows, x, k),)
+            out.append(_fit_moments(y, bases, *_moments(rows, y, bases)))
+    return out
+
+
+def _moments(rows: DataFrame, y: str, bases: tuple[Basis, ...]):
+    """Row count, column means, and sums of centred squares and products of basis columns and y."""
+    columns = [c for b in bases for c in b.columns(F.col(b.name))] + [F.col(y).cast("double")]
+    names = [f"z{i}" for i in range(len(columns))]
+    design = rows.select(*[c.alias(n) for n, c in zip(names, columns)])
+    centre = design.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in names]).first()
+    means = [centre[c] for c in names]
+    centred = design.select(*[(F.col(c) - m).alias(c) for c, m in zip(names, means)])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = centred.agg(*[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).first()
+    cross = np.zeros((len(names), len(names)))
+    for (i, j), value in zip(pairs, sums):
+        cross[i, j] = cross[j, i] = value
+    return centre["n"], means, cross
+
+
+def _fit_moments(y: str, bases: tuple[Basis, ...], n: int, means: list[float], cross) -> SmoothFit:
     gram, zy, yy = cross[:-1, :-1], cross[:-1, -1], cross[-1, -1]
 
     penalties, ranks, parts, start = [], [], [], 0
@@ -214,9 +226,9 @@ def fit_smooths(df: DataFrame, y: str, xs: Sequence[str], k: int = 5) -> SmoothF
         return _reml(logs, gram, zy, yy, n, penalties, ranks, null_dim)[0]
 
     logs = np.zeros(len(bases))
-    coarse = np.linspace(-16, 16, 33)
-    for sweep in range(60):
-        before = logs.copy()
+    golden = (math.sqrt(5) - 1) / 2
+    previous = math.inf
+    for sweep in range(40):
         for j in range(len(bases)):
             if ranks[j] == 0:
                 continue
@@ -226,19 +238,21 @@ def fit_smooths(df: DataFrame, y: str, xs: Sequence[str], k: int = 5) -> SmoothF
                 trial[j] = v
                 return score(trial)
 
-            values = [along(v) for v in coarse]
-            best = int(np.argmin(values))
-            low, high = coarse[max(best - 1, 0)], coarse[min(best + 1, len(coarse) - 1)]
-            golden = (math.sqrt(5) - 1) / 2
-            for _ in range(60):
+            near = np.linspace(-16, 16, 33) if sweep == 0 else logs[j] + np.array([-2.0, 0.0, 2.0])
+            near = np.clip(near, -16, 16)
+            best = int(np.argmin([along(v) for v in near]))
+            low, high = near[max(best - 1, 0)], near[min(best + 1, len(near) - 1)]
+            while high - low > 1e-7:
                 a, b = high - golden * (high - low), low + golden * (high - low)
                 if along(a) <= along(b):
                     high = b
                 else:
                     low = a
             logs[j] = (low + high) / 2
-        if np.abs(logs - before).max() < 1e-7:
+        current = score(logs)
+        if previous - current < 1e-10 * (1 + abs(current)):
             break
+        previous = current
     criterion, gamma, a = _reml(logs, gram, zy, yy, n, penalties, ranks, null_dim)
     inverse = np.linalg.inv(a)
     influence = inverse @ gram
@@ -246,7 +260,7 @@ def fit_smooths(df: DataFrame, y: str, xs: Sequence[str], k: int = 5) -> SmoothF
     rss = float(yy - 2 * gamma @ zy + gamma @ gram @ gamma)
     scale = rss / (n - 1 - sum(edf))
     return SmoothFit(
-        y, bases, n, stats["mean_y"], tuple(stats[f"mean_{c}"] for c in names[:-1]), gamma,
+        y, bases, n, means[-1], tuple(means[:-1]), gamma,
         inverse * scale, tuple(float(math.exp(v)) for v in logs), edf, rss, float(yy), scale,
         float(criterion),
     )

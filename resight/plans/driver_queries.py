@@ -146,7 +146,7 @@ def _growth_summary(name: str, condition=None, long_only: bool = True):
         rates = growth.interval_growth(rows)
         if condition is not None:
             rates = rates.where(condition)
-        return summarise(rates, "growth_rate").drop("n_valid")
+        return summarise(rates, "growth_rate", cache=True).drop("n_valid")
 
 
 _growth_summary("q_growth_summary_all")
@@ -538,8 +538,8 @@ PREDICTORS = ("prev_size", "interval", "years_reproducing")
 @query("q_smooth", 4)
 def _(spark, d):
     rows = _smooth_rows(spark, d)
-    fits = [smooth.fit_smooths(rows, "growth_rate", [x]).summary(spark) for x in PREDICTORS]
-    return functools.reduce(DataFrame.unionByName, fits)
+    fits = smooth.fit_each(rows, "growth_rate", PREDICTORS)
+    return functools.reduce(DataFrame.unionByName, [f.summary(spark) for f in fits])
 
 
 @query("q_smooth_additive", 4)

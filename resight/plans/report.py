@@ -66,7 +66,7 @@ def growth_table(
 
 def phase_summary(rates: DataFrame, by: str, levels: Sequence[str]) -> DataFrame:
     """Summary by label with the label's ordinal and the standard error over all rows."""
-    s = summarise(rates, "growth_rate", [by])
+    s = summarise(rates, "growth_rate", [by], cache=True)
     return s.select(
         by,
         level_order(F.col(by), levels).alias("level"),

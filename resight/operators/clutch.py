@@ -17,15 +17,15 @@ BLOCK = 1_000_000
 CLUTCH_COLUMNS = ("event_id", *MEASURES, "id", "dt")
 
 
-def full_join_suffixed(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Full outer join; shared columns get ``_x``/``_y``; null keys match each other.
+def join_suffixed(left: DataFrame, right: DataFrame, key: str, how: str = "full") -> DataFrame:
+    """Join on ``key``; shared columns get ``_x``/``_y``; null keys match each other.
 
     The null-safe condition stays an equi-join, so both sides shuffle on the key.
     """
     shared = (set(left.columns) & set(right.columns)) - {key}
     a = left.withColumnsRenamed({c: f"{c}_x" for c in shared}).withColumnRenamed(key, "__a")
     b = right.withColumnsRenamed({c: f"{c}_y" for c in shared}).withColumnRenamed(key, "__b")
-    joined = a.join(b, F.col("__a").eqNullSafe(F.col("__b")), "full")
+    joined = a.join(b, F.col("__a").eqNullSafe(F.col("__b")), how)
     return joined.withColumn(key, F.coalesce("__a", "__b")).drop("__a", "__b")
 
 
@@ -33,9 +33,17 @@ def unify_clutches(excavated: DataFrame, identified: DataFrame, older: DataFrame
     """Merge excavation and identity tables, append the older table, keep complete rows.
 
     ``excavated`` and ``identified`` share ``event_id``; each of ``id`` and ``dt`` is on one of them.
-    Measures come from the excavation side.
+    Measures come from the excavation side. The merge is a full join of which only complete rows stay:
+    rows without an event, or without excavation, never do, so they are left out before the shuffle
+    and the join that remains can be split by the runtime where a key is skewed.
     """
-    merged = full_join_suffixed(excavated, identified, "event_id")
+    needs_identity = any(c not in excavated.columns for c in CLUTCH_COLUMNS)
+    merged = join_suffixed(
+        excavated.dropna("any", subset=[c for c in CLUTCH_COLUMNS if c in excavated.columns]),
+        identified.where(F.col("event_id").isNotNull()),
+        "event_id",
+        "inner" if needs_identity else "left",
+    )
     pick = [
         F.col(f"{c}_x").alias(c) if f"{c}_x" in merged.columns else F.col(c) for c in CLUTCH_COLUMNS
     ]

@@ -15,13 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from resight.operators.ranks import running_totals
 from resight.operators.reuse import cached
-from resight.operators.skew import bounded, null_safe_join
+from resight.operators.skew import bounded, collect_small, null_safe_join
 
 ACCURACY = 50_000
 SMALL_GROUP = 100_000
 # Twice the sketch error, plus two positions in the smallest group that relies on the sketch.
 MARGIN = 2 / ACCURACY + 2 / SMALL_GROUP
+WINDOW_ROWS = 5_000_000
+"""More bracketed values than this are counted up in buckets instead of one window per group."""
 
 ALL = "__all"
 
@@ -64,10 +67,16 @@ def _summarise(rows: DataFrame, by: list[str], probs: dict[str, float]) -> DataF
         F.percentile_approx(v, _brackets(qs), ACCURACY).alias("__q"),
     )
     if by:
-        first = bounded(first)
+        local = collect_small(first)
+        if local is not None:
+            first = F.broadcast(rows.sparkSession.createDataFrame(local, first.schema))
+        largest = max((r["n_valid"] for r in local or ()), default=0)
+        # Too many groups to look at: each of them may be large.
+        spread = local is None or largest * 2 * MARGIN * len(qs) > WINDOW_ROWS
         known = {c: F.col(c) for c in first.columns}
     else:
         row = first.first()
+        spread = row["n_valid"] * 2 * MARGIN * len(qs) > WINDOW_ROWS
         known = {c: F.lit(row[c]).cast(first.schema[c].dataType) for c in first.columns}
     edges = {
         f"__{i}{tag}": F.when(known["n_valid"] <= SMALL_GROUP, known[bound]).otherwise(
@@ -93,17 +102,24 @@ def _summarise(rows: DataFrame, by: list[str], probs: dict[str, float]) -> DataF
         .groupBy(*keys, "__region", "__kept")
         .agg(F.count(F.lit(1)).alias("__n"), F.max("__v").alias("__top"))
     )
-    upto = F.sum("__n").over(
-        W.partitionBy(*keys).orderBy("__top").rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    total = F.sum("__n").over(W.partitionBy(*keys))
-    ordered = counts.withColumns({"__upto": upto, "__total": total})
+    if spread:
+        ordered = running_totals(counts, "__top", "__n", keys)
+    else:
+        w = W.partitionBy(*keys).orderBy("__top")
+        ordered = counts.withColumn("upto", F.sum("__n").over(w))
+    sizes = {"n_valid": "__size"}
+    if by:
+        ordered = null_safe_join(
+            ordered, first.select(*keys, "n_valid").withColumnsRenamed(sizes), keys
+        )
+    else:
+        ordered = ordered.withColumn("__size", known["n_valid"])
     picks = []
     for i, p in enumerate(qs):
-        h = (F.col("__total") - 1) * p
+        h = (F.col("__size") - 1) * p
         for tag, position in (("a", F.floor(h) + 1), ("b", F.ceil(h) + 1)):
             hit = F.struct(F.col("__top"), F.col("__kept").isNull().alias("lost"))
-            picks.append(F.min(F.when(F.col("__upto") >= position, hit)).alias(f"__{i}{tag}"))
+            picks.append(F.min(F.when(F.col("upto") >= position, hit)).alias(f"__{i}{tag}"))
         picks.append(F.max(h - F.floor(h)).alias(f"__{i}f"))
     picked = ordered.groupBy(*keys).agg(*picks)
     out = []

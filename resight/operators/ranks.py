@@ -47,6 +47,27 @@ def bucketed(counts: DataFrame, value: str) -> DataFrame:
     ).drop("__cuts")
 
 
+def running_totals(counts: DataFrame, value: str, n: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``upto``, the total of ``n`` over rows of the same ``by`` key with a value not above this one."""
+    by = list(by)
+    counts = bucketed(counts, value)
+    # The range frame takes in all rows that share the value.
+    inside = W.partitionBy(*by, "__bucket").orderBy(value)
+    placed = counts.withColumn(
+        "__within", F.sum(n).over(inside.rangeBetween(W.unboundedPreceding, W.currentRow))
+    )
+    totals = counts.groupBy(*by, "__bucket").agg(F.sum(n).alias("__total"))
+    before = W.partitionBy(*by).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select(
+        *by, "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before")
+    )
+    # Without keys there is one row per bucket, at most MAX_BUCKETS of them.
+    totals = totals if by else F.broadcast(totals)
+    return null_safe_join(placed, totals, [*by, "__bucket"]).withColumn(
+        "upto", F.col("__before") + F.col("__within")
+    ).drop("__before", "__within")
+
+
 def midranks(
     df: DataFrame, value: str, by: Sequence[str] = (), group: str | None = None
 ) -> DataFrame:
@@ -60,30 +81,19 @@ def midranks(
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = bucketed(counts, value)
-    inside = W.partitionBy(*by, "__bucket")
-    # The range frame takes in all groups that share the value.
-    upto = inside.orderBy(value).rangeBetween(W.unboundedPreceding, W.currentRow)
-    placed = counts.withColumns(
-        {
-            "__upto": F.sum("n").over(upto),
-            "ties": F.sum("n").over(W.partitionBy(*by, "__bucket", value)),
-        }
-    )
-    totals = counts.groupBy(*by, "__bucket").agg(F.sum("n").alias("__total"))
-    before = W.partitionBy(*by).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(
-        *by, "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before")
-    )
-    # Without keys there is one row per bucket, at most MAX_BUCKETS of them.
-    totals = totals if by else F.broadcast(totals)
-    last = F.col("__before") + F.col("__upto")
-    return null_safe_join(placed, totals, [*by, "__bucket"]).select(
+    placed = running_totals(counts, value, "n", by)
+    if group:
+        # Equal values are in the same bucket, whose layout this window shares.
+        same = W.partitionBy(*by, "__bucket", value)
+        placed = placed.withColumn("ties", F.sum("n").over(same))
+    else:
+        placed = placed.withColumn("ties", F.col("n"))
+    return placed.select(
         *columns,
         "n",
         "ties",
-        (last - F.col("ties") + 1).alias("first_rank"),
-        (last - (F.col("ties") - 1) / 2).alias("midrank"),
+        (F.col("upto") - F.col("ties") + 1).alias("first_rank"),
+        (F.col("upto") - (F.col("ties") - 1) / 2).alias("midrank"),
     )
 
 

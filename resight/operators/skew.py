@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -60,10 +60,16 @@ def find_hot_keys(
     )
 
 
+def collect_small(df: DataFrame, rows: int = LOCAL_ROWS) -> list[Row] | None:
+    """All rows of an aggregate that turns out small, else nothing."""
+    found = df.take(rows + 1)
+    return found if len(found) <= rows else None
+
+
 def bounded(df: DataFrame, rows: int = LOCAL_ROWS) -> DataFrame:
     """A broadcast copy of an aggregate that turns out small; the aggregate itself otherwise."""
-    found = df.take(rows + 1)
-    if len(found) > rows:
+    found = collect_small(df, rows)
+    if found is None:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
 

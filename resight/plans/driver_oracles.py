@@ -506,22 +506,20 @@ def oracles() -> dict[str, str]:
     out["q_report_longevity"] = _longevity("longevity > 0", 2)
     out["q_interval_growth"] = _with(
         ("measured",),
-        f"""SELECT id, event_id, dt, prev_dt, days_elapsed, {_r('growth', 4)} AS growth,
-        {_r('growth_rate', 4)} AS growth_rate, {_r('years_since_first', 4)} AS years_since_first
-        FROM ({_interval('measured')})""",
+        f"""SELECT id, event_id, dt, prev_dt, days_elapsed, growth, growth_rate,
+        years_since_first FROM ({_interval('measured')})""",
     )
     out["q_interval_growth_unfiltered"] = _with(
         ("nests",),
-        f"""SELECT id, event_id, days_elapsed, {_r('growth', 4)} AS growth,
-        {_r('growth_rate', 4)} AS growth_rate FROM ({_interval('nests')})""",
+        f"""SELECT id, event_id, days_elapsed, growth, growth_rate FROM ({_interval('nests')})""",
     )
     for name, where in (("all", "true"), ("pos", "growth_rate > 0"), ("realistic", "growth_rate > -1")):
         out[f"q_growth_summary_{name}"] = _with(("lasting",), _summary(_interval("lasting"), where, 3))
     out["q_season_growth"] = _with(
         ("season_growth",),
-        f"""SELECT id, season, {_r('mean_size', 4)} AS mean_size, n_meas, prev_season,
-        {_r('prev_size', 4)} AS prev_size, interval, {_r('growth', 4)} AS growth,
-        {_r('growth_rate', 4)} AS growth_rate FROM season_growth""",
+        f"""SELECT id, season, {_r('mean_size')} AS mean_size, n_meas, prev_season,
+        {_r('prev_size')} AS prev_size, interval, {_r('growth')} AS growth,
+        {_r('growth_rate')} AS growth_rate FROM season_growth""",
     )
     out["q_growth_sample_sizes"] = _with(
         ("measured",), f"SELECT id, count(*) AS n FROM ({_interval('measured')}) GROUP BY id"
@@ -550,6 +548,13 @@ def oracles() -> dict[str, str]:
         ("growth_years",),
         f"SELECT id, season, {_r('growth_rate', 4)} AS growth_rate, years_reproducing FROM growth_years",
     )
+    out["q_clutch_full_join"] = _with(
+        ("excavations",),
+        f"""SELECT coalesce(e.event_id, o_orderkey) AS event_id, unhatched, eggs AS eggs_x,
+        {_r('hatch')} AS hatch, o_totalprice AS eggs_y, o_custkey AS id
+        FROM (SELECT * FROM excavations WHERE shipped >= TIMESTAMP '{t.NEW_TABLE_FROM}') e
+        FULL JOIN orders ON e.event_id = o_orderkey""",
+    )
     clutch = "event_id, unhatched, eggs, {} AS hatch, id, dt, year, month, day"
     out["q_clutch_unify"] = _with(("clutches",), f"SELECT {clutch.format(_r('hatch'))} FROM clutches")
     out["q_clutch_with_size"] = _with(

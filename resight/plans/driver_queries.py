@@ -122,14 +122,14 @@ def _interval(spark, d):
     return growth.interval_growth(t.measured(spark, d))
 
 
-@query("q_interval_growth", 4)
+@query("q_interval_growth", None)
 def _(spark, d):
     return _interval(spark, d).select(
         "id", "event_id", "dt", "prev_dt", "days_elapsed", "growth", "growth_rate", "years_since_first"
     )
 
 
-@query("q_interval_growth_unfiltered", 4)
+@query("q_interval_growth_unfiltered", None)
 def _(spark, d):
     """As the earliest analysis does it: without season filter or cohort."""
     return growth.interval_growth(t.nests(spark, d)).select(
@@ -154,7 +154,7 @@ _growth_summary("q_growth_summary_pos", "growth_rate > 0")
 _growth_summary("q_growth_summary_realistic", "growth_rate > -1")
 
 
-@query("q_season_growth", 4)
+@query("q_season_growth")
 def _(spark, d):
     return growth.season_growth(t.measured(spark, d)).select(
         "id", "season", "mean_size", "n_meas", "prev_season", "prev_size", "interval", "growth",
@@ -231,6 +231,12 @@ def _returned(spark, d):
     return clutch.clutch_return_interval(_sized(spark, d), t.hot(spark, d))
 
 
+@query("q_clutch_full_join")
+def _(spark, d):
+    excavated, identified, _ = t.clutch_tables(spark, d)
+    return clutch.join_suffixed(excavated, identified, "event_id").drop("dt")
+
+
 @query("q_clutch_unify")
 def _(spark, d):
     return _clutches(spark, d)

@@ -202,7 +202,7 @@ def test_unify_clutches(spark):
         [("o1", 2.0, 75.0, 88.0, "t1", "6/7/10")],
         "event_id string, unhatched double, eggs double, hatch double, id string, dt string",
     )
-    merged = clutch.full_join_suffixed(excavated, identified, "event_id")
+    merged = clutch.join_suffixed(excavated, identified, "event_id")
     # Null keys match each other, so four excavations and one unmatched identity remain.
     assert merged.count() == 5
     got = rows(clutch.unify_clutches(excavated, identified, older), "event_id", "eggs", "id", "year")

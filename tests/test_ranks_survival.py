@@ -175,6 +175,7 @@ def test_exact_quantiles(spark, monkeypatch, small, cache):
         monkeypatch.setattr(quantiles, "SMALL_GROUP", 50)
         monkeypatch.setattr(quantiles, "ACCURACY", 200)
         monkeypatch.setattr(quantiles, "MARGIN", 2 / 200 + 2 / 50)
+        monkeypatch.setattr(quantiles, "WINDOW_ROWS", 100)
     rng = random.Random(2)
     data = [("big", rng.gauss(0, 1)) for _ in range(3000)] + [("big", 0.25)] * 1500
     data += [("tiny", 4.0), ("tiny", 1.0), ("one", 2.0), ("none", None), (None, 5.0)]

@@ -29,6 +29,13 @@ def join_suffixed(left: DataFrame, right: DataFrame, key: str, how: str = "full"
     return joined.withColumn(key, F.coalesce("__a", "__b")).drop("__a", "__b")
 
 
+def _with_date(df: DataFrame) -> DataFrame:
+    """Text dates parsed next to the source, so that a row is parsed once and not again after a join."""
+    if "dt" in df.columns and isinstance(df.schema["dt"].dataType, T.StringType):
+        return df.withColumn("dt", parse_mdy(F.col("dt")))
+    return df
+
+
 def unify_clutches(excavated: DataFrame, identified: DataFrame, older: DataFrame) -> DataFrame:
     """Merge excavation and identity tables, append the older table, keep complete rows.
 
@@ -37,6 +44,7 @@ def unify_clutches(excavated: DataFrame, identified: DataFrame, older: DataFrame
     rows without an event, or without excavation, never do, so they are left out before the shuffle
     and the join that remains can be split by the runtime where a key is skewed.
     """
+    excavated, identified, older = (_with_date(d) for d in (excavated, identified, older))
     needs_identity = any(c not in excavated.columns for c in CLUTCH_COLUMNS)
     merged = join_suffixed(
         excavated.dropna("any", subset=[c for c in CLUTCH_COLUMNS if c in excavated.columns]),
@@ -48,8 +56,6 @@ def unify_clutches(excavated: DataFrame, identified: DataFrame, older: DataFrame
         F.col(f"{c}_x").alias(c) if f"{c}_x" in merged.columns else F.col(c) for c in CLUTCH_COLUMNS
     ]
     rows = older.select(*CLUTCH_COLUMNS).unionByName(merged.select(*pick))
-    if isinstance(rows.schema["dt"].dataType, T.StringType):
-        rows = rows.withColumn("dt", parse_mdy(F.col("dt")))
     return rows.withColumns(
         {"year": F.year("dt"), "month": F.month("dt"), "day": F.dayofmonth("dt")}
     ).dropna("any")

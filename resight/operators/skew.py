@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 SHARE = 1 / 2000
 """A group above this share of all rows is hot; at most 1/SHARE groups can be."""
 
-FLOOR = 1_000_000
+FLOOR = 5_000_000
 """A group of fewer rows than this is never worth splitting."""
 
 LOCAL_ROWS = 10_000

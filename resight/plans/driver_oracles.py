@@ -541,12 +541,12 @@ def oracles() -> dict[str, str]:
     )
     out["q_growth_by_group_v2"] = _with(("grouped",), _by_label("grouped", "longevity_group", "level"))
     out["q_individual_growth"] = _with(
-        ("individual",), f"SELECT id, longevity_group, {_r('mean_rate', 4)} AS mean_rate FROM individual"
+        ("individual",), f"SELECT id, longevity_group, {_r('mean_rate')} AS mean_rate FROM individual"
     )
     out["q_years_reproducing"] = _with(("years",), "SELECT * FROM years")
     out["q_growth_with_years"] = _with(
         ("growth_years",),
-        f"SELECT id, season, {_r('growth_rate', 4)} AS growth_rate, years_reproducing FROM growth_years",
+        f"SELECT id, season, {_r('growth_rate')} AS growth_rate, years_reproducing FROM growth_years",
     )
     out["q_clutch_full_join"] = _with(
         ("excavations",),

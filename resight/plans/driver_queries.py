@@ -193,7 +193,7 @@ def _(spark, d):
     return report.phase_summary(rates, "longevity_group", [g[0] for g in t.GROUPS])
 
 
-@query("q_individual_growth", 4)
+@query("q_individual_growth")
 def _(spark, d):
     return growth.individual_growth(_grouped_growth(spark, d))
 
@@ -203,7 +203,7 @@ def _(spark, d):
     return growth.years_reproducing(t.measured(spark, d))
 
 
-@query("q_growth_with_years", 4)
+@query("q_growth_with_years")
 def _(spark, d):
     return _growth_with_years(spark, d).select("id", "season", "growth_rate", "years_reproducing")
 

@@ -66,6 +66,8 @@ def excavations(spark: SparkSession, folder: str) -> DataFrame:
     """One clutch per order with lines; the last ship date tells the newer table from the older."""
     return (
         table(spark, folder, "lineitem")
+        # Stated here so that every use of this table has the same plan and shares one exchange.
+        .where(F.col("l_orderkey").isNotNull())
         .groupBy(F.col("l_orderkey").alias("event_id"))
         .agg(
             F.sum("l_quantity").alias("unhatched"),

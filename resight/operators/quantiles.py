@@ -1,10 +1,11 @@
 """Exact medians and quartiles, and summaries built on them.
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one task's memory, which a
-continuous measure does not survive at scale. Here a quantile sketch brackets the wanted order
-statistics in one pass, and a second pass counts only the values inside the brackets; everything
-else collapses to a handful of counts before the shuffle. Whole-year measures have few distinct
-values and use the built-in function instead.
+continuous measure does not survive at scale. A first pass counts each group and sketches its
+quantiles. Where all groups prove small the built-in function does the rest. Otherwise the sketch
+brackets the wanted order statistics and a second pass counts only the values inside the brackets;
+everything else collapses to a handful of counts before the shuffle. Whole-year measures have few
+distinct values and use the built-in function directly.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ WINDOW_ROWS = 5_000_000
 """More bracketed values than this are counted up in buckets instead of one window per group."""
 
 ALL = "__all"
+MEASURES = ("n", "n_valid", "mean", "sd", "min", "max")
 
 
 def _brackets(probs: Sequence[float]) -> list[float]:
@@ -57,27 +59,33 @@ def _summarise(rows: DataFrame, by: list[str], probs: dict[str, float]) -> DataF
     rows = rows if by else rows.withColumn(ALL, F.lit(0))
     v = F.col("__v")
     qs = list(probs.values())
-    first = rows.groupBy(*by).agg(
+    measures = [
         F.count(F.lit(1)).alias("n"),
         F.count(v).alias("n_valid"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("sd"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
-        F.percentile_approx(v, _brackets(qs), ACCURACY).alias("__q"),
+    ]
+    first = rows.groupBy(*by).agg(
+        *measures, F.percentile_approx(v, _brackets(qs), ACCURACY).alias("__q")
     )
+    # Without keys there is exactly one row.
+    local = collect_small(first)
+    largest = max((r["n_valid"] for r in local or ()), default=0)
+    if local is not None and largest <= SMALL_GROUP:
+        out = rows.groupBy(*by).agg(*measures, F.percentile(v, qs).alias("__q"))
+        picked = [F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
+        return out.select(*by, *MEASURES, *picked)
+
+    # Too many groups to look at: each of them may be large.
+    spread = local is None or largest * 2 * MARGIN * len(qs) > WINDOW_ROWS
     if by:
-        local = collect_small(first)
         if local is not None:
             first = F.broadcast(rows.sparkSession.createDataFrame(local, first.schema))
-        largest = max((r["n_valid"] for r in local or ()), default=0)
-        # Too many groups to look at: each of them may be large.
-        spread = local is None or largest * 2 * MARGIN * len(qs) > WINDOW_ROWS
         known = {c: F.col(c) for c in first.columns}
     else:
-        row = first.first()
-        spread = row["n_valid"] * 2 * MARGIN * len(qs) > WINDOW_ROWS
-        known = {c: F.lit(row[c]).cast(first.schema[c].dataType) for c in first.columns}
+        known = {c: F.lit(local[0][c]).cast(first.schema[c].dataType) for c in first.columns}
     edges = {
         f"__{i}{tag}": F.when(known["n_valid"] <= SMALL_GROUP, known[bound]).otherwise(
             known["__q"][2 * i + side]

@@ -46,11 +46,10 @@ class MixedFit:
             "sigma": self.sigma,
             "tau": self.tau,
             "reml": self.criterion,
-            "n": self.rows,
-            "groups": self.groups,
             "singular": self.singular,
         }
-        return fixed.withColumns({k: F.lit(v) for k, v in extra.items()})
+        counts = {"n": F.lit(self.rows).cast("long"), "groups": F.lit(self.groups).cast("long")}
+        return fixed.withColumns({**{k: F.lit(v) for k, v in extra.items()}, **counts})
 
     def random_effects(self, df: DataFrame, y: str, x: str, group: str = "id") -> DataFrame:
         """Predicted intercept offset per individual."""

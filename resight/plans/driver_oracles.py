@@ -481,8 +481,152 @@ _BOX = """q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_co
       AND q3 + 1.5 * (q3 - q1) AS inside FROM events e JOIN q ON e.event_type = q.event_type)"""
 
 
+def _cjs(body: str) -> str:
+    """Constant-survival estimates by Newton steps on the gradient, its slope taken by differences."""
+    h = "1e-5"
+    chi = "(1 - p * phi * s)"
+    head = _with(("measured", "histories"), "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{head},
+        freq AS (SELECT ch, count(*) AS n FROM histories GROUP BY ch),
+        ends AS (SELECT min(season) AS lo, max(season) AS hi FROM measured),
+        steps AS (SELECT season, lead(season) OVER (PARTITION BY id ORDER BY season) AS next
+          FROM (SELECT DISTINCT id, season FROM measured)),
+        gaps AS (SELECT sum(next - season)::DOUBLE AS years, count(*)::DOUBLE AS n FROM steps
+          WHERE next IS NOT NULL),
+        lost AS (SELECT (hi - season)::DOUBLE AS l, count(*)::DOUBLE AS m FROM steps CROSS JOIN ends
+          WHERE next IS NULL AND season < hi GROUP BY 1),
+        newton AS (
+          SELECT 0 AS it, 0::DOUBLE AS b1, 0::DOUBLE AS b2, -1::DOUBLE AS h11, 0::DOUBLE AS h12,
+            -1::DOUBLE AS h22
+          UNION ALL
+          SELECT it + 1, b1 - greatest(-0.5, least(0.5, (g1 * k22 - g2 * k12) / (k11 * k22 - k12 * k12))),
+            b2 - greatest(-0.5, least(0.5, (g2 * k11 - g1 * k12) / (k11 * k22 - k12 * k12))), k11, k12, k22
+          FROM (SELECT it, b1, b2, max(CASE WHEN d = 0 THEN u END) AS g1,
+              max(CASE WHEN d = 0 THEN v END) AS g2,
+              (max(CASE WHEN d = 1 THEN u END) - max(CASE WHEN d = 2 THEN u END)) / (2 * {h}) AS k11,
+              (max(CASE WHEN d = 3 THEN u END) - max(CASE WHEN d = 4 THEN u END)) / (2 * {h}) AS k12,
+              (max(CASE WHEN d = 3 THEN v END) - max(CASE WHEN d = 4 THEN v END)) / (2 * {h}) AS k22
+            FROM (SELECT it, b1, b2, d,
+                phi * (1 - phi) * (max(years) / phi + sum(m * (-p * s - p * phi * ds * (1 - p)) / {chi})) AS u,
+                p * (1 - p) * (max(n) / p - (max(years) - max(n)) / (1 - p)
+                  + sum(m * (-phi * s + p * phi * phi * ds) / {chi})) AS v
+              FROM (SELECT *, (1 - pow(a, l)) / (1 - a) AS s,
+                  ((1 - pow(a, l)) - l * pow(a, l - 1) * (1 - a)) / ((1 - a) * (1 - a)) AS ds
+                FROM (SELECT *, phi * (1 - p) AS a FROM (
+                  SELECT it, b1, b2, d,
+                    1 / (1 + exp(-(b1 + CASE d WHEN 1 THEN {h} WHEN 2 THEN -{h} ELSE 0 END))) AS phi,
+                    1 / (1 + exp(-(b2 + CASE d WHEN 3 THEN {h} WHEN 4 THEN -{h} ELSE 0 END))) AS p
+                  FROM newton CROSS JOIN (VALUES (0), (1), (2), (3), (4)) points(d) WHERE it < 60)
+                ) CROSS JOIN lost CROSS JOIN gaps)
+              GROUP BY it, b1, b2, d, phi, p)
+            GROUP BY it, b1, b2)),
+        fit AS (SELECT *, 1 / (1 + exp(-b1)) AS phi, 1 / (1 + exp(-b2)) AS p,
+            sqrt(h22 / (h12 * h12 - h11 * h22)) AS s1,
+            sqrt(h11 / (h12 * h12 - h11 * h22)) AS s2
+          FROM newton WHERE it = 60),
+        parts AS (SELECT ch, n, length(ch) AS t, instr(ch, '1') AS f,
+            length(ch) - instr(reverse(ch), '1') + 1 AS l, length(replace(ch, '0', '')) - 1 AS k FROM freq),
+        cohorts AS (SELECT f, sum(n) AS r FROM parts GROUP BY f),
+        counted AS (SELECT ch, n AS observed, r * pow(phi, l - parts.f) * pow(p, k)
+            * pow(1 - p, l - parts.f - k) * (1 - p * phi * (1 - pow(phi * (1 - p), t - l))
+            / (1 - phi * (1 - p))) AS expected
+          FROM parts JOIN cohorts ON parts.f = cohorts.f CROSS JOIN fit)
+        {body}"""
+
+
+def _cjs_oracles() -> dict[str, str]:
+    def back(b: str) -> str:
+        return f"1 / (1 + exp(-({b})))"
+
+    def estimate(name: str, b: str, s: str) -> str:
+        e = back(b)
+        cols = (
+            (b, "beta"), (s, "beta_se"), (f"{b} - 1.96 * {s}", "beta_lower"),
+            (f"{b} + 1.96 * {s}", "beta_upper"), (e, "estimate"), (f"{s} * {e} * (1 - {e})", "se"),
+            (back(f"{b} - 1.96 * {s}"), "lower"), (back(f"{b} + 1.96 * {s}"), "upper"),
+        )
+        return f"SELECT '{name}' AS parameter, {', '.join(f'{_r(x)} AS {n}' for x, n in cols)} FROM fit"
+
+    stats = """SELECT histories, cohorts, ess AS effective_sample_size, round(m2, 4) AS m2_log_likelihood,
+        round(sat, 4) AS saturated, round(m2 - sat, 4) AS deviance, histories - cohorts - 2 AS df,
+        round((m2 - sat) / (histories - cohorts - 2), 4) AS c_hat, round(m2 + 4, 4) AS aic,
+        round(m2 + 4 + 12 / (ess - 3), 4) AS aicc, round(m2 + 2 * ln(ess), 4) AS bic,
+        round(pearson, 4) AS pearson
+        FROM (SELECT (SELECT count(*) FROM freq) AS histories, (SELECT count(*) FROM cohorts) AS cohorts,
+          (SELECT count(*)::DOUBLE FROM steps CROSS JOIN ends WHERE season < hi) AS ess,
+          (SELECT -2 * sum(n * ln(n / r)) FROM parts JOIN cohorts ON parts.f = cohorts.f) AS sat,
+          (SELECT sum(pow(observed - expected, 2) / expected) FROM counted) AS pearson,
+          (SELECT -2 * sum(observed * ln(expected / r)) FROM counted JOIN parts ON counted.ch = parts.ch
+            JOIN cohorts ON parts.f = cohorts.f) AS m2)"""
+    return {
+        "q_cjs": _cjs(f"{estimate('phi', 'b1', 's1')} UNION ALL {estimate('p', 'b2', 's2')}"),
+        "q_cjs_fit": _cjs(stats),
+        "q_expected_counts": _cjs(f"SELECT ch, observed, {_r('expected')} AS expected FROM counted"),
+        "q_expected_longevity_by_year": _cjs(
+            f"""SELECT CAST(unnest(generate_series(lo, hi)) AS INTEGER) AS season, {_r('phi')} AS phi,
+            {_r('1 / (1 - phi)')} AS longevity,
+            {_r(f"1 / (1 - {back('b1 - 1.96 * s1')})")} AS lower,
+            {_r(f"1 / (1 - {back('b1 + 1.96 * s1')})")} AS upper FROM fit CROSS JOIN ends"""
+        ),
+    }
+
+
+def _mixed(body: str) -> str:
+    """Random intercept by REML: golden section on the root of the variance ratio over sums per id."""
+    shrink = "(s * s / (1 + s * s * n))"
+    golden = "0.6180339887498949::DOUBLE"
+
+    def criterion(points: str, keys: str) -> str:
+        return f"""SELECT *, logs + ln(det) + (rows - 2) * (1 + ln(2 * pi() * rss / (rows - 2))) AS score
+          FROM (SELECT *, (a22 * c1 - a12 * c2) / det AS beta0, (a11 * c2 - a12 * c1) / det AS beta1,
+            yy - ((a22 * c1 - a12 * c2) * c1 + (a11 * c2 - a12 * c1) * c2) / det AS rss
+          FROM (SELECT *, a11 * a22 - a12 * a12 AS det FROM (SELECT {keys}, s, sum(n) AS rows,
+            sum(ln(1 + s * s * n)) AS logs, sum(n - {shrink} * n * n) AS a11,
+            sum(sx - {shrink} * n * sx) AS a12, sum(sxx - {shrink} * sx * sx) AS a22,
+            sum(sy - {shrink} * n * sy) AS c1, sum(sxy - {shrink} * sx * sy) AS c2,
+            sum(syy - {shrink} * sy * sy) AS yy
+          FROM ({points}) CROSS JOIN sums GROUP BY {keys}, s)))"""
+
+    points = f"""SELECT it, lo, hi, side, CASE side WHEN 0 THEN hi - {golden} * (hi - lo)
+        ELSE lo + {golden} * (hi - lo) END AS s FROM search CROSS JOIN (VALUES (0), (1)) v(side)
+        WHERE it < 100"""
+    last = "SELECT 0 AS k, 0::DOUBLE AS s UNION ALL SELECT 1, (lo + hi) / 2 FROM search WHERE it = 100"
+    head = _with(("scaled_growth",), "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{head},
+        sums AS (SELECT id, count(*)::DOUBLE AS n, sum(x)::DOUBLE AS sx, sum(y) AS sy,
+          sum(x * x)::DOUBLE AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM scaled_growth
+          WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY id),
+        search AS (SELECT 0 AS it, 0::DOUBLE AS lo, 4::DOUBLE AS hi UNION ALL
+          SELECT it + 1, CASE WHEN s0 <= s1 THEN lo ELSE hi - {golden} * (hi - lo) END,
+            CASE WHEN s0 <= s1 THEN lo + {golden} * (hi - lo) ELSE hi END
+          FROM (SELECT it, lo, hi, max(CASE WHEN side = 0 THEN score END) AS s0,
+            max(CASE WHEN side = 1 THEN score END) AS s1
+          FROM ({criterion(points, 'it, lo, hi, side')}) GROUP BY it, lo, hi)),
+        tried AS ({criterion(last, 'k')}),
+        fit AS (SELECT *, sqrt(rss / (rows - 2)) AS sigma, s * sqrt(rss / (rows - 2)) AS tau
+          FROM tried ORDER BY score, k LIMIT 1)
+        {body}"""
+
+
+def _mixed_oracles() -> dict[str, str]:
+    def term(name: str, est: str, diagonal: str) -> str:
+        se = f"sigma * sqrt({diagonal} / det)"
+        return f"""SELECT '{name}' AS term, {_r(est, 5)} AS estimate, {_r(se, 5)} AS se,
+            {_r(f'{est} / ({se})', 5)} AS t, {_r('sigma', 5)} AS sigma, {_r('tau', 5)} AS tau,
+            {_r('score', 5)} AS reml, CAST(rows AS BIGINT) AS n, (SELECT count(*) FROM sums) AS groups,
+            tau <= 1e-4 * sigma AS singular FROM fit"""
+
+    effect = "(s * s / (1 + s * s * n)) * (sy - beta0 * n - beta1 * sx)"
+    return {
+        "q_lmm": _mixed(f"{term('intercept', 'beta0', 'a22')} UNION ALL {term('slope', 'beta1', 'a11')}"),
+        "q_lmm_effects": _mixed(
+            f"SELECT id, CAST(n AS BIGINT) AS n, {_r(effect, 5)} AS effect FROM sums CROSS JOIN fit"
+        ),
+    }
+
+
 def oracles() -> dict[str, str]:
-    out: dict[str, str] = {}
+    out: dict[str, str] = {**_cjs_oracles(), **_mixed_oracles()}
     out["q_successful_nests"] = _with(("nests",), "SELECT id, event_id, dt, result, size FROM nests")
     out["q_date_parts"] = _with(
         ("sightings",),

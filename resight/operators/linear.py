@@ -47,7 +47,11 @@ def line_statistics(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> Da
         .withColumn("slope_se", F.col("sigma") / F.sqrt(sxx))
         .withColumn(
             "intercept_se",
-            F.col("sigma") * F.sqrt(1 / n + F.try_divide(F.col("mean_x") * F.col("mean_x"), sxx)),
+            F.col("sigma")
+            * F.sqrt(
+                F.try_divide(F.lit(1.0), n)
+                + F.try_divide(F.col("mean_x") * F.col("mean_x"), sxx)
+            ),
         )
         .withColumn("t_slope", F.try_divide("slope", "slope_se"))
         .withColumn("t_intercept", F.try_divide("intercept", "intercept_se"))
@@ -137,7 +141,9 @@ def band(df: DataFrame, y: str, x: str, points: int = 80, level: float = 0.95) -
     grid = fit.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     at = F.col("__ends.lo") + (F.col("__ends.hi") - F.col("__ends.lo")) * i / (points - 1)
     dx = F.col("x") - F.col("mean_x")
-    se = F.col("sigma") * F.sqrt(1 / F.col("n") + F.try_divide(dx * dx, F.col("sxx")))
+    se = F.col("sigma") * F.sqrt(
+        F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(dx * dx, F.col("sxx"))
+    )
     return (
         grid.withColumn("x", at)
         .withColumn("fit", F.col("intercept") + F.col("slope") * F.col("x"))

@@ -701,6 +701,7 @@ def oracles() -> dict[str, str]:
     )
     clutch = "event_id, unhatched, eggs, {} AS hatch, id, dt, year, month, day"
     out["q_clutch_unify"] = _with(("clutches",), f"SELECT {clutch.format(_r('hatch'))} FROM clutches")
+    out["q_export"] = out["q_clutch_unify"]
     out["q_clutch_with_size"] = _with(
         ("sized",), f"SELECT {clutch.format(_r('hatch', 8))}, {_r('size', 8)} AS size FROM sized"
     )
@@ -713,6 +714,10 @@ def oracles() -> dict[str, str]:
     freq = "SELECT ch, count(*) AS n FROM histories GROUP BY ch"
     out["q_history_freq"] = _with(("histories",), freq)
     out["q_history_lines"] = _with(("histories",), freq)
+    out["q_history_file"] = _with(("histories",), freq)
+    out["q_expected_lines"] = _cjs(
+        f"SELECT ch, CAST(observed AS DOUBLE) AS observed, {_r('expected')} AS expected FROM counted"
+    )
     out["q_history_to_span"] = _with(("span",), "SELECT * FROM span")
     out["q_m_array"] = _with(
         ("measured",),
@@ -758,6 +763,10 @@ def oracles() -> dict[str, str]:
         SELECT comparison, {_r('diff')} AS diff, {_r('se')} AS se, k, df, {_r('abs(diff) / se')} AS q FROM d"""
     out["q_ols_hatch_size"] = _with(("sized",), _ols("sized", "hatch", "size"))
     out["q_ols_hatch_interval"] = _with(("returned",), _ols("returned", "hatch", "return_interval"))
+    out["q_ols_eggs_size"] = _with(("sized",), _ols("sized", "eggs", "size", 5))
+    out["q_ols_eggs_interval"] = _with(
+        ("returned",), _ols("returned", "eggs", "return_interval", 5)
+    )
     maiden = f"(SELECT id, season, size / {t.UNIT} AS size FROM maiden_one)"
     out["q_ols_season_size"] = _with(("maiden_one",), _ols(maiden, "season", "size", 5))
     out["q_ols_growth_years"] = _with(("scaled_growth",), _ols("scaled_growth", "y", "x"))

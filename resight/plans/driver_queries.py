@@ -280,6 +280,23 @@ def _(spark, d):
     return history_text.parse_history_lines(history_text.history_lines(_frequencies(spark, d)))
 
 
+@query("q_history_file")
+def _(spark, d):
+    """Written to a text file and read back."""
+    path = _scratch(spark)
+    history_text.write_histories(_frequencies(spark, d), path)
+    return history_text.read_histories(spark, path)
+
+
+@query("q_expected_lines")
+def _(spark, d):
+    """Observed and expected counts through their text form."""
+    rows = _frequencies(spark, d)
+    counts = capture.expected_counts(rows, capture.fit_cjs(rows))
+    text = F.format_string(" %s\t %.1f\t %.6f", "ch", F.col("observed").cast("double"), "expected")
+    return history_text.parse_expected_lines(counts.select(text.alias("value")))
+
+
 @query("q_history_to_span")
 def _(spark, d):
     rows = t.measured(spark, d)
@@ -457,6 +474,16 @@ def _first_sizes(spark, d):
     return rows.select("id", "season", (F.col("size") / t.UNIT).alias("size"))
 
 
+@query("q_ols_eggs_size", 5)
+def _(spark, d):
+    return linear.fit_line(_sized(spark, d), "eggs", "size")
+
+
+@query("q_ols_eggs_interval", 5)
+def _(spark, d):
+    return linear.fit_line(_returned(spark, d), "eggs", "return_interval")
+
+
 @query("q_ols_season_size", 5)
 def _(spark, d):
     """Season on size, the way round the fit is made; the chart shows size on season."""
@@ -650,7 +677,7 @@ def _(spark, d):
 def _scratch(spark: SparkSession) -> str:
     """A new folder under the shared folder the cluster names; a local one only where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/resight"
-    return f"{base.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 SIGHTING_FILE = {
@@ -678,6 +705,14 @@ def _written_sightings(spark: SparkSession, d: str, damage: bool):
     return path
 
 
+@query("q_export")
+def _(spark, d):
+    """The merged clutch table written as parquet and read back."""
+    path = _scratch(spark)
+    io.write_table(_clutches(spark, d), path)
+    return spark.read.parquet(path)
+
+
 @query("q_csv_sightings")
 def _(spark, d):
     path = _written_sightings(spark, d, damage=False)

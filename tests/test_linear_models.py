@@ -32,6 +32,15 @@ def test_constant_predictor_has_no_slope(spark):
     assert fit.slope is None and fit.rss is None
 
 
+def test_no_complete_rows(spark):
+    df = spark.createDataFrame([(None, 2.0), (1.0, None)], "x double, y double")
+    fit = linear.fit_line(df, "y", "x").first()
+    assert (fit.n, fit.slope, fit.p_slope) == (0, None, None)
+    assert linear.diagnostics(df, "y", "x").count() == 0
+    assert {r.fit for r in linear.band(df, "y", "x").collect()} == {None}
+    assert linear.t_test(df.where("x > 5"), "x", 0).first().t is None
+
+
 def test_anova_levene_tukey_by_hand(spark):
     data = [("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 4.0), ("b", 6.0), ("b", 8.0)]
     df = spark.createDataFrame(data, "g string, x double")

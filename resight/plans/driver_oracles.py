@@ -777,13 +777,13 @@ def oracles() -> dict[str, str]:
         ),
     )
     shown = (
-        ("hatch", "hatch"), ("size", "size"), ("fitted", "fitted"), ("hatch - fitted", "residual"),
+        ("fitted", "fitted"), ("hatch - fitted", "residual"),
         ("h", "leverage"), ("s", "std_residual"), ("sqrt(abs(s))", "root_std_residual"),
         ("s * s * h / (2 * (1 - h))", "cooks_distance"),
     )
     out["q_ols_diagnostics"] = _with(
         ("sized",),
-        f"""SELECT id, event_id, {', '.join(f'{_r(e, 8)} AS {n}' for e, n in shown)}
+        f"""SELECT id, event_id, {', '.join(f'{_r(e)} AS {n}' for e, n in shown)}
         FROM (SELECT *, (hatch - fitted) / (sigma * sqrt(1 - h)) AS s FROM (
           SELECT c.*, f.sigma, f.intercept + f.slope * c.size AS fitted,
           1.0 / f.n + (c.size - f.mean_x) * (c.size - f.mean_x) / f.sxx AS h

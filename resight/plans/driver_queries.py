@@ -505,10 +505,10 @@ def _(spark, d):
     return linear.fit_line(rows, "hatch", "size", ["quarter"])
 
 
-@query("q_ols_diagnostics", 8)
+@query("q_ols_diagnostics")
 def _(spark, d):
     return linear.diagnostics(_sized(spark, d), "hatch", "size").drop(
-        "unhatched", "eggs", "dt", "month", "day", "year"
+        "unhatched", "eggs", "hatch", "size", "dt", "month", "day", "year"
     )
 
 

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import sharding
+from resight.llm import minhash, sharding
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in eight shards of nearly equal bytes."""
     placed = sharding.shard_documents(table(spark, folder, "documents"), shards=8)

@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import minhash, sharding
+from resight.llm import decontam, minhash, sharding
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The benchmark windows that every document holds."""
+    found = decontam.contaminated_words(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return minhash.near_duplicates(table(spark, folder, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import decontam, minhash, sharding
+from resight.llm import decontam, minhash, packing, sharding
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,17 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces of packed sequences of at most 1024 tokens."""
+    return packing.packed_documents(table(spark, folder, "documents"), tokenizer_path(), end=2, tokens=1024)
+
+
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return minhash.near_duplicates(table(spark, folder, "documents"))

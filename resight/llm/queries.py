@@ -7,13 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import decontam, minhash, packing, sharding
+from resight.llm import decontam, minhash, packing, quality, sharding, toxicity
+from resight.llm.labelled import held_out
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _judged(scores: DataFrame, least: float) -> DataFrame:
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """A quality score of every document."""
+    documents = table(spark, folder, "documents")
+    return _judged(quality.scored(documents, quality.fit(documents, table(spark, folder, "labels"))), 0.7)
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score of every document."""
+    documents = table(spark, folder, "documents")
+    return _judged(toxicity.scored(documents, toxicity.fit(documents, table(spark, folder, "labels"))), 0.3)
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """The benchmark windows that every document holds."""
     found = decontam.contaminated_words(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -4,11 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from resight.llm import decontam, minhash, packing, quality, toxicity
+from resight.llm.queries import table, tokenizer_path
+from resight.llm.store import kept
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+GOOD, TOXIC = 0.7, 0.3
+#: Added while a stage decides, and dropped again.
+MARK = "_stage_mark"
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labelled ones among them, does not reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model, tuple(docs.columns), MARK).where(F.col(MARK) >= GOOD).drop(MARK)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier, fitted on the labelled ones among them, does not reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model, tuple(docs.columns), MARK).where(F.col(MARK) < TOXIC).drop(MARK)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class; of rows that share its doc_id the one of the least text hash.
+
+    Rows with a null doc_id are in no class and stay.
+    """
+    stay = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    named = docs.join(stay, "doc_id", "left_semi").withColumn(MARK, F.row_number().over(first)).where(F.col(MARK) == 1).drop(MARK)
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of the benchmark."""
+    found = decontam.contaminated_words(docs, table(spark, sf_dir, "benchmark"))
+    gone = found.where("n_hit > 0").select(F.col("row").alias(MARK)).distinct()
+    return docs.withColumn(MARK, decontam.row_name(F.col("doc_id"), F.col("text"))).join(gone, MARK, "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as pieces of packed sequences."""
+    return packing.packed_documents(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
 #: The classifiers' scores cannot be written in SQL.
 ORACLE_SQL: str | None = None
@@ -16,8 +67,6 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to the documents of a folder, each result written and read again."""
-    from resight.llm.store import kept
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -31,11 +31,16 @@ def word_array(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(f"({pattern})"), 1)
 
 
+def row_name(doc_id: Column, text: Column) -> Column:
+    """Names a text under its doc_id: rows that are equal in both share the name."""
+    text = F.coalesce(text, F.lit(""))
+    parts = [F.coalesce(doc_id.cast("string"), F.lit("null")), F.xxhash64(text).cast("string"), F.length(text).cast("string")]
+    return F.xxhash64(F.concat_ws(":", *parts))
+
+
 def numbered(documents: DataFrame) -> DataFrame:
-    """doc_id, row, text and words. row names a text under its doc_id, so rows that are equal in both share it."""
-    text = F.coalesce("text", F.lit(""))
-    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(text).cast("string"), F.length(text).cast("string"))
-    return documents.select("doc_id", F.xxhash64(row).alias("row"), "text", word_array(F.col("text")).alias("words"))
+    """doc_id, row, text and words."""
+    return documents.select("doc_id", row_name(F.col("doc_id"), F.col("text")).alias("row"), "text", word_array(F.col("text")).alias("words"))
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:

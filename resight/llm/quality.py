@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from resight.llm import text as tx
 from resight.llm.labelled import labelled_texts
@@ -176,16 +177,17 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "quality", fit_ro
     return grow(x, rows["label"].to_numpy(float))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: Trees) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Trees, columns: tuple[str, ...], name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last, data, at in tx.slices(batch.column(batch.num_columns - 1)):
-            kept = [batch.column(j).slice(first, last - first) for j in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(model.scores(statistics(data, at)))], names=[*batch.schema.names[:-1], "score"])
-
+        for first, last, data, at in tx.slices(batch.column("text")):
+            carried = [batch.column(c).slice(first, last - first) for c in columns]
+            found = model.scores(statistics(data, at))
+            yield pa.RecordBatch.from_arrays([*carried, pa.array(found)], names=[*columns, name])
 
-def scored(documents: DataFrame, model: Trees, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The given columns and score, the probability of label 1, for the whole text of every row."""
-    taken = documents.select(*columns, documents["text"].alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]) + ", score double"
-    return taken.mapInArrow(lambda batches: _scored(batches, model), schema)
 
+def scored(documents: DataFrame, model: Trees, columns: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The given columns and, as `name`, the probability of label 1 for the whole text of every row."""
+    columns = tuple(columns)
+    taken = documents.select(*dict.fromkeys([*columns, "text"]))
+    schema = T.StructType([*documents.select(*columns).schema.fields, T.StructField(name, T.DoubleType())])
+    return taken.mapInArrow(lambda batches: _scored(batches, model, columns, name), schema)

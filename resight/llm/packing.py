@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,30 +33,44 @@ from resight.llm.store import kept
 TOKENS = 1024
 #: Pieces that one task packs, about.
 RUN = 6000
-#: Chunks whose ids a worker remembers, at most (some 200 MB); then it starts anew.
+#: Chunks whose ids a worker remembers, at most (some 150 MB); then it starts anew.
 REMEMBERED = 800_000
 #: A text can be cut before a single space that a word follows: pre-tokens never reach over it.
 CUT = re.compile(r"(?= \S)")
+#: A space that no word follows.
+BLANKS = re.compile(r" (?!\S)")
 
 
 class ChunkEncoder:
     """Ids of texts as little-endian 32-bit bytes. Chunks between cuts recur, so each is encoded once."""
 
     def __init__(self, path: str):
+        assert array("I").itemsize == 4 and sys.byteorder == "little"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.seen: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         # A special token that holds a space, or text that it is found in, is not cut.
         if any(t in text for t in self.whole):
             return self._plain(text)
-        chunks, seen = CUT.split(text), self.seen
+        # Every space before a word: the common case, without a regular expression. Keys leave the space out.
+        if BLANKS.search(text) is None:
+            first, *rest = text.split(" ")
+            return self._first(first) + self._joined(self.seen, rest, " ")
+        first, *rest = CUT.split(text)
+        return self._first(first) + self._joined(self.seen, [x[1:] for x in rest], " ")
+
+    def _first(self, chunk: str) -> bytes:
+        return self._joined(self.heads, [chunk], "") if chunk else b""
+
+    def _joined(self, seen: dict[str, bytes], chunks: list[str], before: str) -> bytes:
         try:
             return b"".join(map(seen.__getitem__, chunks))
         except KeyError:
@@ -62,8 +78,9 @@ class ChunkEncoder:
         if len(seen) + len(new) > REMEMBERED:
             seen.clear()
             new = list(set(chunks))
-        for c, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            seen[c] = np.array(x.ids, dtype="<u4").tobytes()
+        ids = self.tokenizer.encode_batch_fast([before + c for c in new], add_special_tokens=False)
+        for c, x in zip(new, ids, strict=True):
+            seen[c] = array("I", x.ids).tobytes()
         return b"".join(map(seen.__getitem__, chunks))
 
 

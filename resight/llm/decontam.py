@@ -19,16 +19,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from resight.llm.store import kept
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Runs of everything but ASCII signs, after lower-casing A-Z.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words once A-Z are lower-cased: ASCII signs but digits and letters.
+APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WIDTH = 10
 RAREST = 2
+#: Rows of two numbers that may be broadcast (some 40 MB); a larger set of terms is joined by shuffles.
+BROADCAST_ROWS = 500_000
 
 
-def word_array(text: Column, pattern: str = WORD) -> Column:
-    """The words of a text, A-Z lower-cased; a null text has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(f"({pattern})"), 1)
+def word_array(text: Column, apart: str = APART) -> Column:
+    """The words of a text, A-Z lower-cased; a null text has none. Splitting is far cheaper than extracting."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), apart), "")
 
 
 def row_name(doc_id: Column, text: Column) -> Column:
@@ -38,6 +42,12 @@ def row_name(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(F.concat_ws(":", *parts))
 
 
+def small_side(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written once, and marked for broadcast if its rows, now counted, are few enough."""
+    once = kept(frame, name)
+    return F.broadcast(once) if once.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else once
+
+
 def numbered(documents: DataFrame) -> DataFrame:
     """doc_id, row, text and words."""
     return documents.select("doc_id", row_name(F.col("doc_id"), F.col("text")).alias("row"), "text", word_array(F.col("text")).alias("words"))
@@ -57,7 +67,7 @@ def item_terms(items: DataFrame) -> DataFrame:
 def text_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, texts): in how many texts each of the terms stands, over all texts."""
     once = texts.select(F.explode(F.array_distinct("words")).alias("word")).select(F.xxhash64("word").alias("term"))
-    return once.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("texts"))
+    return once.join(small_side(terms.select("term").distinct(), "terms"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("texts"))
 
 
 def looked_up(items: DataFrame, counts: DataFrame, width: int = WIDTH, rarest: int = RAREST) -> DataFrame:
@@ -76,12 +86,12 @@ def looked_up(items: DataFrame, counts: DataFrame, width: int = WIDTH, rarest: i
 def positional_index(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """Postings (term, row, position) of the given terms in all texts."""
     every = texts.select("row", F.posexplode("words").alias("position", "word")).select(F.xxhash64("word").alias("term"), "row", "position")
-    return every.join(terms.select("term").distinct(), "term", "left_semi")
+    return every.join(small_side(terms.select("term").distinct(), "lookups"), "term", "left_semi")
 
 
 def candidate_diagonals(index: DataFrame, queries: DataFrame) -> DataFrame:
     """(row, item, diagonal) on which all looked-up terms of at least one window of the item meet."""
-    places = queries.select("item", "place", "term").distinct()
+    places = small_side(queries.select("item", "place", "term").distinct(), "places")
     met = index.join(places, "term").select("row", "item", (F.col("position") - F.col("place")).alias("diagonal"), "place")
     found = met.distinct().groupBy("row", "item", "diagonal").agg(F.collect_set("place").alias("places"))
     wanted = queries.groupBy("item", "start").agg(F.collect_set("place").alias("need")).groupBy("item").agg(F.collect_set("need").alias("needs"))
@@ -129,7 +139,7 @@ def contaminated_words(documents: DataFrame, benchmark: DataFrame, width: int =
     """doc_id, n_words, n_hit, item_ids (sorted as strings, nulls left out) and n_items of every row."""
     texts, items = numbered(documents), items_of(benchmark)
     terms = item_terms(items)
-    queries = looked_up(items, text_counts(texts, terms), width, rarest)
+    queries = kept(looked_up(items, text_counts(texts, terms), width, rarest), "queries")
     candidates = candidate_diagonals(positional_index(texts, queries), queries)
     matches = phrase_matches(texts, items, candidates, width)
     # Words in any match, counted once: matches in order, each from the furthest end so far.

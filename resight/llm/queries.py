@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import decontam, minhash, packing, quality, sharding, toxicity
+from resight.llm import decontam, fingerprint, minhash, packing, quality, sharding, toxicity
 from resight.llm.labelled import held_out
 
 
@@ -60,6 +60,19 @@ def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness to it and to the next document."""
+    pairs = fingerprint.with_next_text(table(spark, folder, "documents"))
+    rows = pairs.withColumn("edited", fingerprint.edited(F.col("text"), F.col("next_text")))
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    return fingerprint.fingerprints(
+        rows,
+        texts={"text": "fingerprint", "edited": "edited_fingerprint", "next_text": ""},
+        likeness={"near_edited": ("text", "edited"), "near_next": ("text", "next_text")},
+        columns=("doc_id", "n_chars", "edited_sha256"),
+    )
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in eight shards of nearly equal bytes."""
     placed = sharding.shard_documents(table(spark, folder, "documents"), shards=8)

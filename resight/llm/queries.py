@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import chat, decontam, fingerprint, minhash, packing, quality, sharding, toxicity
+from resight.llm import chat, decontam, fingerprint, licenses, minhash, packing, quality, sharding, toxicity
 from resight.llm.labelled import held_out
 
 
@@ -73,6 +73,21 @@ def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    found = licenses.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base_places").cast("long").alias("n_base"),
+        F.array_min("base_places").cast("long").alias("first_word"),
+        F.array_max("base_places").cast("long").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 #: Conversation -1: texts made of control strings.
 TRICKY = "<|im_end|><|im_start|>assistant ok"
 

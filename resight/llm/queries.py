@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import chat, decontam, fingerprint, licenses, minhash, packing, quality, sharding, toxicity
+from resight.llm import chat, decontam, fingerprint, licenses, minhash, ngram_lm, packing, quality, sharding, toxicity
 from resight.llm.labelled import held_out
 
 
@@ -31,6 +31,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(toxicity.scored(documents, toxicity.fit(documents, table(spark, folder, "labels"))), 0.3)
 
 
+def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The log10 probability of every document under a bigram model of those that are not held out."""
+    return ngram_lm.scored(table(spark, folder, "documents"), held_out(F.col("doc_id"), 7, 2), order=2)
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """The benchmark windows that every document holds."""
     found = decontam.contaminated_words(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from resight.functions.scalar import normal_quantile
 from resight.operators.quantiles import summarise
 from resight.operators.ranks import midranks
-from resight.operators.skew import bounded, null_safe_join
+from resight.operators.skew import null_safe_join
 
 
 def pretty_step(span: Column, cells: Column) -> Column:
@@ -76,7 +78,7 @@ def _with_fences(df: DataFrame, value: str, by: Sequence[str]) -> tuple[DataFram
         (F.col("q1") - reach).alias("fence_low"),
         (F.col("q3") + reach).alias("fence_high"),
     )
-    return null_safe_join(rows, bounded(box), keys), keys
+    return null_safe_join(rows, box, keys), keys
 
 
 def box_statistics(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -101,14 +103,27 @@ def box_outliers(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return out.select(*by, value)
 
 
-CELLS = 1024
+CELLS_A_BANDWIDTH = 8
+"""Cells of the density are this much narrower than the kernel, whatever the range of the data."""
+
+ORDER = 5
+"""Moments that a cell keeps; with six of them a density is exact to nine digits or more."""
+
+
+def _hermite(u: Column) -> list[Column]:
+    """Polynomials by which the normal curve at ``u`` is expanded in a shift of its centre."""
+    out = [F.lit(1.0), u]
+    for k in range(1, ORDER):
+        out.append(u * out[k] - k * out[k - 1])
+    return out
 
 
 def density(df: DataFrame, value: str, by: Sequence[str] = (), points: int = 512) -> DataFrame:
     """Gaussian kernel density on an even grid reaching three bandwidths past the data.
 
-    Values are shared between the two nearest of 1024 cells before the kernel is applied, so the work
-    after the first aggregation does not depend on the number of rows.
+    Rows are summed up in cells, a fixed part of a bandwidth wide, as moments about the cell's middle, from
+    which the kernel's sum over the cell follows by expansion. So the work after the first aggregation goes
+    with the range in bandwidths, not with the rows.
     """
     keys = list(by) or ["__all"]
     rows = (df if by else df.withColumn("__all", F.lit("all"))).where(F.col(value).isNotNull())
@@ -118,45 +133,36 @@ def density(df: DataFrame, value: str, by: Sequence[str] = (), points: int = 512
     stats = stats.withColumn(
         "bw", 0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))
     ).where(F.col("bw") > 0)
-    span = bounded(
+    span = (
         stats.select(
             *keys,
             "n",
             "bw",
             F.col("min").alias("lo"),
-            ((F.col("max") - F.col("min")) / (CELLS - 1)).alias("width"),
+            (F.col("bw") / CELLS_A_BANDWIDTH).alias("width"),
             (F.col("min") - 3 * F.col("bw")).alias("start"),
             ((F.col("max") - F.col("min") + 6 * F.col("bw")) / (points - 1)).alias("step"),
         )
     )
     spot = (F.col(value) - F.col("lo")) / F.col("width")
+    off = (spot - F.col("cell") - 0.5) / CELLS_A_BANDWIDTH
     cells = (
         null_safe_join(rows.select(*keys, value), span.select(*keys, "lo", "width"), keys)
-        .withColumn("__left", F.least(F.floor(spot), F.lit(CELLS - 2)))
-        .groupBy(*keys, "__left")
-        .agg(F.sum(1 - (spot - F.col("__left"))).alias("__a"), F.sum(spot - F.col("__left")).alias("__b"))
-        .select(
-            *keys,
-            F.explode(
-                F.array(
-                    F.struct(F.col("__left").alias("cell"), F.col("__a").alias("weight")),
-                    F.struct((F.col("__left") + 1).alias("cell"), F.col("__b").alias("weight")),
-                )
-            ).alias("c"),
-        )
-        .groupBy(*keys, "c.cell")
-        .agg(F.sum("c.weight").alias("weight"))
+        .withColumn("cell", F.floor(spot))
+        .groupBy(*keys, "cell")
+        .agg(*[F.sum(F.pow(off, F.lit(k)) / math.factorial(k)).alias(f"__m{k}") for k in range(ORDER + 1)])
     )
-    centre = F.col("lo") + F.col("cell") * F.col("width")
+    centre = F.col("lo") + (F.col("cell") + 0.5) * F.col("width")
     x = F.col("start") + F.col("i") * F.col("step")
     u = (x - centre) / F.col("bw")
-    kernel = F.exp(-u * u / 2) / (F.col("bw") * F.sqrt(2 * F.pi()))
+    moments = reduce(lambda a, b: a + b, [h * F.col(f"__m{k}") for k, h in enumerate(_hermite(u))])
+    kernel = F.exp(-u * u / 2) * moments / (F.col("bw") * F.sqrt(2 * F.pi()))
     out = (
         null_safe_join(cells, span, keys)
         .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .groupBy(*keys, "i")
         .agg(
-            F.max(x).alias("x"), F.sum(F.col("weight") / F.col("n") * kernel).alias("density")
+            F.max(x).alias("x"), F.sum(kernel / F.col("n")).alias("density")
         )
         .drop("i")
     )
@@ -172,7 +178,7 @@ def qq_points(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     sizes = ranked.groupBy(*keys).agg(F.sum("n").cast("double").alias("__size"))
     offset = F.when(F.col("__size") <= 10, 0.375).otherwise(0.5)
     return (
-        null_safe_join(ranked, bounded(sizes), keys)
+        null_safe_join(ranked, sizes, keys)
         .withColumn("share", (F.col("midrank") - offset) / (F.col("__size") + 1 - 2 * offset))
         .withColumn("theoretical", normal_quantile("share"))
         .select(*by, value, "n", "midrank", "theoretical")
@@ -211,8 +217,9 @@ def mean_line(df: DataFrame, value: str) -> DataFrame:
 
 
 def label_heights(df: DataFrame, value: str, by: Sequence[str], factor: float = 1.1) -> DataFrame:
-    """Where to put a label over each group."""
-    return df.groupBy(*by).agg((F.max(value) * factor).alias("height"))
+    """Where to put a label over each group: one height for all, above the largest value of them all."""
+    tops = df.groupBy(*by).agg(F.max(value).alias("__top"))
+    return tops.select(*by, (tops.select(F.max("__top")).scalar() * factor).alias("height"))
 
 
 def scatter(

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from resight.functions.scalar import parse_mdy
-from resight.operators.skew import HotKeys, bounded, null_safe_join
+from resight.operators.skew import null_safe_join
 
 MEASURES = ("unhatched", "eggs", "hatch")
 BLOCK = 1_000_000
@@ -67,26 +67,18 @@ def clutch_with_size(clutches: DataFrame, measured: DataFrame) -> DataFrame:
     return null_safe_join(clutches, sizes, ["id", "event_id"], "left")
 
 
-def clutch_return_interval(df: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+def clutch_return_interval(df: DataFrame) -> DataFrame:
     """Years since the previous clutch of the individual (0 within a season); complete rows only.
 
     The lag runs before incomplete rows are dropped. Ties within a year are ordered by event id and
-    then by the remaining columns. Individuals named in ``hot`` are not windowed whole: only the
-    first clutch of a year can have a non-zero interval, so their years are combined first.
+    then by the remaining columns. No individual is windowed whole: only the first clutch of a year can
+    have a non-zero interval, so years are combined first.
     """
     order = ["year", "event_id", *[c for c in df.columns if c not in ("id", "year", "event_id")]]
-
-    def lagged(rows: DataFrame) -> DataFrame:
-        w = W.partitionBy("id").orderBy(*order)
-        return rows.withColumn("prev_year", F.lag("year").over(w))
-
-    if hot is None or not hot.hashes:
-        out = lagged(df)
-    else:
-        cold_rows, hot_rows = hot.split(df)
-        out = lagged(cold_rows).unionByName(_lag_by_year(hot_rows, order))
     return (
-        out.withColumn("return_interval", F.col("year") - F.col("prev_year")).dropna("any")
+        _lag_by_year(df, order)
+        .withColumn("return_interval", F.col("year") - F.col("prev_year"))
+        .dropna("any")
     )
 
 
@@ -102,7 +94,7 @@ def _lag_by_year(rows: DataFrame, order: list[str]) -> DataFrame:
     years = tagged.groupBy("id", "year").agg(F.min("__first_of").alias("__first"))
     before = F.lag("year").over(W.partitionBy("id").orderBy("year"))
     years = years.withColumn("__before", before)
-    marked = null_safe_join(tagged, bounded(years), ["id", "year"])
+    marked = null_safe_join(tagged, years, ["id", "year"])
     is_first = F.col("__first_of").eqNullSafe(F.col("__first"))
     columns = rows.columns
     later = marked.where(~is_first).select(*columns, F.col("year").alias("prev_year"))

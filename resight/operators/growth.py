@@ -24,15 +24,15 @@ def interval_growth(df: DataFrame) -> DataFrame:
     Rows of the same day as the one before them are dropped after the lag, so the rows that remain are
     exactly the first sighting of each day against the last sighting of the day before. Days are
     therefore combined before the shuffle, and the window sees at most one row per calendar day.
-    ``event_id`` orders sightings within a day and must not be null.
+    ``event_id`` orders sightings within a day, a null one comes first.
     """
     days = (
         df.where(F.col("dt").isNotNull())
         .groupBy("id", "dt")
         .agg(
             F.min("event_id").alias("event_id"),
-            F.min_by("size", "event_id").alias("size"),
-            F.max_by("size", "event_id").alias("__last_size"),
+            F.min_by("size", F.struct("event_id")).alias("size"),
+            F.max_by("size", F.struct("event_id")).alias("__last_size"),
         )
     )
     w = W.partitionBy("id").orderBy("dt")

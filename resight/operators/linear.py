@@ -13,7 +13,7 @@ from resight.functions import tails
 from resight.functions.scalar import normal_quantile
 from resight.operators.quantiles import summarise
 from resight.operators.ranks import midranks, pairs
-from resight.operators.skew import bounded, null_safe_join
+from resight.operators.skew import null_safe_join
 
 
 def _moments(df: DataFrame, y: str, x: str, by: Sequence[str]) -> DataFrame:
@@ -77,7 +77,7 @@ def diagnostics(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFr
     wanted = ("n", "mean_x", "slope", "intercept", "sxx", "sigma")
     fit = line_statistics(df, y, x, by)
     if by:
-        packed = bounded(fit.select(*by, F.struct(*wanted).alias("__fit")))
+        packed = fit.select(*by, F.struct(*wanted).alias("__fit"))
         rows = null_safe_join(rows, packed, list(by))
     else:
         rows = rows.withColumn("__fit", fit.select(F.struct(*wanted)).scalar())
@@ -236,7 +236,7 @@ def absolute_deviations(
     """Distance of each value from the exact median of its group."""
     keys = [*by, group]
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    medians = bounded(summarise(rows, value, keys).select(*keys, F.col("median").alias("__median")))
+    medians = summarise(rows, value, keys).select(*keys, F.col("median").alias("__median"))
     return null_safe_join(rows.select(*keys, value), medians, keys).select(
         *keys, F.abs(F.col(value) - F.col("__median")).alias("deviation")
     )
@@ -283,13 +283,17 @@ def tukey(
 
 
 SHAPIRO_MIN, SHAPIRO_MAX = 3, 5000
+"""W needs three values; its p-value was published for up to 5000."""
+
+SHAPIRO_BLOCK = 10_000
+"""Positions of one value that are written out by one row."""
 
 
 def shapiro_statistic(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """W per group for 3 to 5000 values, the range the test is defined for; null W outside it.
+    """W per group of at least three values, of any size; null W below that.
 
-    Values are ranked as counts of distinct values; only groups inside the range are expanded to one
-    row per position, so an expanded group is never longer than 5000 rows.
+    Values are ranked as counts of distinct values. The positions of a value are written out in blocks
+    that are spread over the tasks, and only sums over positions are kept.
     """
     keys = list(by) or ["__all"]
     rows = (df if by else df.withColumn("__all", F.lit(0))).where(F.col(value).isNotNull())
@@ -299,17 +303,31 @@ def shapiro_statistic(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
         F.avg(value).alias("centre"),
         (F.var_pop(value) * F.count(F.lit(1))).alias("sst"),
     )
-    usable = groups.where(F.col("n_all").between(SHAPIRO_MIN, SHAPIRO_MAX))
+    usable = groups.where(F.col("n_all") >= SHAPIRO_MIN)
     ranked = midranks(rows, value, keys)
     n = F.col("n_all").cast("double")
     placed = (
-        null_safe_join(ranked, bounded(usable), keys)
+        null_safe_join(ranked, usable, keys)
         .select(
             *keys,
             "n_all",
             (F.col(value) - F.col("centre")).alias("x"),
+            (F.col("first_rank") + F.col("n") - 1).alias("__end"),
             F.explode(
-                F.sequence(F.col("first_rank"), F.col("first_rank") + F.col("n") - 1)
+                F.sequence(
+                    F.col("first_rank"),
+                    F.col("first_rank") + F.col("n") - 1,
+                    F.lit(SHAPIRO_BLOCK).cast("long"),
+                )
+            ).alias("__start"),
+        )
+        .repartition(*keys, "__start")
+        .select(
+            *keys,
+            "n_all",
+            "x",
+            F.explode(
+                F.sequence("__start", F.least(F.col("__start") + (SHAPIRO_BLOCK - 1), F.col("__end")))
             ).alias("i"),
         )
         .withColumn("share", (F.col("i") - 0.375) / (n + 0.25))
@@ -359,7 +377,11 @@ def shapiro_statistic(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
 
 
 def shapiro(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Normality test per group, W with its p-value."""
-    return shapiro_statistic(df, value, by).withColumn(
-        "p", tails.columns()["shapiro"](F.col("w"), F.col("n").cast("double"))
+    """Normality test per group, W with its p-value; ``p_published`` tells whether the approximation of p was
+    published for a group of this size."""
+    return shapiro_statistic(df, value, by).withColumns(
+        {
+            "p": tails.columns()["shapiro"](F.col("w"), F.col("n").cast("double")),
+            "p_published": F.col("n").between(SHAPIRO_MIN, SHAPIRO_MAX),
+        }
     )

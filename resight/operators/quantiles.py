@@ -1,11 +1,11 @@
 """Exact medians and quartiles, and summaries built on them.
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one task's memory, which a
-continuous measure does not survive at scale. A first pass counts each group and sketches its
-quantiles. Where all groups prove small the built-in function does the rest. Otherwise the sketch
-brackets the wanted order statistics and a second pass counts only the values inside the brackets;
-everything else collapses to a handful of counts before the shuffle. Whole-year measures have few
-distinct values and use the built-in function directly.
+continuous measure does not survive at scale. A first pass counts each group and sketches its quantiles; the
+sketch brackets the wanted order statistics, and a second pass counts only the values inside the brackets, while
+everything else collapses to a handful of counts before the shuffle. It is one lazy plan of ordinary
+aggregates and joins for groups of any number and size; the sketch is exact for small groups, whose bracket is
+their whole range. Whole-year measures have few distinct values and use the built-in function directly.
 """
 
 from __future__ import annotations
@@ -14,21 +14,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from resight.operators.ranks import running_totals
-from resight.operators.reuse import cached
-from resight.operators.skew import bounded, collect_small, null_safe_join
+from resight.operators.skew import null_safe_join
 
 ACCURACY = 50_000
-SMALL_GROUP = 100_000
+WHOLE_RANGE = 10_000
+"""Groups of fewer values than this are counted over their whole range."""
 # Twice the sketch error, plus two positions in the smallest group that relies on the sketch.
-MARGIN = 2 / ACCURACY + 2 / SMALL_GROUP
-WINDOW_ROWS = 5_000_000
-"""More bracketed values than this are counted up in buckets instead of one window per group."""
+MARGIN = 2 / ACCURACY + 2 / WHOLE_RANGE
 
 ALL = "__all"
-MEASURES = ("n", "n_valid", "mean", "sd", "min", "max")
 
 
 def _brackets(probs: Sequence[float]) -> list[float]:
@@ -36,92 +32,49 @@ def _brackets(probs: Sequence[float]) -> list[float]:
 
 
 def summarise(
-    df: DataFrame,
-    value: str,
-    by: Sequence[str] = (),
-    probs: dict[str, float] | None = None,
-    cache: bool = False,
+    df: DataFrame, value: str, by: Sequence[str] = (), probs: dict[str, float] | None = None
 ) -> DataFrame:
     """Per group: ``n`` (all rows), ``n_valid``, ``mean``, ``sd``, ``min``, ``max`` and exact quantiles.
 
-    Quantiles interpolate linearly between order statistics; the default is ``{"median": 0.5}``.
-    ``cache`` keeps keys and value between the two passes and runs both at once: right for an input
-    that joins or windows behind it have already reduced, wasteful for a plain scan.
+    Quantiles interpolate linearly between order statistics; the default is ``{"median": 0.5}``. Without
+    ``by`` there is one row, also for an empty table. If a bracket ever missed, the query fails.
     """
+    probs = {"median": 0.5} if probs is None else probs
+    keys = list(by) or [ALL]
+    qs = list(probs.values())
     rows = df.select(*by, F.col(value).cast("double").alias("__v"))
-    with cached(rows, cache):
-        result = _summarise(rows, list(by), {"median": 0.5} if probs is None else probs)
-        return bounded(result) if cache else result
-
-
-def _summarise(rows: DataFrame, by: list[str], probs: dict[str, float]) -> DataFrame:
-    keys = by or [ALL]
-    rows = rows if by else rows.withColumn(ALL, F.lit(0))
     v = F.col("__v")
-    qs = list(probs.values())
-    measures = [
+    first = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(v).alias("n_valid"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("sd"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
-    ]
-    first = rows.groupBy(*by).agg(
-        *measures, F.percentile_approx(v, _brackets(qs), ACCURACY).alias("__q")
+        F.percentile_approx(v, _brackets(qs), ACCURACY).alias("__q"),
     )
-    # Without keys there is exactly one row.
-    local = collect_small(first)
-    largest = max((r["n_valid"] for r in local or ()), default=0)
-    if local is not None and largest <= SMALL_GROUP:
-        out = rows.groupBy(*by).agg(*measures, F.percentile(v, qs).alias("__q"))
-        picked = [F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
-        return out.select(*by, *MEASURES, *picked)
-
-    # Too many groups to look at: each of them may be large.
-    spread = local is None or largest * 2 * MARGIN * len(qs) > WINDOW_ROWS
-    if by:
-        if local is not None:
-            first = F.broadcast(rows.sparkSession.createDataFrame(local, first.schema))
-        known = {c: F.col(c) for c in first.columns}
-    else:
-        known = {c: F.lit(local[0][c]).cast(first.schema[c].dataType) for c in first.columns}
-    edges = {
-        f"__{i}{tag}": F.when(known["n_valid"] <= SMALL_GROUP, known[bound]).otherwise(
-            known["__q"][2 * i + side]
-        )
+    if not by:
+        rows, first = rows.withColumn(ALL, F.lit(0)), first.withColumn(ALL, F.lit(0))
+    whole = F.col("n_valid") <= WHOLE_RANGE
+    edges = [
+        F.when(whole, F.col(bound)).otherwise(F.col("__q")[2 * i + side]).alias(f"__{i}{tag}")
         for i in range(len(qs))
         for side, tag, bound in ((0, "lo", "min"), (1, "hi", "max"))
-    }
-    values = rows.where(v.isNotNull())
-    if by:
-        lookup = first.select(*keys, *[c.alias(k) for k, c in edges.items()])
-        placed = null_safe_join(values, lookup, keys)
-    else:
-        placed = values.withColumns(edges)
+    ]
+    placed = null_safe_join(rows.where(v.isNotNull()), first.select(*keys, *edges), keys)
     inside, region = F.lit(False), F.lit(0)
     for i in range(len(qs)):
-        inside = inside | F.col("__v").between(F.col(f"__{i}lo"), F.col(f"__{i}hi"))
-        region = region + (F.col("__v") > F.col(f"__{i}hi")).cast("int")
+        inside = inside | v.between(F.col(f"__{i}lo"), F.col(f"__{i}hi"))
+        region = region + (v > F.col(f"__{i}hi")).cast("int")
     counts = (
         placed.withColumn("__in", inside)
-        .withColumn("__kept", F.when(F.col("__in"), F.col("__v")))
+        .withColumn("__kept", F.when(F.col("__in"), v))
         .withColumn("__region", F.when(F.col("__in"), F.lit(-1)).otherwise(region))
         .groupBy(*keys, "__region", "__kept")
-        .agg(F.count(F.lit(1)).alias("__n"), F.max("__v").alias("__top"))
+        .agg(F.count(F.lit(1)).alias("__n"), F.max(v).alias("__top"))
     )
-    if spread:
-        ordered = running_totals(counts, "__top", "__n", keys)
-    else:
-        w = W.partitionBy(*keys).orderBy("__top")
-        ordered = counts.withColumn("upto", F.sum("__n").over(w))
-    sizes = {"n_valid": "__size"}
-    if by:
-        ordered = null_safe_join(
-            ordered, first.select(*keys, "n_valid").withColumnsRenamed(sizes), keys
-        )
-    else:
-        ordered = ordered.withColumn("__size", known["n_valid"])
+    ordered = running_totals(counts, "__top", "__n", keys)
+    ordered = null_safe_join(ordered, first.select(*keys, F.col("n_valid").alias("__size")), keys)
     picks = []
     for i, p in enumerate(qs):
         h = (F.col("__size") - 1) * p
@@ -129,22 +82,13 @@ def _summarise(rows: DataFrame, by: list[str], probs: dict[str, float]) -> DataF
             hit = F.struct(F.col("__top"), F.col("__kept").isNull().alias("lost"))
             picks.append(F.min(F.when(F.col("upto") >= position, hit)).alias(f"__{i}{tag}"))
         picks.append(F.max(h - F.floor(h)).alias(f"__{i}f"))
-    picked = ordered.groupBy(*keys).agg(*picks)
     out = []
     for i, name in enumerate(probs):
         a, b, f = F.col(f"__{i}a"), F.col(f"__{i}b"), F.col(f"__{i}f")
+        missed = F.raise_error(F.lit("quantile bracket missed")).cast("double")
         exact = a["__top"] + f * (b["__top"] - a["__top"])
-        lost = a["lost"] | b["lost"]
-        out.append(
-            F.when(lost, F.raise_error(F.lit("quantile bracket missed")).cast("double"))
-            .otherwise(exact)
-            .alias(name)
-        )
-    result = picked.select(*keys, *out)
-    if by:
-        return null_safe_join(first.drop("__q"), result, keys, "left")
-    # A column without any value has no picked row, so the summary row leads.
-    single = rows.sparkSession.range(1).select(
-        *[c.alias(k) for k, c in known.items() if k not in ("__q", ALL)], F.lit(0).alias(ALL)
-    )
-    return null_safe_join(single, result, [ALL], "left").drop(ALL)
+        out.append(F.when(a["lost"] | b["lost"], missed).otherwise(exact).alias(name))
+    picked = ordered.groupBy(*keys).agg(*picks).select(*keys, *out)
+    # A group without any value has no picked row.
+    result = null_safe_join(first.drop("__q"), picked, keys, "left")
+    return result if by else result.drop(ALL)

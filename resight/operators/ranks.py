@@ -17,8 +17,6 @@ from pyspark.sql import Window as W
 from resight.functions import tails
 from resight.operators.skew import null_safe_join
 
-MAX_BUCKETS = 4096
-
 
 def _bucket(value: Column, cuts: Column, step: int) -> Column:
     """How many cut points are below the value, by a coarse and then a fine scan."""
@@ -34,9 +32,7 @@ def _bucket(value: Column, cuts: Column, step: int) -> Column:
 
 def bucketed(counts: DataFrame, value: str) -> DataFrame:
     """Add ``__bucket``, an ordered cut of the value's range that depends on the value alone."""
-    buckets = min(MAX_BUCKETS, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    if buckets < 2:
-        return counts.withColumn("__bucket", F.lit(0))
+    buckets = max(2, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = counts.agg(
         F.array_distinct(F.percentile_approx(value, probs, max(10_000, 4 * buckets)))
@@ -61,8 +57,6 @@ def running_totals(counts: DataFrame, value: str, n: str, by: Sequence[str] = ()
     totals = totals.select(
         *by, "__bucket", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before")
     )
-    # Without keys there is one row per bucket, at most MAX_BUCKETS of them.
-    totals = totals if by else F.broadcast(totals)
     return null_safe_join(placed, totals, [*by, "__bucket"]).withColumn(
         "upto", F.col("__before") + F.col("__within")
     ).drop("__before", "__within")
@@ -133,15 +127,16 @@ def kruskal_wallis(df: DataFrame, value: str, group: str, by: Sequence[str] = ()
 
 def pairs(groups: DataFrame, group: str, by: Sequence[str] = ()) -> DataFrame:
     """Each unordered pair of group rows as structs ``a`` and ``b``, from per-group aggregates."""
-    row = F.struct(F.col(group), *[F.col(c) for c in groups.columns if c not in (group, *by)])
-    return (
-        groups.groupBy(*by)
-        .agg(F.sort_array(F.collect_list(row)).alias("__groups"))
-        .select(*by, F.posexplode("__groups").alias("__i", "a"), "__groups")
-        .select(
-            *by, "a", F.explode(F.slice("__groups", F.col("__i") + 2, F.size("__groups"))).alias("b"), F.size("__groups").alias("k")
-        )
-    )
+    rest = [F.col(c) for c in groups.columns if c not in (group, *by)]
+    row = F.struct(F.col(group), *rest)
+    whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    a = groups.select(*by, row.alias("a"), F.count(F.lit(1)).over(whole).alias("k"))
+    b = groups.select(*by, row.alias("b"))
+    keys = list(by) or ["__all"]
+    if not by:
+        a, b = a.withColumn("__all", F.lit(0)), b.withColumn("__all", F.lit(0))
+    both = null_safe_join(a, b, keys).where(F.col(f"a.{group}") < F.col(f"b.{group}"))
+    return both if by else both.drop("__all")
 
 
 def dunn(
@@ -177,14 +172,17 @@ def dunn(
 
 
 def comparison_key(c: Column) -> Column:
-    """``a - b`` to ``a_b``, the form that labels are matched on."""
-    return F.regexp_replace(c, r"^(.*) - (.*)$", "$1_$2")
+    """The form that labels are matched on: ranges of numbers as ``1_10``, the two groups parted by a hyphen."""
+    return F.regexp_replace(F.regexp_replace(c, r"([0-9]+)-([0-9]+)", "$1_$2"), " - ", "-")
 
 
-def signed_rank(df: DataFrame, value: str, mu: float, by: Sequence[str] = ()) -> DataFrame:
+def signed_rank(
+    df: DataFrame, value: str, mu: float, by: Sequence[str] = (), exact: bool | None = None
+) -> DataFrame:
     """One-sample signed-rank test: V, z with continuity correction, p.
 
-    Exact p below 50 differences without ties or zeros, as in common practice; normal otherwise.
+    ``exact`` asks for the exact p (given where there are no ties or zeros) or the normal one; by default it
+    is exact below 50 differences without ties or zeros, as in common practice.
     """
     away = df.where(F.col(value).isNotNull()).withColumn("__d", F.col(value) - F.lit(mu))
     away = away.select(
@@ -205,9 +203,10 @@ def signed_rank(df: DataFrame, value: str, mu: float, by: Sequence[str] = ()) ->
     spread = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("__ties") / 48)
     shift = F.col("v") - m * (m + 1) / 4
     out = both.withColumn("z", F.try_divide(shift - F.signum(shift) * 0.5, spread))
-    exact = (F.col("n_used") < 50) & (F.col("__ties") == 0) & (F.col("zeros") == 0)
+    countable = (F.col("__ties") == 0) & (F.col("zeros") == 0)
+    counted = countable & {None: F.col("n_used") < 50, True: F.lit(True), False: F.lit(False)}[exact]
     p_exact = tails.columns()["signed_rank"](
-        F.when(exact, F.col("v")), F.when(exact, F.col("n_used").cast("double"))
+        F.when(counted, F.col("v")), F.when(counted, F.col("n_used").cast("double"))
     )
     p = F.coalesce(p_exact, tails.columns()["normal"](F.col("z")))
     return out.select(*by, "n", "n_used", "v", "z", p.alias("p"))

@@ -1,77 +1,16 @@
-"""Hot-key handling shared by every operator that looks at whole groups of raw rows.
+"""Joins and group values shared by every operator that looks at whole groups of raw rows.
 
-A window over raw rows puts one group into one task. That is the cheapest plan while groups are small,
-but one individual may hold a third of all rows. ``find_hot_keys`` names such groups from one bounded
-sketch pass; ``with_group_values`` then keeps the one-exchange window plan for all other groups and
-sends hot groups through a map-side combined aggregate that is joined back without moving their rows.
+One individual may hold a third of all rows, so no operator windows raw rows by individual. Group values come
+from a map-side combined aggregate that is joined back: a join on equal keys with plain exchanges on both
+sides, which adaptive execution broadcasts where the aggregate is small and splits where a key is skewed.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
-
-SHARE = 1 / 2000
-"""A group above this share of all rows is hot; at most 1/SHARE groups can be."""
-
-FLOOR = 5_000_000
-"""A group of fewer rows than this is never worth splitting."""
-
-LOCAL_ROWS = 10_000
-"""Largest aggregate that is brought to the driver and broadcast."""
-
-
-@dataclass(frozen=True)
-class HotKeys:
-    """Hashes of the hot groups of ``keys``. A hash clash only sends a cold group the safe way."""
-
-    keys: tuple[str, ...]
-    hashes: tuple[int, ...] = ()
-
-    def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        hot = F.xxhash64(*self.keys).isin(list(self.hashes))
-        return df.where(~hot), df.where(hot)
-
-
-def find_hot_keys(
-    df: DataFrame, keys: list[str], share: float = SHARE, floor: int = FLOOR
-) -> HotKeys:
-    """One pass over the key columns: a frequent-items sketch of fixed size, no shuffle of rows.
-
-    The sketch keeps ten counters per reportable key, so each group above ``share`` is found; its
-    counts are upper bounds, so a few extra groups may be named, which costs time but not truth.
-    """
-    top = min(int(1 / share), 10_000)
-    row = (
-        df.select(F.xxhash64(*keys).alias("h"))
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.expr(f"approx_top_k(h, {top}, {10 * top})").alias("top"),
-        )
-        .first()
-    )
-    limit = max(floor, share * row["rows"])
-    return HotKeys(
-        tuple(keys), tuple(x["item"] for x in row["top"] or [] if x["count"] >= limit)
-    )
-
-
-def collect_small(df: DataFrame, rows: int = LOCAL_ROWS) -> list[Row] | None:
-    """All rows of an aggregate that turns out small, else nothing."""
-    found = df.take(rows + 1)
-    return found if len(found) <= rows else None
-
-
-def bounded(df: DataFrame, rows: int = LOCAL_ROWS) -> DataFrame:
-    """A broadcast copy of an aggregate that turns out small; the aggregate itself otherwise."""
-    found = collect_small(df, rows)
-    if found is None:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(found, df.schema))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -83,17 +22,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
 
-def with_group_values(
-    df: DataFrame, keys: list[str], values: dict[str, Column], hot: HotKeys | None = None
-) -> DataFrame:
-    """Add per-group aggregates to every row. Any hot set whose keys are among ``keys`` serves."""
-
-    def windowed(rows: DataFrame) -> DataFrame:
-        w = W.partitionBy(*keys)
-        return rows.select("*", *[agg.over(w).alias(name) for name, agg in values.items()])
-
-    if hot is None or not hot.hashes:
-        return windowed(df)
-    cold_rows, hot_rows = hot.split(df)
-    table = hot_rows.groupBy(*keys).agg(*[agg.alias(name) for name, agg in values.items()])
-    return windowed(cold_rows).unionByName(null_safe_join(hot_rows, bounded(table), keys))
+def with_group_values(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Add per-group aggregates to every row."""
+    table = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in values.items()])
+    return null_safe_join(df, table, keys)

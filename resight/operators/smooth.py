@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from resight.operators.quantiles import summarise
 from resight.operators.reuse import cached
-from resight.operators.skew import LOCAL_ROWS
 
 
 @dataclass(frozen=True)
@@ -60,14 +59,12 @@ class Basis:
 def make_basis(df: DataFrame, x: str, k: int = 5) -> Basis:
     """Knots at even quantiles of the distinct values; fewer knots when there are fewer values."""
     distinct = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias(x)).distinct()
-    few = [r[x] for r in distinct.take(LOCAL_ROWS + 1)]
-    if len(few) < 2:
+    values = distinct.count()
+    if values < 2:
         raise ValueError(f"{x} needs at least two distinct values")
-    if len(few) <= LOCAL_ROWS:
-        at = np.quantile(few, np.linspace(0, 1, min(k, len(few))))
-    else:
-        row = summarise(distinct, x, probs={f"q{i}": i / (k - 1) for i in range(k)}).first()
-        at = np.array([row[f"q{i}"] for i in range(k)])
+    m = min(k, values)
+    row = summarise(distinct, x, probs={f"q{i}": i / (m - 1) for i in range(m)}).first()
+    at = np.array([row[f"q{i}"] for i in range(m)])
     low, high = float(at[0]), float(at[-1])
     return Basis(x, low, high, tuple(float(v) for v in (at - low) / (high - low)))
 

@@ -19,6 +19,9 @@ from resight.plans import driver_tables as t
 
 _OUT = ", ".join(f"'{o}'" for o in t.OUTCOMES)
 
+# Labels of comparisons: number ranges with an underscore, then the groups parted by a bare hyphen.
+_KEY = r"replace(regexp_replace(ga || ' - ' || gb, '([0-9]+)-([0-9]+)', '\1_\2', 'g'), ' - ', '-')"
+
 # Each relation names the relations it is built on.
 _CTE: dict[str, tuple[tuple[str, ...], str]] = {
     "sightings": (
@@ -370,6 +373,18 @@ def _rank_groups(source: str, value: str, group: str) -> str:
         total AS (SELECT CAST(sum(n) AS DOUBLE) AS nn, sum(tt) AS tt, count(*) AS k FROM sums)"""
 
 
+def _dunn(source: str, value: str, group: str, needs: tuple[str, ...] = ()) -> str:
+    head = _with(needs, "").rstrip() + ", " if needs else "WITH "
+    return f"""{head}{_rank_groups(source, value, group)},
+        z AS (SELECT a.g AS ga, b.g AS gb, k, (a.rs / a.n - b.rs / b.n) / sqrt((nn * (nn + 1) / 12
+          - total.tt / (12 * (nn - 1))) * (1.0 / a.n + 1.0 / b.n)) AS z
+          FROM sums a JOIN sums b ON a.g < b.g CROSS JOIN total),
+        p AS (SELECT *, {_normal_p('z')} AS p FROM z),
+        q AS (SELECT *, least(1, p * k * (k - 1) / 2) AS adj FROM p)
+        SELECT ga || ' - ' || gb AS comparison, {_r('z')} AS z, {_r('p')} AS p, {_r('adj')} AS p_adjusted,
+        adj < 0.05 AS significant, {_KEY} AS comparison_key FROM q"""
+
+
 def _kruskal(source: str, value: str, group: str, needs: tuple[str, ...] = ()) -> str:
     head = _with(needs, "").rstrip() + ", " if needs else "WITH "
     return f"""{head}{_rank_groups(source, value, group)}
@@ -429,8 +444,8 @@ def _shapiro(source: str, value: str, group: str, needs: tuple[str, ...] = ()) -
           ON s.g = c.g GROUP BY s.g),
         zed AS (SELECT *, ({y} - ({mean})) / ({sd}) AS zz FROM w)
         SELECT g AS {group}, CAST(n AS BIGINT) AS n,
-          CASE WHEN n BETWEEN 3 AND 5000 THEN {_r('w')} END AS w,
-          CASE WHEN n BETWEEN 3 AND 5000 THEN {_r(upper)} END AS p FROM zed"""
+          CASE WHEN n >= 3 THEN {_r('w')} END AS w, CASE WHEN n >= 3 THEN {_r(upper)} END AS p,
+          n BETWEEN 3 AND 5000 AS p_published FROM zed"""
 
 
 def _t_test(by: str = "") -> str:
@@ -737,14 +752,8 @@ def oracles() -> dict[str, str]:
     out["q_midrank_within_group"] = _midrank("event_type", "event_type, value")
     out["q_kruskal"] = _kruskal("events", "value", "event_type")
     out["q_kruskal_growth"] = _kruskal("individual", "mean_rate", "longevity_group", ("individual",))
-    out["q_dunn"] = f"""WITH {_rank_groups('events', 'value', 'event_type')},
-        z AS (SELECT a.g AS ga, b.g AS gb, k, (a.rs / a.n - b.rs / b.n) / sqrt((nn * (nn + 1) / 12
-          - total.tt / (12 * (nn - 1))) * (1.0 / a.n + 1.0 / b.n)) AS z
-          FROM sums a JOIN sums b ON a.g < b.g CROSS JOIN total),
-        p AS (SELECT *, {_normal_p('z')} AS p FROM z),
-        q AS (SELECT *, least(1, p * k * (k - 1) / 2) AS adj FROM p)
-        SELECT ga || ' - ' || gb AS comparison, {_r('z')} AS z, {_r('p')} AS p, {_r('adj')} AS p_adjusted,
-        adj < 0.05 AS significant, ga || '_' || gb AS comparison_key FROM q"""
+    out["q_dunn"] = _dunn("events", "value", "event_type")
+    out["q_dunn_growth"] = _dunn("individual", "mean_rate", "longevity_group", ("individual",))
     out["q_signed_rank"] = _signed_rank("events", "value", "40.0::DOUBLE")
     out["q_signed_rank_longevity"] = _signed_rank(
         "(SELECT * FROM span WHERE longevity >= 3)", "longevity", "5", ("span",)
@@ -812,17 +821,10 @@ def oracles() -> dict[str, str]:
     out["q_density"] = f"""WITH s AS (SELECT event_type, count(*) AS n, min(value) AS lo, max(value) AS hi,
           0.9 * least(stddev_samp(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34)
           * pow(count(*), -0.2) AS bw FROM events GROUP BY 1),
-        u AS (SELECT e.event_type, (value - lo) / ((hi - lo) / 1023) AS spot FROM events e
-          JOIN s ON e.event_type = s.event_type),
-        parts AS (SELECT event_type, least(floor(spot), 1022) AS cell,
-            1 - (spot - least(floor(spot), 1022)) AS weight FROM u
-          UNION ALL SELECT event_type, least(floor(spot), 1022) + 1, spot - least(floor(spot), 1022) FROM u),
-        cells AS (SELECT event_type, cell, sum(weight) AS weight FROM parts GROUP BY 1, 2),
         g AS (SELECT s.*, i, lo - 3 * bw + i * ((hi - lo + 6 * bw) / 511) AS x
           FROM s CROSS JOIN (SELECT unnest(range(0, 512)) AS i))
-        SELECT g.event_type, {_r('max(x)')} AS x, {_r('''sum(weight / n
-          * exp(-pow((x - (lo + cell * (hi - lo) / 1023)) / bw, 2) / 2) / (bw * sqrt(2 * pi())))''')} AS density
-        FROM g JOIN cells c ON g.event_type = c.event_type GROUP BY g.event_type, i"""
+        SELECT g.event_type, {_r('max(x)')} AS x, {_r("sum(exp(-pow((x - value) / bw, 2) / 2)) / (max(n) * max(bw) * sqrt(2 * pi()))")} AS density
+        FROM g JOIN events e ON g.event_type = e.event_type GROUP BY g.event_type, i"""
     out["q_qq"] = f"""SELECT value, n, {_r('midrank')} AS midrank,
         {_r(normal_quantile_sql('u'))} AS theoretical FROM (
         SELECT *, (midrank - 0.5) / (SELECT count(value) FROM events) AS u FROM (
@@ -836,8 +838,8 @@ def oracles() -> dict[str, str]:
         FROM events GROUP BY 1"""
     out["q_group_points"] = f"""SELECT event_type, {_r('avg(value)')} AS mean,
         {_r('median(value)')} AS median FROM events GROUP BY 1"""
-    out["q_label_heights"] = f"""SELECT event_type, {_r('max(value) * 1.1::DOUBLE')} AS height
-        FROM events GROUP BY 1"""
+    out["q_label_heights"] = f"""SELECT DISTINCT event_type,
+        {_r('(SELECT max(value) FROM events) * 1.1::DOUBLE')} AS height FROM events"""
     out["q_mean_line"] = _with(("maiden_one",), f"SELECT {_r('avg(size)', 4)} AS mean FROM {maiden}")
     out["q_ols_band"] = _with(
         ("sized",),
@@ -855,6 +857,12 @@ def oracles() -> dict[str, str]:
         ("sightings",),
         "SELECT id, event_id, dt, result, size, CAST(year(dt) AS INTEGER) AS season FROM sightings",
     )
+    out["q_csv_clutches"] = _with(
+        ("excavations",),
+        f"""SELECT e.event_id, unhatched, eggs, hatch, CAST(o_custkey AS VARCHAR) AS id,
+        strftime(o_orderdate, '%-m/%-d/%Y') AS dt FROM excavations e JOIN orders ON e.event_id = o_orderkey
+        WHERE shipped < TIMESTAMP '{t.NEW_TABLE_FROM}'""",
+    )
     out["q_rejects"] = """SELECT o_custkey, o_orderkey, o_orderpriority, CAST(NULL AS DOUBLE) AS o_totalprice
         FROM orders WHERE o_orderpriority = '1-URGENT'"""
     return out

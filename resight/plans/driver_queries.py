@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,13 +65,13 @@ def _(spark, d):
 
 @query("q_long_lived")
 def _(spark, d):
-    rows = clean.long_lived(t.measured(spark, d), t.LONG_LIVED, t.hot(spark, d))
+    rows = clean.long_lived(t.measured(spark, d), t.LONG_LIVED)
     return rows.select("id", "event_id", "season", "size")
 
 
 @query("q_size_at_maturity_all", 4)
 def _(spark, d):
-    first = clean.size_at_maturity(t.measured(spark, d), hot=t.hot(spark, d))
+    first = clean.size_at_maturity(t.measured(spark, d))
     return report.size_summary(t.with_width(first, spark, d))
 
 
@@ -142,11 +141,11 @@ def _growth_summary(name: str, condition=None, long_only: bool = True):
     def _(spark, d):
         rows = t.measured(spark, d)
         if long_only:
-            rows = clean.long_lived(rows, t.LONG_LIVED, t.hot(spark, d))
+            rows = clean.long_lived(rows, t.LONG_LIVED)
         rates = growth.interval_growth(rows)
         if condition is not None:
             rates = rates.where(condition)
-        return summarise(rates, "growth_rate", cache=True).drop("n_valid")
+        return summarise(rates, "growth_rate").drop("n_valid")
 
 
 _growth_summary("q_growth_summary_all")
@@ -170,7 +169,7 @@ def _(spark, d):
 @query("q_growth_by_phase", 3)
 def _(spark, d):
     return report.growth_table(
-        t.measured(spark, d), t.LONG_LIVED, None, t.PHASES, t.hot(spark, d)
+        t.measured(spark, d), t.LONG_LIVED, None, t.PHASES
     )
 
 
@@ -228,7 +227,7 @@ def _sized(spark, d):
 
 
 def _returned(spark, d):
-    return clutch.clutch_return_interval(_sized(spark, d), t.hot(spark, d))
+    return clutch.clutch_return_interval(_sized(spark, d))
 
 
 @query("q_clutch_full_join")
@@ -282,10 +281,8 @@ def _(spark, d):
 
 @query("q_history_file")
 def _(spark, d):
-    """Written to a text file and read back."""
-    path = _scratch(spark)
-    history_text.write_histories(_frequencies(spark, d), path)
-    return history_text.read_histories(spark, path)
+    """As the lines of a text file, read back."""
+    return history_text.parse_history_lines(history_text.history_lines(_frequencies(spark, d)))
 
 
 @query("q_expected_lines")
@@ -674,12 +671,6 @@ def _(spark, d):
     return io.profile(t.table(spark, d, "orders"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder under the shared folder the cluster names; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/resight"
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-
 SIGHTING_FILE = {
     "o_custkey": ("id", T.LongType()),
     "o_orderkey": ("event_id", T.LongType()),
@@ -689,8 +680,8 @@ SIGHTING_FILE = {
 }
 
 
-def _written_sightings(spark: SparkSession, d: str, damage: bool):
-    """The orders as a CSV file with month/day/year dates; ``damage`` spoils the price of urgent orders."""
+def _sighting_lines(spark: SparkSession, d: str, damage: bool):
+    """The orders as CSV lines with month/day/year dates; ``damage`` spoils the price of urgent orders."""
     rows = t.table(spark, d, "orders").select(
         "o_custkey",
         "o_orderkey",
@@ -700,29 +691,49 @@ def _written_sightings(spark: SparkSession, d: str, damage: bool):
             F.lit(damage) & (F.col("o_orderpriority") == "1-URGENT"), F.lit("lost")
         ).otherwise(F.col("o_totalprice").cast("string")).alias("o_totalprice"),
     )
-    path = _scratch(spark)
-    io.write_table(rows, path, "csv")
-    return path
+    return io.csv_lines(rows), rows.columns
 
 
 @query("q_export")
 def _(spark, d):
-    """The merged clutch table written as parquet and read back."""
-    path = _scratch(spark)
-    io.write_table(_clutches(spark, d), path)
-    return spark.read.parquet(path)
+    """The merged clutch table as CSV lines, read back with its types."""
+    rows = _clutches(spark, d)
+    types = {f.name: (f.name, f.dataType) for f in rows.schema}
+    return io.parse_csv_lines(io.csv_lines(rows), rows.columns, types)
 
 
 @query("q_csv_sightings")
 def _(spark, d):
-    path = _written_sightings(spark, d, damage=False)
-    return clean.with_date_parts(io.read_sightings(spark, path, SIGHTING_FILE)).select(
-        "id", "event_id", "dt", "result", "size", "season"
-    )
+    lines, header = _sighting_lines(spark, d, damage=False)
+    rows = io.canonical(io.parse_csv_lines(lines, header, SIGHTING_FILE), SIGHTING_FILE)
+    return clean.with_date_parts(rows).select("id", "event_id", "dt", "result", "size", "season")
 
 
 @query("q_rejects")
 def _(spark, d):
-    path = _written_sightings(spark, d, damage=True)
-    bad = io.rejects(io.read_csv(spark, path, SIGHTING_FILE, keep_corrupt=True))
+    lines, header = _sighting_lines(spark, d, damage=True)
+    bad = io.rejects(io.parse_csv_lines(lines, header, SIGHTING_FILE, keep_corrupt=True))
     return bad.select("o_custkey", "o_orderkey", "o_orderpriority", "o_totalprice")
+
+
+@query("q_csv_clutches")
+def _(spark, d):
+    """Excavations as CSV lines in which either of two columns holds the date, read under their short names."""
+    rows = t.clutch_tables(spark, d)[2]
+    by_header = {"SPNWR_ID": "event_id", "Total unhatched": "unhatched", "Total eggs": "eggs", "Hatch success (%)": "hatch", "OriginalTagID": "id"}
+    lines = io.csv_lines(
+        rows.select(
+            *[F.col(c).alias(h) for h, c in by_header.items()],
+            F.when(F.col("id") % 2 == 0, F.col("dt")).alias("Date"),
+            F.when(F.col("id") % 2 == 1, F.col("dt")).alias("DateOfActivity"),
+        )
+    )
+    header = [*by_header, "Date", "DateOfActivity"]
+    return io.canonical(io.parse_csv_lines(lines, header, io.EXCAVATION), io.EXCAVATION)
+
+
+@query("q_dunn_growth")
+def _(spark, d):
+    """Pairs of growth groups, whose names hold number ranges, with the keys that labels are matched on."""
+    out = ranks.dunn(growth.individual_growth(_grouped_growth(spark, d)), "mean_rate", "longevity_group")
+    return out.withColumn("comparison_key", ranks.comparison_key(F.col("comparison")))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resight.operators import clean
-from resight.operators.skew import HotKeys, find_hot_keys
 
 OUTCOMES = ("1-urgent", "2-high", "5-low")
 TOLERANCE = 100_000.0
@@ -33,23 +32,12 @@ def sightings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_hot: dict[tuple[str, str], HotKeys] = {}
-
-
-def hot(spark: SparkSession, folder: str) -> HotKeys:
-    """Hot individuals of the sightings; the tables do not change, so one sketch per folder serves."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _hot:
-        _hot[key] = find_hot_keys(sightings(spark, folder), ["id"])
-    return _hot[key]
-
-
 def nests(spark: SparkSession, folder: str) -> DataFrame:
     return clean.with_date_parts(clean.successful_nests(sightings(spark, folder), OUTCOMES))
 
 
 def measured(spark: SparkSession, folder: str) -> DataFrame:
-    return clean.season_consistent(nests(spark, folder), TOLERANCE, hot(spark, folder))
+    return clean.season_consistent(nests(spark, folder), TOLERANCE)
 
 
 def with_width(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:

@@ -10,18 +10,16 @@ from pyspark.sql import functions as F
 from resight.functions.scalar import level_order
 from resight.operators import chart, clean, growth, longevity
 from resight.operators.quantiles import summarise
-from resight.operators.skew import HotKeys
 
 
 def measured(
     sightings: DataFrame,
     outcomes: Sequence[str] = clean.SUCCESSFUL,
     tolerance: float = 1.0,
-    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Successful nests with date parts, season-filtered."""
     nests = clean.with_date_parts(clean.successful_nests(sightings, outcomes))
-    return clean.season_consistent(nests, tolerance, hot)
+    return clean.season_consistent(nests, tolerance)
 
 
 def longevity_table(rows: DataFrame, digits: int = 2) -> DataFrame:
@@ -46,8 +44,8 @@ def size_summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def size_table(rows: DataFrame, digits: int = 2, hot: HotKeys | None = None) -> DataFrame:
-    return chart.rounded(size_summary(clean.size_at_maturity(rows, hot=hot)), digits)
+def size_table(rows: DataFrame, digits: int = 2) -> DataFrame:
+    return chart.rounded(size_summary(clean.size_at_maturity(rows)), digits)
 
 
 def growth_table(
@@ -55,10 +53,9 @@ def growth_table(
     years: int = 10,
     above: float | None = -1.0,
     phases: Sequence[tuple[str, float, float]] = growth.PHASES,
-    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Growth by phase for long-lived individuals: n, mean, median, sd, standard error."""
-    rates = growth.interval_growth(clean.long_lived(rows, years, hot))
+    rates = growth.interval_growth(clean.long_lived(rows, years))
     if above is not None:
         rates = rates.where(F.col("growth_rate") > above)
     return phase_summary(growth.growth_phase(rates, phases), "phase", [p[0] for p in phases])
@@ -66,7 +63,7 @@ def growth_table(
 
 def phase_summary(rates: DataFrame, by: str, levels: Sequence[str]) -> DataFrame:
     """Summary by label with the label's ordinal and the standard error over all rows."""
-    s = summarise(rates, "growth_rate", [by], cache=True)
+    s = summarise(rates, "growth_rate", [by])
     return s.select(
         by,
         level_order(F.col(by), levels).alias("level"),

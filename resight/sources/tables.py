@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +32,7 @@ EXCAVATION = {
 Columns = Mapping[str, tuple[str, T.DataType]]
 
 
-def read_csv(spark: SparkSession, path: str, columns: Columns, keep_corrupt: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: Columns, keep_corrupt: bool = False, multi_line: bool = False) -> DataFrame:
     """CSV with a header. Named columns get their declared type, all others stay text.
 
     Only the header line is looked at beforehand; nothing is inferred from data. ``NA`` and empty
@@ -54,12 +54,40 @@ def read_csv(spark: SparkSession, path: str, columns: Columns, keep_corrupt: boo
         columnNameOfCorruptRecord=CORRUPT,
         ignoreLeadingWhiteSpace=True,
         ignoreTrailingWhiteSpace=True,
+        multiLine=multi_line,
+        enforceSchema=False,
     )
 
 
+def csv_lines(df: DataFrame) -> DataFrame:
+    """Rows as CSV lines, ``value``; null cells are ``NA``."""
+    return df.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"nullValue": "NA"}).alias("value"))
+
+
+def parse_csv_lines(lines: DataFrame, header: list[str], columns: Columns, keep_corrupt: bool = False) -> DataFrame:
+    """CSV lines without a header line, ``value``, as columns of their declared types."""
+    fields = [T.StructField(c, columns[c][1] if c in columns else T.StringType()) for c in header]
+    if keep_corrupt:
+        fields.append(T.StructField(CORRUPT, T.StringType()))
+    options = {
+        "nullValue": "NA",
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": CORRUPT,
+        "ignoreLeadingWhiteSpace": "true",
+        "ignoreTrailingWhiteSpace": "true",
+    }
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return lines.select(F.from_csv("value", schema, options).alias("row")).select("row.*")
+
+
 def canonical(df: DataFrame, columns: Columns) -> DataFrame:
-    """Keep the known columns under their short names."""
-    return df.select(*[F.col(f"`{c}`").alias(name) for c, (name, _) in columns.items() if c in df.columns])
+    """Keep the known columns under their short names. Where several have the same one, the first that has
+    a value is taken."""
+    found: dict[str, list[Column]] = {}
+    for c, (name, _) in columns.items():
+        if c in df.columns:
+            found.setdefault(name, []).append(F.col(f"`{c}`"))
+    return df.select(*[F.coalesce(*cells).alias(name) for name, cells in found.items()])
 
 
 def read_sightings(spark: SparkSession, path: str, columns: Columns = SIGHTINGS) -> DataFrame:

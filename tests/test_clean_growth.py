@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from helpers import rows
 from resight.functions.scalar import label_ranges, label_upto, level_order, parse_mdy
 from resight.operators import clean, clutch, growth, histories, longevity
-from resight.operators.skew import HotKeys, find_hot_keys
 from resight.plans import report
 
 
@@ -109,22 +108,29 @@ def test_interval_growth_matches_row_by_row_lag(spark):
     assert got == brute_interval_growth(data)
 
 
-def test_hot_individuals_give_the_same_rows(spark):
+def test_group_values_match_brute_force_with_a_hot_individual(spark):
     df, data = random_sightings(spark)
-    hot = find_hot_keys(df, ["id"], share=0.2, floor=10)
-    assert len(hot.hashes) >= 1
-    assert hot.split(df)[1].where("id = 'hot'").count() == sum(r[1] == "hot" for r in data)
-    for step in (
-        lambda d, h: clean.season_consistent(d, 1.0, h),
-        lambda d, h: clean.long_lived(d, 10, h),
-        lambda d, h: clean.size_at_maturity(d, hot=h),
-    ):
-        assert rows(step(df, None), "event_id") == rows(step(df, hot), "event_id")
-
-
-def test_small_tables_have_no_hot_keys(spark):
-    df, _ = random_sightings(spark)
-    assert find_hot_keys(df, ["id"]).hashes == ()
+    dated = [r for r in data if r[2]]
+    firsts, years = {}, {}
+    for r in sorted(dated, key=lambda r: (r[2], r[0])):
+        firsts.setdefault((r[1], r[2].year), r[4])
+        years.setdefault(r[1], []).append(r[2].year)
+    consistent = sorted(
+        r[0] for r in dated
+        if r[4] is not None and firsts[r[1], r[2].year] is not None and abs(r[4] - firsts[r[1], r[2].year]) <= 1.0
+    )
+    assert sorted(r.event_id for r in clean.season_consistent(df, 1.0).where("dt is not null").collect()) == consistent
+    lived = sorted(r[0] for r in data if r[1] in years and max(years[r[1]]) - min(years[r[1]]) >= 10)
+    assert sorted(r.event_id for r in clean.long_lived(df, 10).collect()) == lived
+    maiden = sorted(r[0] for r in dated if r[2].year == min(years[r[1]]))
+    assert sorted(r.event_id for r in clean.size_at_maturity(df).collect()) == maiden
+
+
+def test_a_null_event_id_keeps_its_day(spark):
+    day = dt.date
+    data = [(None, "a", day(2000, 1, 1), 10.0), (None, "a", day(2001, 1, 1), 12.0), (3, "a", day(2002, 1, 1), 13.0)]
+    df = spark.createDataFrame(data, "event_id long, id string, dt date, size double")
+    assert sorted(r.growth for r in growth.interval_growth(df).collect()) == [1.0, 2.0]
 
 
 def test_return_interval_by_year_matches_lag(spark):
@@ -136,13 +142,12 @@ def test_return_interval_by_year_matches_lag(spark):
     # Exact copies of one clutch, which is also the first of its year.
     data += [("hot", -1, 2003, 1.0)] * 25
     df = spark.createDataFrame(data, "id string, event_id long, year int, hatch double")
-    key = HotKeys(("id",), tuple(r[0] for r in df.where("id='hot'").select(F.xxhash64("id")).distinct().collect()))
-    plain = rows(clutch.clutch_return_interval(df))
-    assert rows(clutch.clutch_return_interval(df, key)) == plain
-    brute = 0
+    got = sorted((r.id, r.event_id, r.year, r.hatch, r.return_interval) for r in clutch.clutch_return_interval(df).collect())
+    brute = []
     for who in {r[0] for r in data}:
-        brute += sum(r[0] == who for r in data) - 1
-    assert len(plain) == brute
+        mine = sorted((r for r in data if r[0] == who), key=lambda r: (r[2], r[1], r[3]))
+        brute += [(*now, now[2] - before[2]) for before, now in zip(mine, mine[1:])]
+    assert got == sorted((who, event, year, hatch, gap) for who, event, year, hatch, gap in brute)
 
 
 def test_size_at_maturity_first_row(spark):

@@ -78,6 +78,13 @@ def test_normal_quantile_column(spark):
     assert got == pytest.approx(want, rel=1e-12, abs=1e-12)
 
 
+def test_shapiro_of_many_tied_values(spark):
+    """20,000 values on a coarse normal grid: W exists and is near one, p is given but not as published."""
+    df = spark.range(20_000).selectExpr("round(sqrt(-2 * ln((id + 0.5) / 20000)) * cos(id * 2.399963), 1) as x")
+    r = linear.shapiro(df, "x").first()
+    assert r.n == 20_000 and 0.99 < r.w <= 1 and r.p is not None and not r.p_published
+
+
 def test_shapiro(spark):
     # Weights of men, the worked example of the test's literature: W = 0.79.
     men = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
@@ -91,7 +98,8 @@ def test_shapiro(spark):
     assert got["men"].p == pytest.approx(0.0067, abs=1e-4)
     # Three values: W is the squared range over twice the sum of squares.
     assert got["three"].w == pytest.approx(4.5 / (14 / 3))
-    assert got["two"].w is None and got["many"].w is None and got["many"].n == 5001
+    assert got["two"].w is None and got["many"].n == 5001
+    assert 0 < got["many"].w < 1 and not got["many"].p_published and got["men"].p_published
 
 
 def test_breusch_pagan(spark):

@@ -163,32 +163,44 @@ def test_signed_rank_exact(spark):
     assert r.v == 14 and r.p == pytest.approx(0.125)
 
 
+def test_signed_rank_exact_is_a_choice(spark):
+    df = spark.createDataFrame([(float(v),) for v in (1.1, 2.3, -0.4, 3.7, 5.2)], "x double")
+    assert ranks.signed_rank(df, "x", 0.0, exact=False).first().p != pytest.approx(0.125, abs=1e-6)
+    many = spark.createDataFrame([((-1) ** i * float(i + 1),) for i in range(60)], "x double")
+    exact, normal = (ranks.signed_rank(many, "x", 0.0, exact=e).first().p for e in (True, False))
+    assert exact == pytest.approx(normal, abs=0.01) and exact != normal
+
+
+def test_comparison_keys(spark):
+    df = spark.createDataFrame([("1-10 - 11-20",), ("click - view",)], "c string")
+    got = [r[0] for r in df.select(ranks.comparison_key(df.c)).collect()]
+    assert got == ["1_10-11_20", "click-view"]
+
+
 def brute_quantile(values, p):
     return float(np.quantile(np.array(values), p))
 
 
-@pytest.mark.parametrize("cache", [False, True])
 @pytest.mark.parametrize("small", [True, False])
-def test_exact_quantiles(spark, monkeypatch, small, cache):
-    """Once as small groups and once through the sketch brackets."""
+def test_exact_quantiles(spark, monkeypatch, small):
+    """Once over whole ranges and once through the sketch brackets."""
     if not small:
-        monkeypatch.setattr(quantiles, "SMALL_GROUP", 50)
+        monkeypatch.setattr(quantiles, "WHOLE_RANGE", 50)
         monkeypatch.setattr(quantiles, "ACCURACY", 200)
         monkeypatch.setattr(quantiles, "MARGIN", 2 / 200 + 2 / 50)
-        monkeypatch.setattr(quantiles, "WINDOW_ROWS", 100)
     rng = random.Random(2)
     data = [("big", rng.gauss(0, 1)) for _ in range(3000)] + [("big", 0.25)] * 1500
     data += [("tiny", 4.0), ("tiny", 1.0), ("one", 2.0), ("none", None), (None, 5.0)]
     df = spark.createDataFrame(data, "g string, x double")
     probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    got = {r.g: r for r in quantiles.summarise(df, "x", ["g"], probs, cache).collect()}
+    got = {r.g: r for r in quantiles.summarise(df, "x", ["g"], probs).collect()}
     for g in ("big", "tiny", "one", None):
         values = [x for k, x in data if k == g]
         for name, p in probs.items():
             assert got[g][name] == pytest.approx(brute_quantile(values, p), abs=1e-12)
     assert (got["none"].n, got["none"].n_valid, got["none"].median) == (1, 0, None)
     assert got["one"].sd is None
-    whole = quantiles.summarise(df, "x", cache=cache).first()
+    whole = quantiles.summarise(df, "x").first()
     assert whole.median == pytest.approx(brute_quantile([x for _, x in data if x is not None], 0.5))
 
 

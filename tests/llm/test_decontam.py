@@ -22,7 +22,7 @@ def brute(rows, items):
                 if tuple(w[k : k + size]) in windows:
                     hit |= set(range(k, k + size))
                     found |= windows[tuple(w[k : k + size])]
-        out.append((doc or -1, len(w), len(hit), sorted(str(i) for i in found)))
+        out.append((-1 if doc is None else doc, len(w), len(hit), sorted(str(i) for i in found)))
     return sorted(out)
 
 

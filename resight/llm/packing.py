@@ -33,8 +33,8 @@ from resight.llm.store import kept
 TOKENS = 1024
 #: Pieces that one task packs, about.
 RUN = 6000
-#: Chunks whose ids a worker remembers, at most (some 150 MB); then it starts anew.
-REMEMBERED = 800_000
+#: Chunks whose ids a worker remembers, at most (some 60 MB); then it starts anew.
+REMEMBERED = 300_000
 #: A text can be cut before a single space that a word follows: pre-tokens never reach over it.
 CUT = re.compile(r"(?= \S)")
 #: A space that no word follows.

@@ -120,7 +120,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, ones, zeros): in how many texts of each label an n-gram stands, added up for each slice."""
     for batch in batches:
         labels = batch.column("label").to_numpy(zero_copy_only=False)
-        for first, last, data, at in tx.slices(batch.column("text"), 2 << 20):
+        for first, last, data, at in tx.slices(batch.column("text"), tx.SLICE // 2):
             chars, bounds = characters(data, at)
             found, own = [], []
             for length in range(SHORTEST, LONGEST + 1):

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from resight.functions import tails
 from resight.functions.scalar import normal_quantile
 from resight.operators.quantiles import summarise
-from resight.operators.ranks import midranks, pairs
+from resight.operators.ranks import midranks, pairs, running_totals
 from resight.operators.skew import null_safe_join
 
 
@@ -103,6 +103,31 @@ def diagnostics(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFr
     )
 
 
+def residual_quantiles(df: DataFrame, y: str, x: str) -> DataFrame:
+    """Normal Q-Q table of the standardised residuals: ``y``, ``x``, ``n`` rows that share both, the residual,
+    and the normal quantile at its mid-rank among all rows. Rows are counted before they are ranked."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    counts = rows.groupBy(y, x).agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.struct("n", "mean_x", "slope", "intercept", "sxx", "sigma")
+    fit = line_statistics(df, y, x).select(wanted).scalar()
+    f = lambda c: F.col(f"__fit.{c}")
+    dx = F.col(x) - f("mean_x")
+    h = 1 / f("n") + F.try_divide(dx * dx, f("sxx"))
+    residual = F.col(y) - (f("intercept") + f("slope") * F.col(x))
+    s = F.when(h < 1 - 1e-12, F.try_divide(residual, f("sigma") * F.sqrt(1 - h)))
+    placed = counts.withColumn("__fit", fit).withColumn("std_residual", s).where(F.col("std_residual").isNotNull())
+    placed = running_totals(placed.withColumn("__size", f("n")).drop("__fit"), "std_residual", "n")
+    ties = F.sum("n").over(W.partitionBy("__bucket", "std_residual"))
+    size = F.col("__size").cast("double")
+    offset = F.when(size <= 10, 0.375).otherwise(0.5)
+    return (
+        placed.withColumn("__mid", F.col("upto") - (ties - 1) / 2)
+        .withColumn("__share", (F.col("__mid") - offset) / (size + 1 - 2 * offset))
+        .withColumn("normal_quantile", normal_quantile("__share"))
+        .select(y, x, "n", "std_residual", "normal_quantile")
+    )
+
+
 def breusch_pagan_statistic(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
     squared = diagnostics(df, y, x, by).withColumn("__e2", F.col("residual") * F.col("residual"))
     xc = F.col(x).cast("double")

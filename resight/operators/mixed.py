@@ -2,7 +2,8 @@
 
 For a random intercept an individual enters the likelihood only through its number of rows and a few
 sums, and individuals with the same number of rows add up. So one aggregation leaves one row per
-distinct group size, and the variance ratio is found from those.
+distinct group size, which stays in Spark; each pass over those rows tries a grid of variance ratios and
+brings a few sums for each to the driver.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resight.operators.reuse import cached
+from resight.operators.skew import null_safe_join
 
 SINGULAR = 1e-4
 
@@ -68,38 +70,73 @@ class MixedFit:
         return df.withColumn("fitted", fit).withColumn("residual", F.col(y) - F.col("fitted"))
 
 
+    def conditional(self, df: DataFrame, y: str, x: str, group: str = "id") -> DataFrame:
+        """Complete rows with the fit and residual that include the individual's offset."""
+        rows = self.fixed_residuals(_complete(df, y, x, group), y, x)
+        effects = self.random_effects(df, y, x, group).select(group, "effect")
+        return (
+            null_safe_join(rows, effects, [group])
+            .withColumn("fitted", F.col("fitted") + F.col("effect"))
+            .withColumn("residual", F.col(y) - F.col("fitted"))
+        )
+
+
 def _complete(df: DataFrame, y: str, x: str, group: str) -> DataFrame:
     return df.where(F.col(y).isNotNull() & F.col(x).isNotNull() & F.col(group).isNotNull())
 
 
-def _evaluate(root_ratio: float, t: dict[str, np.ndarray]):
-    """REML criterion and estimates at a given square root of the variance ratio."""
-    ratio = root_ratio**2
-    shrink = ratio / (1 + ratio * t["n"])
-    m, n = t["groups"], t["n"]
-    xx = np.array(
-        [
-            [(m * n - shrink * m * n * n).sum(), (t["x"] - shrink * n * t["x"]).sum()],
-            [0.0, (t["xx"] - shrink * t["sx_sx"]).sum()],
-        ]
-    )
-    xx[1, 0] = xx[0, 1]
-    xy = np.array(
-        [(t["y"] - shrink * n * t["y"]).sum(), (t["xy"] - shrink * t["sx_sy"]).sum()]
+SUMS = ("a11", "a12", "a22", "c1", "c2", "yy", "logs")
+POINTS = 96
+"""Roots of the variance ratio that one pass over the reduced rows tries."""
+
+
+def _sums(sizes: DataFrame, roots: np.ndarray) -> list[dict[str, float]]:
+    """What the criterion needs at each root of the variance ratio: one aggregate, a row a root."""
+    n, m, s = F.col("n"), F.col("groups"), F.col("__s")
+    tried = sizes.withColumn("__root", F.explode(F.array(*[F.lit(float(r)) for r in roots])))
+    tried = tried.withColumn("__ratio", F.col("__root") * F.col("__root"))
+    tried = tried.withColumn("__s", F.col("__ratio") / (1 + F.col("__ratio") * n))
+    found = tried.groupBy("__root").agg(
+        F.sum(m * n - s * m * n * n).alias("a11"),
+        F.sum(F.col("x") - s * n * F.col("x")).alias("a12"),
+        F.sum(F.col("xx") - s * F.col("sx_sx")).alias("a22"),
+        F.sum(F.col("y") - s * n * F.col("y")).alias("c1"),
+        F.sum(F.col("xy") - s * F.col("sx_sy")).alias("c2"),
+        F.sum(F.col("yy") - s * F.col("sy_sy")).alias("yy"),
+        F.sum(m * F.log1p(F.col("__ratio") * n)).alias("logs"),
+        F.sum(m * n).alias("rows"),
+        F.sum(m).alias("groups"),
     )
-    yy = (t["yy"] - shrink * t["sy_sy"]).sum()
+    by_root = {r["__root"]: r.asDict() for r in found.collect()}
+    return [by_root[float(r)] for r in roots]
+
+
+def _evaluate(t: dict[str, float]):
+    """REML criterion and estimates from the sums at one root."""
+    xx = np.array([[t["a11"], t["a12"]], [t["a12"], t["a22"]]])
+    xy = np.array([t["c1"], t["c2"]])
     inverse = np.linalg.inv(xx)
     beta = inverse @ xy
-    rss = max(yy - beta @ xy, 1e-300)
-    free = (m * n).sum() - 2
-    criterion = (
-        (m * np.log1p(ratio * n)).sum()
-        + math.log(np.linalg.det(xx))
-        + free * (1 + math.log(2 * math.pi * rss / free))
-    )
+    rss = max(t["yy"] - beta @ xy, 1e-300)
+    free = t["rows"] - 2
+    criterion = t["logs"] + math.log(np.linalg.det(xx)) + free * (1 + math.log(2 * math.pi * rss / free))
     return criterion, beta, rss / free, inverse
 
 
+def _best_root(sizes: DataFrame, rounds: int = 5) -> tuple[float, dict[str, float]]:
+    """The root with the least criterion, from ever finer grids, and the sums there; zero if none is better."""
+    grid = np.concatenate([[0.0], np.geomspace(1e-3, 1e3, POINTS - 1)])
+    zero = None
+    for _ in range(rounds):
+        sums = _sums(sizes, grid)
+        zero = sums[0] if zero is None else zero
+        best = int(np.argmin([_evaluate(t)[0] for t in sums]))
+        root, at = float(grid[best]), sums[best]
+        low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
+        grid = np.linspace(low, high, POINTS)
+    return (0.0, zero) if _evaluate(zero)[0] <= _evaluate(at)[0] else (root, at)
+
+
 def fit_random_intercept(df: DataFrame, y: str, x: str, group: str = "id") -> MixedFit:
     rows = _complete(df, y, x, group).select(
         group, F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")
@@ -119,36 +156,18 @@ def fit_random_intercept(df: DataFrame, y: str, x: str, group: str = "id") -> Mi
             F.sum(y_ * y_).alias("yy"),
         )
         sx, sy = F.col("sx"), F.col("sy")
-        sizes = (
-            per_group.groupBy("n")
-            .agg(
-                F.count(F.lit(1)).alias("groups"),
-                F.sum(sx).alias("x"),
-                F.sum(sy).alias("y"),
-                *[F.sum(c).alias(c) for c in ("xx", "xy", "yy")],
-                F.sum(sx * sx).alias("sx_sx"),
-                F.sum(sx * sy).alias("sx_sy"),
-                F.sum(sy * sy).alias("sy_sy"),
-            )
-            .orderBy("n")
-            .collect()
+        sizes = per_group.groupBy("n").agg(
+            F.count(F.lit(1)).alias("groups"),
+            F.sum(sx).alias("x"),
+            F.sum(sy).alias("y"),
+            *[F.sum(c).alias(c) for c in ("xx", "xy", "yy")],
+            F.sum(sx * sx).alias("sx_sx"),
+            F.sum(sx * sy).alias("sx_sy"),
+            F.sum(sy * sy).alias("sy_sy"),
         )
-    t = {c: np.array([float(r[c]) for r in sizes]) for c in sizes[0].asDict()}
-    grid = np.concatenate([[0.0], np.geomspace(1e-3, 1e3, 121)])
-    scores = [_evaluate(v, t)[0] for v in grid]
-    best = int(np.argmin(scores))
-    low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-    golden = (math.sqrt(5) - 1) / 2
-    for _ in range(120):
-        a, b = high - golden * (high - low), low + golden * (high - low)
-        if _evaluate(a, t)[0] <= _evaluate(b, t)[0]:
-            high = b
-        else:
-            low = a
-    root = (low + high) / 2
-    if scores[0] <= _evaluate(root, t)[0]:
-        root = 0.0
-    criterion, beta, variance, inverse = _evaluate(root, t)
+        with cached(sizes):
+            root, t = _best_root(sizes)
+    criterion, beta, variance, inverse = _evaluate(t)
     # Back from centred variables: the intercept moves, and so does its variance.
     shift = np.array([1.0, -mean["x"]])
     cov = variance * inverse
@@ -159,6 +178,6 @@ def fit_random_intercept(df: DataFrame, y: str, x: str, group: str = "id") -> Mi
         math.sqrt(variance),
         root * math.sqrt(variance),
         float(criterion),
-        int((t["groups"] * t["n"]).sum()),
-        int(t["groups"].sum()),
+        int(t["rows"]),
+        int(t["groups"]),
     )

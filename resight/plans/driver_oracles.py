@@ -632,7 +632,13 @@ def _mixed_oracles() -> dict[str, str]:
             tau <= 1e-4 * sigma AS singular FROM fit"""
 
     effect = "(s * s / (1 + s * s * n)) * (sy - beta0 * n - beta1 * sx)"
+    offset = "(s * s / (1 + s * s * n)) * (sums.sy - beta0 * n - beta1 * sums.sx)"
+    line = f"(beta0 + beta1 * g.x + {offset})"
     return {
+        "q_lmm_conditional": _mixed(
+            f"""SELECT g.id, season, {_r(line, 5)} AS fitted, {_r(f'g.y - {line}', 5)} AS residual
+            FROM scaled_growth g JOIN sums ON g.id = sums.id CROSS JOIN fit WHERE g.x IS NOT NULL AND g.y IS NOT NULL"""
+        ),
         "q_lmm": _mixed(f"{term('intercept', 'beta0', 'a22')} UNION ALL {term('slope', 'beta1', 'a11')}"),
         "q_lmm_effects": _mixed(
             f"SELECT id, CAST(n AS BIGINT) AS n, {_r(effect, 5)} AS effect FROM sums CROSS JOIN fit"
@@ -695,6 +701,15 @@ def oracles() -> dict[str, str]:
             "level",
         ),
     )
+    out["q_report_growth"] = out["q_growth_by_phase"].replace(
+        "WHERE phase IS NOT NULL", "WHERE phase IS NOT NULL AND growth_rate > -1"
+    )
+    out["q_report_size"] = _with(
+        ("maiden", "width"),
+        f"""SELECT count(*) AS n, {', '.join(f"{_r(f'{g}({c})', 2)} AS {m}_{c}" for c in ('size', 'width')
+          for m, g in (('min', 'min'), ('mean', 'avg'), ('sd', 'stddev_samp'), ('max', 'max')))}
+        FROM maiden LEFT JOIN width USING (event_id)""",
+    )
     out["q_growth_by_group_v1"] = _with(
         ("grouped_inclusive",), _by_label("grouped_inclusive", "longevity_group", "level")
     )
@@ -799,6 +814,18 @@ def oracles() -> dict[str, str]:
           FROM sized c CROSS JOIN ({_ols_core('sized', 'hatch', 'size')}) f
           WHERE c.size IS NOT NULL AND c.hatch IS NOT NULL))""",
     )
+    out["q_ols_residual_qq"] = _with(
+        ("sized",),
+        f"""SELECT {_r('y', 8)} AS hatch, {_r('x', 8)} AS size, count(*) AS n, {_r('max(s)', 4)} AS std_residual,
+        {_r(normal_quantile_sql('(avg(rank) - 0.5) / max(rows)'), 4)} AS normal_quantile FROM (
+        SELECT *, hatch AS y, size AS x, count(*) OVER () AS rows, rank() OVER (ORDER BY s)
+          + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rank FROM (
+        SELECT hatch, size, round((hatch - fitted) / (sigma * sqrt(1 - h)), 10) AS s FROM (
+          SELECT c.*, f.sigma, f.intercept + f.slope * c.size AS fitted,
+          1.0 / f.n + (c.size - f.mean_x) * (c.size - f.mean_x) / f.sxx AS h
+          FROM sized c CROSS JOIN ({_ols_core('sized', 'hatch', 'size')}) f
+          WHERE c.size IS NOT NULL AND c.hatch IS NOT NULL))) GROUP BY y, x""",
+    )
     out["q_breusch_pagan"] = _with(
         ("sized",),
         f"""SELECT {_r('bp')} AS bp, CAST(1 AS DOUBLE) AS df, {_r(_normal_p('sqrt(bp)'))} AS p FROM (

@@ -737,3 +737,29 @@ def _(spark, d):
     """Pairs of growth groups, whose names hold number ranges, with the keys that labels are matched on."""
     out = ranks.dunn(growth.individual_growth(_grouped_growth(spark, d)), "mean_rate", "longevity_group")
     return out.withColumn("comparison_key", ranks.comparison_key(F.col("comparison")))
+
+
+@query("q_report_size")
+def _(spark, d):
+    return report.size_table(t.with_width(t.measured(spark, d), spark, d))
+
+
+@query("q_report_growth", 3)
+def _(spark, d):
+    """The report's growth by phase: rates above minus one only."""
+    return report.growth_table(t.measured(spark, d), t.LONG_LIVED, -1.0, t.PHASES)
+
+
+@query("q_lmm_conditional", 5)
+def _(spark, d):
+    rows = _scaled_growth(spark, d)
+    fit = mixed.fit_random_intercept(rows, "growth_rate", "years_reproducing")
+    out = fit.conditional(rows, "growth_rate", "years_reproducing")
+    return out.select("id", "season", "fitted", "residual")
+
+
+@query("q_ols_residual_qq", None)
+def _(spark, d):
+    out = linear.residual_quantiles(_sized(spark, d), "hatch", "size")
+    digits = {"hatch": 8, "size": 8, "std_residual": 4, "normal_quantile": 4}
+    return out.select("n", *[F.round(c, k).alias(c) for c, k in digits.items()])

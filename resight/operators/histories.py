@@ -6,11 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def study_years(df: DataFrame) -> tuple[Column, Column]:
-    """First and last season of the study, as scalar subqueries."""
-    return df.agg(F.min("season")).scalar(), df.agg(F.max("season")).scalar()
-
-
 def _seasons(df: DataFrame) -> DataFrame:
     """Season set per individual; it can hold no more entries than the study has seasons."""
     return (
@@ -20,18 +15,32 @@ def _seasons(df: DataFrame) -> DataFrame:
     )
 
 
+def _study(sets: DataFrame) -> Column:
+    """First and last season over all season sets, as one scalar subquery that shares their exchange."""
+    ends = F.struct(F.min(F.array_min("seasons")).alias("first"), F.max(F.array_max("seasons")).alias("last"))
+    return sets.agg(ends).scalar()
+
+
+def study_years(df: DataFrame) -> tuple[Column, Column]:
+    """First and last season of the study."""
+    study = _study(_seasons(df))
+    return study["first"], study["last"]
+
+
 def complete_grid(df: DataFrame) -> DataFrame:
     """Individual x season with ``obs`` 1 or 0 over contiguous study years, in one shuffle."""
-    first, last = study_years(df)
-    return _seasons(df).select(
-        "id", "seasons", F.explode(F.sequence(first, last)).alias("season")
+    sets = _seasons(df)
+    study = _study(sets)
+    return sets.select(
+        "id", "seasons", F.explode(F.sequence(study["first"], study["last"])).alias("season")
     ).select("id", "season", F.array_contains("seasons", F.col("season")).cast("int").alias("obs"))
 
 
 def capture_histories(df: DataFrame) -> DataFrame:
     """``id`` and its history string, one character per study year."""
-    first, last = study_years(df)
-    years = _seasons(df).select("id", "seasons", F.sequence(first, last).alias("years"))
+    sets = _seasons(df)
+    study = _study(sets)
+    years = sets.select("id", "seasons", F.sequence(study["first"], study["last"]).alias("years"))
     marks = F.transform(
         "years", lambda y: F.when(F.array_contains("seasons", y), F.lit("1")).otherwise(F.lit("0"))
     )

@@ -578,10 +578,10 @@ def _cjs_oracles() -> dict[str, str]:
         "q_cjs_fit": _cjs(stats),
         "q_expected_counts": _cjs(f"SELECT ch, observed, {_r('expected')} AS expected FROM counted"),
         "q_expected_longevity_by_year": _cjs(
-            f"""SELECT CAST(unnest(generate_series(lo, hi)) AS INTEGER) AS season, {_r('phi')} AS phi,
-            {_r('1 / (1 - phi)')} AS longevity,
-            {_r(f"1 / (1 - {back('b1 - 1.96 * s1')})")} AS lower,
-            {_r(f"1 / (1 - {back('b1 + 1.96 * s1')})")} AS upper FROM fit CROSS JOIN ends"""
+            f"""SELECT CAST(unnest(generate_series(lo, hi)) AS INTEGER) AS season, {_r('phi', 4)} AS phi,
+            {_r('1 / (1 - phi)', 4)} AS longevity,
+            {_r(f"1 / (1 - {back('b1 - 1.96 * s1')})", 4)} AS lower,
+            {_r(f"1 / (1 - {back('b1 + 1.96 * s1')})", 4)} AS upper FROM fit CROSS JOIN ends"""
         ),
     }
 

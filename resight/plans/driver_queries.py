@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -268,6 +269,11 @@ def _frequencies(spark, d):
     return hist.history_frequencies(hist.capture_histories(t.measured(spark, d)))
 
 
+def _fitted_frequencies(spark, d):
+    """Kept for the fit and for what is derived from it: a small table at the end of the whole cleaning."""
+    return _frequencies(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 @query("q_history_freq")
 def _(spark, d):
     return _frequencies(spark, d)
@@ -288,7 +294,7 @@ def _(spark, d):
 @query("q_expected_lines")
 def _(spark, d):
     """Observed and expected counts through their text form."""
-    rows = _frequencies(spark, d)
+    rows = _fitted_frequencies(spark, d)
     counts = capture.expected_counts(rows, capture.fit_cjs(rows))
     text = F.format_string(" %s\t %.1f\t %.6f", "ch", F.col("observed").cast("double"), "expected")
     return history_text.parse_expected_lines(counts.select(text.alias("value")))
@@ -315,17 +321,17 @@ def _(spark, d):
 
 @query("q_cjs_fit", 4)
 def _(spark, d):
-    rows = _frequencies(spark, d)
+    rows = _fitted_frequencies(spark, d)
     return capture.fit_statistics(rows, capture.fit_cjs(rows))
 
 
 @query("q_expected_counts")
 def _(spark, d):
-    rows = _frequencies(spark, d)
+    rows = _fitted_frequencies(spark, d)
     return capture.expected_counts(rows, capture.fit_cjs(rows))
 
 
-@query("q_expected_longevity_by_year")
+@query("q_expected_longevity_by_year", 4)
 def _(spark, d):
     rows = t.measured(spark, d)
     fit = capture.fit_cjs(hist.history_frequencies(hist.capture_histories(rows)))

@@ -890,6 +890,15 @@ def oracles() -> dict[str, str]:
         strftime(o_orderdate, '%-m/%-d/%Y') AS dt FROM excavations e JOIN orders ON e.event_id = o_orderkey
         WHERE shipped < TIMESTAMP '{t.NEW_TABLE_FROM}'""",
     )
+    types = {
+        "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+        "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
+    }
+    out["q_profile"] = " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{k}' AS type, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls,
+        count(DISTINCT {c}) AS "distinct" FROM orders"""
+        for c, k in types.items()
+    )
     out["q_rejects"] = """SELECT o_custkey, o_orderkey, o_orderpriority, CAST(NULL AS DOUBLE) AS o_totalprice
         FROM orders WHERE o_orderpriority = '1-URGENT'"""
     return out

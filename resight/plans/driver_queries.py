@@ -674,7 +674,7 @@ def _(spark, d):
 
 @query("q_profile")
 def _(spark, d):
-    return io.profile(t.table(spark, d, "orders"))
+    return io.profile(t.table(spark, d, "orders"), exact=True)
 
 
 SIGHTING_FILE = {

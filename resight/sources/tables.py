@@ -107,15 +107,17 @@ def rejects(df: DataFrame) -> DataFrame:
     return df.where(F.col(CORRUPT).isNotNull())
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """One row per column: type, rows, nulls, approximate distinct values; one pass."""
+def profile(df: DataFrame, exact: bool = False) -> DataFrame:
+    """One row per column: type, rows, nulls, distinct values. One pass with approximate distinct values;
+    ``exact`` ones cost a shuffle of each column's values, combined beforehand."""
+    distinct = F.countDistinct if exact else F.approx_count_distinct
     parts = [
         F.struct(
             F.lit(c).alias("column"),
             F.lit(t).alias("type"),
             F.count(F.lit(1)).alias("rows"),
             F.count_if(F.col(f"`{c}`").isNull()).alias("nulls"),
-            F.approx_count_distinct(f"`{c}`").alias("distinct"),
+            distinct(F.col(f"`{c}`")).alias("distinct"),
         )
         for c, t in df.dtypes
     ]

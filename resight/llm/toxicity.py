@@ -146,24 +146,45 @@ def _featured(batches: Iterator[pa.RecordBatch], model: Linear) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([ids, batch.column("label").slice(first, last - first), pa.ListArray.from_arrays(offsets, pa.array(grams.astype(np.int32)))], names=["doc_id", "label", "grams"])
 
 
-def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, width: int, penalty: float = 1.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Weights and bias of a ridge logistic regression on a sparse matrix, by accelerated gradient steps.
+PART = 1 << 19
 
-    The step is the inverse of the loss's curvature bound, found by power iteration.
+
+def logistic(columns: np.ndarray, starts: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Weights and bias of a ridge logistic regression, by accelerated gradient steps.
+
+    Row i holds the features columns[starts[i]:starts[i + 1]], each with its ratio as value. Rows are worked on
+    in parts of about PART entries, so that little beside `columns` is in memory. The step is the inverse of
+    the loss's curvature bound, found by power iteration.
     """
-    n = len(y)
+    n, width = len(y), len(ratio)
+    edges = [0]
+    while edges[-1] < n:
+        edges.append(max(edges[-1] + 1, int(np.searchsorted(starts, starts[edges[-1]] + PART, side="right")) - 1))
+
+    def times(v: np.ndarray) -> np.ndarray:
+        scaled, out = v[:width] * ratio, np.full(n, v[width])
+        for a, b in zip(edges, edges[1:]):
+            sums = np.concatenate([[0.0], np.cumsum(scaled[columns[starts[a] : starts[b]]])])
+            out[a:b] += sums[starts[a + 1 : b + 1] - starts[a]] - sums[starts[a:b] - starts[a]]
+        return out
+
+    def back(u: np.ndarray) -> np.ndarray:
+        out = np.zeros(width)
+        for a, b in zip(edges, edges[1:]):
+            out += np.bincount(columns[starts[a] : starts[b]], np.repeat(u[a:b], np.diff(starts[a : b + 1])), width)
+        return np.append(out * ratio, u.sum())
+
     v = np.full(width + 1, 1 / np.sqrt(width + 1))
     bound = 1.0
     for _ in range(12):
-        u = np.bincount(rows, values * v[columns], n) + v[width]
-        v = np.append(np.bincount(columns, values * u[rows], width), u.sum())
+        v = back(times(v))
         bound = float(np.linalg.norm(v))
         v /= bound
     step = 1 / (bound / 4 * 1.05 + penalty)
     w, ahead, t = np.zeros(width + 1), np.zeros(width + 1), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, values * ahead[columns], n) + ahead[width], -35, 35)))
-        gradient = np.append(np.bincount(columns, values * (p - y)[rows], width), (p - y).sum())
+        p = 1 / (1 + np.exp(-np.clip(times(ahead), -35, 35)))
+        gradient = back(p - y)
         gradient[:width] += penalty * ahead[:width]
         new = ahead - step * gradient
         following = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -194,10 +215,13 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", fit_rows
     ratio = np.log(p / (ones + 2 * smoothing)) - np.log(q / (n - ones + 2 * smoothing))
     shape = Linear(best["gram"].to_numpy(np.uint64), ratio, none.bias)
     rows: pd.DataFrame = texts.mapInArrow(lambda b: _featured(b, shape), "doc_id long, label int, grams array<int>").toPandas().sort_values("doc_id")
-    held = [np.asarray(g, np.int64) for g in rows["grams"]]
-    columns = np.concatenate(held) if held else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(held)), [len(g) for g in held])
-    weight, bias = logistic(of, columns, ratio[columns], rows["label"].to_numpy(float), len(ratio))
+    starts = np.concatenate([[0], np.cumsum([len(g) for g in rows["grams"]])]).astype(np.int64)
+    columns = np.empty(int(starts[-1]), np.uint16 if len(ratio) <= 65_536 else np.int64)
+    for a, b, own in zip(starts, starts[1:], rows["grams"]):
+        columns[a:b] = own
+    y = rows["label"].to_numpy(float)
+    del rows
+    weight, bias = logistic(columns, starts, ratio, y)
     return Linear(shape.grams, weight * ratio, bias)
 
 

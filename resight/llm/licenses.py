@@ -1,8 +1,8 @@
 """Licence scans over a positional rare-token index of licence templates.
 
 The index holds, for each template, the postings (term, position) of its rarest words: the half of them with the
-highest inverse document frequency over all scanned files. A file looks up those of its words that are in the
-index and have the highest frequencies of this kind, `looked_up` words with all their places. Postings are intersected by
+highest inverse document frequency over all scanned files. A file looks up every place of every word of the
+index, so one that holds many notices loses none of them. Postings are intersected by
 relative position: places in the file and in the template with the same difference support one another. A
 template's score there is the share of the indexed weight that meets, and the template is reported if the score
 reaches `least` and all of its mandatory key phrases stand in the file.
@@ -58,7 +58,6 @@ TEMPLATES = (
     Template("cc-by-nd-4.0", "licensed under cc by nd 4 0", ("cc by nd",)),
     Template("cc0", "dedicated to the public domain under cc0 1 0 universal", ("cc0 1 0",)),
 )
-LOOKED_UP = 12
 LEAST = 0.6
 
 
@@ -98,7 +97,6 @@ def scan(
     files: DataFrame,
     templates: tuple[Template, ...] = TEMPLATES,
     base: dict[str, str] | None = None,
-    looked_up: int = LOOKED_UP,
     least: float = LEAST,
 ) -> DataFrame:
     """doc_id, n_words, base_places (array of starts, ascending), base_labels, labels and score of every row.
@@ -132,11 +130,8 @@ def scan(
         F.array(*[F.struct(F.lit(label).alias("label"), per_phrase[p].alias("places")) for p, label in base.items()]).alias("base"),
         F.filter(F.array(*[F.when(F.size(_phrase_places(words, anchors, k)) > 0, F.lit(k)) for k in keys]), lambda k: k.isNotNull()).alias("keys"),
     )
-    weight_of = F.create_map(*[x for w in sorted(weights) for x in (F.lit(w), F.lit(weights[w]))])
-    ranked = F.array_sort(F.transform(F.filter(F.array_distinct(F.transform(anchors, lambda x: x["word"])), lambda w: w.isin(sorted(weights))), lambda w: F.struct((-F.element_at(weight_of, w)).alias("less"), w.alias("word"))))
-    top = F.transform(F.slice(ranked, 1, looked_up), lambda x: x["word"])
-    found = found.withColumn("top", top).withColumn("hits", F.filter("anchors", lambda x: F.array_contains("top", x["word"])))
-    found = kept(found.drop("anchors", "top"), "licence-words")
+    found = found.withColumn("hits", F.filter("anchors", lambda x: x["word"].isin(sorted(weights))))
+    found = kept(found.drop("anchors"), "licence-words")
 
     # Intersection by relative position, for the few rows that look anything up.
     postings = spark.createDataFrame(index, "template int, term string, position int, weight double")

@@ -81,6 +81,20 @@ def test_licences(spark, documents, odd_texts):
     assert all(0 <= r.score <= 1 and (r.score > 0) == bool(r.labels) and set(r.base_labels) <= set(r.labels) for r in got)
 
 
+def test_many_licences_in_one_file(spark):
+    own = [t for t in licenses.TEMPLATES if len(t.words) > 12]
+    short = [t for t in licenses.TEMPLATES if t.label in ("mpl-2.0", "unlicense", "cc0", "lgpl", "apache-2.0")]
+    files = [own, short, list(licenses.TEMPLATES), [*licenses.TEMPLATES] * 20]
+    texts = [(i, " filler words between ".join(t.text for t in f)) for i, f in enumerate(files)]
+    # Files with other words, so that the index is of words that are rare.
+    df = spark.createDataFrame([*texts, *[(100 + i, f"other words {i}") for i in range(40)]], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df).where("doc_id < 100").collect()}
+    assert {t.label for t in own} == {"mit", "bsd", "isc"} and len(short) == 5
+    for i, f in enumerate(files):
+        assert {t.label for t in f} <= set(got[i].labels), i
+    assert got[0].score == pytest.approx(1.0)
+
+
 def test_licences_run_no_python(documents, no_documents):
     plan = licenses.scan(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -140,9 +140,7 @@ def _sent(batches: Iterator[pa.RecordBatch], order: int, shards: list[int]) -> I
                 rows.append((1, int(s), name, packed(block.words[part], counts[part])))
             for level, (context, successor, ids, _, _) in enumerate(block.levels(order), 2):
                 counts = np.bincount(ids[trained & (ids >= 0)], minlength=len(context)).astype(np.uint32)
-                shard = _gram_shard(context, successor, shards[level - 1])
-                by = np.argsort(shard, kind="stable")
-                edges = np.searchsorted(shard[by], np.arange(shards[level - 1] + 1))
+                by, edges = _by_shard(context, successor, shards[level - 1])
                 for s in range(shards[level - 1]):
                     own = by[edges[s] : edges[s + 1]]
                     if len(own):
@@ -151,9 +149,33 @@ def _sent(batches: Iterator[pa.RecordBatch], order: int, shards: list[int]) -> I
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["level", "shard", "block", "grams"])
 
 
+def _by_shard(context: np.ndarray, successor: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of n-grams by shard and context, and the edges of the shards in it."""
+    shard = _gram_shard(context, successor, shards)
+    by = np.lexsort((context, shard))
+    return by, np.searchsorted(shard[by], np.arange(shards + 1))
+
+
 def _keys(context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """40 bits of the context as 32 and 8, and 32 of the successor; the shard was chosen by others."""
-    return (context >> _U(32)).astype(np.uint32), ((context >> _U(24)) & _U(255)).astype(np.uint8), (successor >> _U(32)).astype(np.uint32)
+    """40 bits of ascending contexts as steps of 32 and 8, and 32 of the successor; the shard was chosen by others."""
+    step = np.diff(context >> _U(24), prepend=_U(0))
+    return (step >> _U(8)).astype(np.uint32), (step & _U(255)).astype(np.uint8), (successor >> _U(32)).astype(np.uint32)
+
+
+def _ascending(context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+    """The order by context (40 bits), then successor (32 bits): by 64 bits at once, then the few that these leave open."""
+    key = (context << _U(24)) | (successor >> _U(8))
+    order = np.argsort(key)
+    key, low = key[order], successor[order] & _U(255)
+    new = key[1:] != key[:-1]
+    open_ = ~new & (low[1:] != low[:-1])
+    if open_.any():
+        run = np.concatenate([[0], np.cumsum(new)])
+        several = np.zeros(int(run[-1]) + 1, bool)
+        several[run[1:][open_]] = True
+        at = np.flatnonzero(several[run])
+        order[at] = order[at][np.lexsort((low[at], key[at]))]
+    return order
 
 
 def coded(counts: np.ndarray) -> np.ndarray:
@@ -174,14 +196,15 @@ def _answered(part: pd.DataFrame) -> pd.DataFrame:
         keys = [(np.zeros(len(a), np.uint64), a) for a, _ in asked]
         bits = (1, 64)
     else:
-        keys = [((a.astype(np.uint64) << _U(8)) | b, c.astype(np.uint64)) for a, b, c, _ in asked]
+        keys = [(np.cumsum((a.astype(np.uint64) << _U(8)) | b, dtype=np.uint64), c) for a, b, c, _ in asked]
         bits = (CONTEXT_BITS, SUCCESSOR_BITS)
-    context, successor = (np.concatenate([k[i] for k in keys]) for i in (0, 1))
-    counts = np.concatenate([x[-1] for x in asked]).astype(np.int64)
-    seen = counts > 0
-    context, successor, counts = context[seen], successor[seen], counts[seen]
-    order = np.lexsort((successor, context))
-    context, successor, counts = context[order], successor[order], counts[order]
+    counts = np.concatenate([x[-1] for x in asked])
+    asked.clear()
+    seen = np.flatnonzero(counts)
+    context, successor = (np.concatenate([k[i] for k in keys]).astype(np.uint64, copy=False)[seen] for i in (0, 1))
+    order = np.argsort(successor) if level == 1 else _ascending(context, successor)
+    context, successor, counts = context[order], successor[order], counts[seen[order]].astype(np.int64)
+    del seen, order
     heads = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])])) if len(counts) else np.zeros(0, np.int64)
     total = np.add.reduceat(counts, heads) if len(heads) else counts
     context, successor = context[heads], successor[heads]
@@ -193,7 +216,7 @@ def _answered(part: pd.DataFrame) -> pd.DataFrame:
     trie = Level(Level.encode(context, successor, values, *bits))
     rows = []
     for (c, s), name in zip(keys, part["block"], strict=True):
-        at = trie.find(c, s)
+        at = trie.find(c, s.astype(np.uint64, copy=False))
         rows.append((level, shard, name, packed(np.where(at >= 0, trie.values[at], 0).astype(values.dtype) if len(values) else np.zeros(len(c), values.dtype)), 0, 0))
     if level == 1:
         words = (context << _U(32)) | successor
@@ -232,9 +255,7 @@ def _block_scores(words: np.ndarray, codes: np.ndarray, starts: np.ndarray, answ
     p = ((counts + 1) / (tokens + types + 1))[codes]
     before = counts.astype(float)
     for level, (context, successor, ids, own, _) in enumerate(block.levels(order), 2):
-        shard = _gram_shard(context, successor, shards[level - 1])
-        by = np.argsort(shard, kind="stable")
-        cut = np.searchsorted(shard[by], np.arange(shards[level - 1] + 1))
+        by, cut = _by_shard(context, successor, shards[level - 1])
         value = np.zeros(len(context))
         for s in range(shards[level - 1]):
             if cut[s] < cut[s + 1]:

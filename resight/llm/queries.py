@@ -32,8 +32,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """The log10 probability of every document under a bigram model of those that are not held out."""
-    return ngram_lm.scored(table(spark, folder, "documents"), held_out(F.col("doc_id"), 7, 2), order=2)
+    """The log10 probability of every document under a trigram model of those that are not held out."""
+    return ngram_lm.scored(table(spark, folder, "documents"), held_out(F.col("doc_id"), 7, 2), order=3)
 
 
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm.conftest import spaced_words
-from resight.llm import ngram_lm
+from resight.llm import ngram_lm, queries
 from resight.llm.elias_fano import EliasFano, Level
 from resight.llm.labelled import held_out
 
@@ -35,6 +35,16 @@ def test_level_searches_within_a_context():
     assert len(raw) < 9 * len(grams)
 
 
+def test_ascending():
+    rng = np.random.default_rng(2)
+    for most in (3, 1 << 10, 1 << 32):
+        context, successor = (rng.integers(0, most, 5000).astype(np.uint64) for _ in range(2))
+        order = ngram_lm._ascending(context, successor)
+        want = np.lexsort((successor, context))
+        assert sorted(order) == list(range(5000))
+        assert (context[order] == context[want]).all() and (successor[order] == successor[want]).all()
+
+
 def brute(rows, order, prior):
     texts = [(d, spaced_words(t)) for d, t in rows]
     out_of = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in texts]
@@ -72,6 +82,19 @@ def test_scores(documents, odd_texts, monkeypatch, order):
         assert abs(g[6] - w[6]) <= 2e-3 * g[2]
 
 
+def test_the_query_asks_trigrams(spark, tmp_path):
+    # All words and bigrams of the last text were seen, of its trigrams one was not.
+    texts = ["a b c", "d b e", *["x y"] * 3]
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 7 != 2][: len(texts)]
+    out = next(i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [*zip(ids, texts), (out, "a b e")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op2_lm_scores(spark, str(tmp_path)).collect()}
+    for d, _, n, _, _, _, score in brute(rows, 3, 100.0):
+        assert abs(got[d] - score) <= 2e-3 * n
+    assert abs(got[out] - next(r[6] for r in brute(rows, 2, 100.0) if r[0] == out)) > 2e-3 * 4
+
+
 def test_no_documents(no_documents):
     assert ngram_lm.scored(no_documents, held_out(F.col("doc_id"), 7, 2)).count() == 0
 

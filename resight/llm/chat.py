@@ -6,9 +6,11 @@ the turn's span. Where the text lies in the span is found by rendering the turn
 of its text. A template that changes what it rendered before is detected: the longer output then does not begin
 with the shorter one, the turn's `rewrites` is true, and its span starts where both outputs part.
 
-Turns are laid out by conversation and in order, and streamed: a task holds one window of turns, not a
-conversation. Prefixes begin anew every `window` turns, with the turn before as their context, so a conversation
-of any length costs at most `window` renderings a turn.
+Turns are laid out by conversation and in order, and streamed. Prefixes are whole, so a task holds one
+conversation, and its renderings grow with the square of its turns. Only a template that declares by `independent`
+that it renders each turn by itself is spared that: its prefixes begin anew every `window` turns, with the turn
+before as their context, so a task holds one window of turns and a conversation of any length costs at most
+`window` renderings a turn. The declaration is the class's own: one that inherits the rest has to give it again.
 
 Nulls: a null text or role is empty. A null conversation is a conversation of its own kind, a null turn comes
 first. Rows that share a turn are ordered by role, then text; repeated rows are turns like others. An empty table
@@ -40,6 +42,11 @@ class Template(Protocol):
     def plain(self, content: str) -> str: ...
 
 
+def independent(template: Template) -> bool:
+    """Whether the very class of a template declares that it renders each turn by itself."""
+    return bool(vars(type(template)).get("independent", False))
+
+
 class ChatMarkup:
     """Turns between <|im_start|>role and <|im_end|>.
 
@@ -47,6 +54,7 @@ class ChatMarkup:
     left in them, and taken out again on reading. Roles also write line ends and backslashes as escapes.
     """
 
+    independent = True
     _OPEN = re.compile(r"<(\\*)\|")
     _ESCAPED = re.compile(r"<\\(\\*)\|")
     _ROLE = {"\\": "\\\\", "\n": "\\n"}
@@ -84,18 +92,22 @@ def added(before: str, after: str) -> tuple[int, bool]:
 
 
 class Rendering:
-    """The running state of one conversation: the turns of the window and its rendering so far."""
+    """The running state of one conversation: its turns (of the window, if they are independent) and its rendering so far."""
 
     def __init__(self, template: Template, window: int):
-        self.template, self.window = template, window
+        self.template, self.window = template, window if independent(template) else None
         self.turns: list[tuple[str, str]] = []
         self.text = ""
+        self.passed = 0  # code points before the window
 
-    def add(self, role: str, text: str) -> tuple[str, int, int, bool]:
-        """The span that the turn adds, where its content starts and ends in it, and whether earlier text changed."""
-        if len(self.turns) > self.window:
+    def add(self, role: str, text: str) -> tuple[str, int, int, int, bool]:
+        """The span that the turn adds, where it starts in the conversation, where its content starts and ends in it,
+        and whether earlier text changed."""
+        if self.window is not None and len(self.turns) > self.window:
             self.turns = self.turns[-1:]
+            self.passed += len(self.text)
             self.text = self.template.render(self.turns)
+            self.passed -= len(self.text)
         turns = [*self.turns, (role, text)]
         whole = self.template.render(turns)
         start, rewrites = added(self.text, whole)
@@ -110,7 +122,18 @@ class Rendering:
         if at >= 0 and (whole[:at] != marked[:at] or whole[closed:] != marked[at + len(marker) :]):
             rewrites = True
         self.turns, self.text = turns, whole
-        return whole[start:], max(0, opened - start), max(0, closed - start), rewrites
+        return whole[start:], self.passed + start, max(0, opened - start), max(0, closed - start), rewrites
+
+
+def content_place(template: Template, turns: list[tuple[str, str]], whole: str, k: int) -> tuple[int, int] | None:
+    """Where the text of turn k stands in the rendering of all turns; None if the template leaves it out."""
+    n = 0
+    while MARKER.format(n) in whole:
+        n += 1
+    marker = MARKER.format(n)
+    marked = template.render([*turns[:k], (turns[k][0], marker), *turns[k + 1 :]])
+    at = marked.rfind(marker)
+    return (at, max(at, len(whole) - (len(marked) - at - len(marker)))) if at >= 0 else None
 
 
 def _laid_out(conversations: DataFrame) -> DataFrame:
@@ -120,20 +143,21 @@ def _laid_out(conversations: DataFrame) -> DataFrame:
 
 def format_turns(conversations: DataFrame, template: Template | None = None, trained: tuple[str, ...] = ("assistant",), window: int = WINDOW) -> DataFrame:
     """A row for each turn, by conversation and in order within a partition: conv_id, place (from 0), span (the
-    formatted text that the turn adds), start (of the span in the conversation), opened and closed (of the
+    formatted text that the turn adds), start (of the span in the conversation so far, whose text from there on it
+    replaces if the turn rewrites), opened and closed (of the
     content within the span, in code points), trained (whether the content is under the loss mask), rewrites."""
     markup = template or ChatMarkup()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conversation, state, place, offset = object(), None, 0, 0
+        conversation, state, place = object(), None, 0
         for batch in batches:
             rows = []
             for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if conv != conversation:
-                    conversation, state, place, offset = conv, Rendering(markup, window), 0, 0
-                span, opened, closed, rewrites = state.add(role, text)
-                rows.append((conv, place, span, offset, opened, closed, role in trained, rewrites))
-                place, offset = place + 1, offset + len(span)
+                    conversation, state, place = conv, Rendering(markup, window), 0
+                span, start, opened, closed, rewrites = state.add(role, text)
+                rows.append((conv, place, span, start, opened, closed, role in trained, rewrites))
+                place += 1
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
                 names = ["conv_id", "place", "span", "start", "opened", "closed", "trained", "rewrites"]
@@ -145,17 +169,44 @@ def format_turns(conversations: DataFrame, template: Template | None = None, tra
 
 
 def format_conversations(conversations: DataFrame, template: Template | None = None, trained: tuple[str, ...] = ("assistant",), window: int = WINDOW) -> DataFrame:
-    """conv_id, formatted (the whole text), loss_spans (start and end, in code points) and rewrites.
+    """conv_id, formatted (the rendering of all turns), loss_spans (start and end, in code points) and rewrites.
 
-    One row holds a whole conversation; use `format_turns` where conversations may be very long.
+    Where a template rewrites, loss spans are looked for in the whole rendering, one more rendering a trained turn;
+    texts that it leaves out have none. One row holds a whole conversation; use `format_turns` where conversations
+    may be very long.
     """
-    turns = format_turns(conversations, template, trained, window)
-    span = F.when(F.col("trained"), F.struct((F.col("start") + F.col("opened")).alias("start"), (F.col("start") + F.col("closed")).alias("end")))
-    parts = F.sort_array(F.collect_list(F.struct("place", "span")))
-    return turns.groupBy("conv_id").agg(
-        F.array_join(F.transform(parts, lambda p: p["span"]), "").alias("formatted"),
-        F.sort_array(F.collect_list(span)).alias("loss_spans"),
-        F.bool_or("rewrites").alias("rewrites"),
+    markup = template or ChatMarkup()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.bool_()]
+        names = ["conv_id", "formatted", "loss_spans", "rewrites"]
+        conversation, state, turns, spans, losses, changed = object(), None, [], [], [], False
+
+        def closed_one() -> pa.RecordBatch:
+            formatted, places = "".join(spans), losses
+            if changed:
+                formatted = markup.render(turns)
+                places = [content_place(markup, turns, formatted, k) for k, (role, _) in enumerate(turns) if role in trained]
+            found = [{"start": p[0], "end": p[1]} for p in sorted(p for p in places if p is not None)]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((conversation, formatted, found, changed), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for conv, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if conv != conversation:
+                    if state is not None:
+                        yield closed_one()
+                    conversation, state, turns, spans, losses, changed = conv, Rendering(markup, window), [], [], [], False
+                span, start, opened, closed, rewrites = state.add(role, text)
+                turns.append((role, text))
+                spans.append(span)
+                if role in trained:
+                    losses.append((start + opened, start + closed))
+                changed |= rewrites
+        if state is not None:
+            yield closed_one()
+
+    return _laid_out(conversations).select("conv_id", "role", "text").mapInArrow(
+        run, "conv_id long, formatted string, loss_spans array<struct<start:long,end:long>>, rewrites boolean"
     )
 
 
@@ -193,7 +244,7 @@ def read_back(turns: DataFrame, template: Template | None = None) -> DataFrame:
                     loss = markup.plain(row["span"][row["opened"] : row["closed"]])
                     now[3] += len(loss)
                     now[4].update(loss.encode())
-                now[5] += len(row["span"])
+                now[5] = row["start"] + len(row["span"])
                 now[6] |= row["rewrites"]
             if done:
                 yield table()

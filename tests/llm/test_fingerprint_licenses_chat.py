@@ -149,5 +149,34 @@ def test_rewriting_templates_are_detected(turns):
     assert [r.rewrites for r in sorted(rows, key=lambda r: r.place)] == [False, False, True, False]
 
 
+def test_templates_that_look_far_back(turns):
+    class Late(chat.ChatMarkup):
+        """Drops the text of turn 1 once turn 30 comes."""
+
+        def render(self, turns):
+            return chat.ChatMarkup.render(self, [(r, "" if k == 1 and len(turns) > 30 else t) for k, (r, t) in enumerate(turns)])
+
+    class Numbered(chat.ChatMarkup):
+        """Gives the number of each turn and needs the user to begin."""
+
+        def render(self, turns):
+            if turns and turns[0][0] != "user":
+                raise ValueError("the user begins")
+            return "".join(f"{k}:{chat.ChatMarkup.render(self, [t])}" for k, t in enumerate(turns))
+
+    long, said = turns.where("conv_id = 4"), [(role, text) for c, _, role, text in TURNS if c == 4]
+    for template, changed in ((Late(), [30]), (Numbered(), [])):
+        rows = sorted(chat.format_turns(long, template).collect(), key=lambda r: r.place)
+        assert [r.place for r in rows if r.rewrites] == changed
+        text = ""
+        for k, r in enumerate(rows):
+            text = text[: r.start] + r.span
+            assert text == template.render(said[: k + 1])
+        (whole,) = chat.format_conversations(long, template).collect()
+        assert whole.formatted == template.render(said) and whole.rewrites == bool(changed)
+        marked = [template.plain(whole.formatted[a:b]) for a, b in whole.loss_spans]
+        assert [m for m in marked if m] == [t for k, (r, t) in enumerate(said) if r == "assistant" and t and (k != 1 or not changed)]
+
+
 def test_no_turns(turns):
     assert chat.read_back(chat.format_turns(turns.where("false"))).count() == 0

@@ -67,6 +67,15 @@ def test_chains_and_groups_around_the_threshold(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_a_band_takes_different_functions():
+    functions = minhash.BANDS * minhash.ROWS // 2
+    plain = minhash.band_keys(np.zeros((1, 2 * functions), np.uint32), minhash.BANDS, minhash.ROWS)
+    for f in range(functions):
+        other = np.zeros((1, 2 * functions), np.uint32)
+        other[0, [f, functions + f]] = 1
+        assert (minhash.band_keys(other, minhash.BANDS, minhash.ROWS) != plain).sum() == 2
+
+
 def test_no_documents(no_documents):
     assert minhash.near_duplicates(no_documents).count() == 0
 

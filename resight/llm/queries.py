@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import chat, decontam, fingerprint, licenses, minhash, ngram_lm, packing, quality, sharding, toxicity
+from resight.llm import bpe, chat, decontam, fingerprint, licenses, minhash, ngram_lm, packing, quality, sharding, toxicity
 from resight.llm.labelled import held_out
 
 
@@ -112,6 +112,13 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded by byte-level BPE, and decoded again."""
+    import public_tokenizers
+
+    return bpe.round_trips(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

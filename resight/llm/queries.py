@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import bpe, chat, decontam, fingerprint, licenses, minhash, ngram_lm, packing, quality, sharding, toxicity
+from resight.llm import bpe, chat, decontam, fingerprint, licenses, minhash, ngram_lm, packing, prefix_trie, quality, sharding, toxicity
 from resight.llm.labelled import held_out
 
 
@@ -112,6 +112,11 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
 def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded by byte-level BPE, and decoded again."""
     import public_tokenizers
@@ -124,4 +129,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op11_prefix_trie": prefix_trie.ORACLE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resight.llm import bpe, chat, decontam, fingerprint, licenses, minhash, ngram_lm, packing, prefix_trie, quality, sharding, toxicity
+from resight.llm import bpe, chat, decontam, divergence, fingerprint, licenses, minhash, ngram_lm, packing, prefix_trie, quality, sharding, toxicity
 from resight.llm.labelled import held_out
 
 
@@ -117,6 +117,11 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
 
 
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How the sources of each language differ from each other, and in which terms from their language."""
+    return divergence.divergences(table(spark, folder, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded by byte-level BPE, and decoded again."""
     import public_tokenizers
@@ -129,4 +134,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op11_prefix_trie": prefix_trie.ORACLE}
+    return {"op11_prefix_trie": prefix_trie.ORACLE, "op12_divergence": divergence.ORACLE}

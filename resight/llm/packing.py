@@ -33,8 +33,8 @@ from resight.llm.store import kept
 TOKENS = 1024
 #: Pieces that one task packs, about.
 RUN = 6000
-#: Chunks whose ids a worker remembers, at most (some 60 MB); then it starts anew.
-REMEMBERED = 300_000
+#: Chunks in one of the two generations that a worker remembers (some 60 MB each), and texts learned together.
+REMEMBERED, TOGETHER = 300_000, 512
 #: A text can be cut before a single space that a word follows: pre-tokens never reach over it.
 CUT = re.compile(r"(?= \S)")
 #: A space that no word follows.
@@ -42,46 +42,67 @@ BLANKS = re.compile(r" (?!\S)")
 
 
 class ChunkEncoder:
-    """Ids of texts as little-endian 32-bit bytes. Chunks between cuts recur, so each is encoded once."""
+    """Ids of texts as little-endian 32-bit bytes. Chunks between cuts recur: those of many texts that are new are
+    encoded together, each once, and the last ones met are remembered in two generations of `remembered`."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         assert array("I").itemsize == 4 and sys.byteorder == "little"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.seen: dict[str, bytes] = {}
+        self.remembered = remembered
+        # Chunks are kept without the space before them; what begins a text has none.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, text: str) -> bytes:
+    def _chunks(self, text: str) -> list[str] | None:
+        """What begins the text, and the chunks after it without their spaces; None for a text that is not cut."""
         # A special token that holds a space, or text that it is found in, is not cut.
         if any(t in text for t in self.whole):
-            return self._plain(text)
-        # Every space before a word: the common case, without a regular expression. Keys leave the space out.
+            return None
+        # Every space before a word: the common case, without a regular expression.
         if BLANKS.search(text) is None:
-            first, *rest = text.split(" ")
-            return self._first(first) + self._joined(self.seen, rest, " ")
+            return text.split(" ")
         first, *rest = CUT.split(text)
-        return self._first(first) + self._joined(self.seen, [x[1:] for x in rest], " ")
-
-    def _first(self, chunk: str) -> bytes:
-        return self._joined(self.heads, [chunk], "") if chunk else b""
-
-    def _joined(self, seen: dict[str, bytes], chunks: list[str], before: str) -> bytes:
-        try:
-            return b"".join(map(seen.__getitem__, chunks))
-        except KeyError:
-            new = list({c for c in chunks if c not in seen})
-        if len(seen) + len(new) > REMEMBERED:
-            seen.clear()
-            new = list(set(chunks))
-        ids = self.tokenizer.encode_batch_fast([before + c for c in new], add_special_tokens=False)
-        for c, x in zip(new, ids, strict=True):
+        return [first, *[x[1:] for x in rest]]
+
+    def _learn(self, seen: dict[str, bytes], chunks: list[str], before: str) -> None:
+        found = self.tokenizer.encode_batch_fast([before + c for c in chunks], add_special_tokens=False)
+        for c, x in zip(chunks, found, strict=True):
             seen[c] = array("I", x.ids).tobytes()
-        return b"".join(map(seen.__getitem__, chunks))
+
+    def learn(self, texts: list[str]) -> None:
+        """Remember every chunk of these texts."""
+        if len(self.young) >= self.remembered:
+            self.old, self.young = self.young, {}
+        if len(self.heads) >= self.remembered:
+            self.heads = {}
+        young, old, heads = self.young, self.old, self.heads
+        missing, first = set(), set()
+        for text in texts:
+            chunks = self._chunks(text)
+            if chunks:
+                if chunks[0] and chunks[0] not in heads:
+                    first.add(chunks[0])
+                missing.update([c for c in chunks[1:] if c not in young])
+        for c in [c for c in missing if c in old]:
+            young[c] = old[c]
+            missing.discard(c)
+        self._learn(young, list(missing), " ")
+        self._learn(heads, list(first), "")
+
+    def ids(self, text: str) -> bytes:
+        """The ids of a text whose chunks are remembered."""
+        chunks = self._chunks(text)
+        if chunks is None:
+            return self._plain(text)
+        head = self.heads[chunks[0]] if chunks[0] else b""
+        return head + b"".join(map(self.young.__getitem__, chunks[1:]))
 
 
 @lru_cache(maxsize=2)
@@ -96,9 +117,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, tokens: int,
     stop = np.array([end], dtype="<u4").tobytes()
     for batch in batches:
         names, texts = batch.column(0), batch.column(1)
-        for first in range(0, batch.num_rows, 256):
+        for first in range(0, batch.num_rows, TOGETHER):
             rows: list[tuple] = []
-            for doc, text in zip(names.slice(first, 256).to_pylist(), texts.slice(first, 256).to_pylist(), strict=True):
+            own = texts.slice(first, TOGETHER).to_pylist()
+            encoder.learn([t for t in own if t])
+            for doc, text in zip(names.slice(first, TOGETHER).to_pylist(), own, strict=True):
                 ids = (encoder.ids(text) if text else b"") + stop
                 for piece, a in enumerate(range(0, len(ids), 4 * tokens)):
                     part = ids[a : a + 4 * tokens]

@@ -34,7 +34,7 @@ from resight.llm.store import kept
 
 LEAST, TOP, SCALE = 3, 200, 1_000_000_000
 SLICE = 16 << 20
-CELLS = 1 << 21
+CELLS = 1 << 18
 #: Bytes that stand between terms: all of ASCII but letters.
 APART = np.zeros(256, dtype=bool)
 APART[:0x41] = APART[0x5B:0x61] = APART[0x7B:0x80] = True

@@ -33,17 +33,25 @@ from resight.llm.store import kept
 TOKENS = 1024
 #: Pieces that one task packs, about.
 RUN = 6000
-#: Chunks in one of the two generations that a worker remembers (some 60 MB each), and texts learned together.
-REMEMBERED, TOGETHER = 300_000, 512
+#: Chunks in one of the two generations that a worker remembers (some 80 MB each), and texts learned together.
+REMEMBERED, TOGETHER = 400_000, 512
 #: A text can be cut before a single space that a word follows: pre-tokens never reach over it.
 CUT = re.compile(r"(?= \S)")
 #: A space that no word follows.
 BLANKS = re.compile(r" (?!\S)")
+#: Pre-tokens of one character that stand between others without a space: a stop after a Latin letter and before white
+#: space or the end, and a line end between something else than white space and a Latin letter.
+STOP = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([,.;:!?])(?=[ \n]|\Z)")
+LINE = re.compile(r"(?<=\S)\n(?=[A-Za-zÀ-ÖØ-öø-ÿ])")
+MARK = "\0"
 
 
 class ChunkEncoder:
     """Ids of texts as little-endian 32-bit bytes. Chunks between cuts recur: those of many texts that are new are
-    encoded together, each once, and the last ones met are remembered in two generations of `remembered`."""
+    encoded together, each once, and the last ones met are remembered in two generations of `remembered`.
+
+    A chunk is named by what follows the space that it begins with, or by MARK and itself if it begins without one.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         assert array("I").itemsize == 4 and sys.byteorder == "little"
@@ -52,57 +60,41 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
-        # Chunks are kept without the space before them; what begins a text has none.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _chunks(self, text: str) -> list[str] | None:
-        """What begins the text, and the chunks after it without their spaces; None for a text that is not cut."""
+        """The names of a text's chunks; None for a text that is not cut."""
         # A special token that holds a space, or text that it is found in, is not cut.
-        if any(t in text for t in self.whole):
+        if MARK in text or any(t in text for t in self.whole):
             return None
-        # Every space before a word: the common case, without a regular expression.
+        # Every space before a word: the common case. Stops and single line ends after words are chunks, too.
         if BLANKS.search(text) is None:
-            return text.split(" ")
-        first, *rest = CUT.split(text)
-        return [first, *[x[1:] for x in rest]]
-
-    def _learn(self, seen: dict[str, bytes], chunks: list[str], before: str) -> None:
-        found = self.tokenizer.encode_batch_fast([before + c for c in chunks], add_special_tokens=False)
-        for c, x in zip(chunks, found, strict=True):
-            seen[c] = array("I", x.ids).tobytes()
+            text = STOP.sub(" \0\\1", text)
+            if "\n" in text:
+                text = LINE.sub(" \0\n \0", text)
+            first, *rest = text.split(" ")
+        else:
+            first, *rest = CUT.split(text)
+            rest = [x[1:] for x in rest]
+        return [MARK + first, *rest] if first else rest
 
-    def learn(self, texts: list[str]) -> None:
-        """Remember every chunk of these texts."""
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text."""
         if len(self.young) >= self.remembered:
             self.old, self.young = self.young, {}
-        if len(self.heads) >= self.remembered:
-            self.heads = {}
-        young, old, heads = self.young, self.old, self.heads
-        missing, first = set(), set()
-        for text in texts:
-            chunks = self._chunks(text)
-            if chunks:
-                if chunks[0] and chunks[0] not in heads:
-                    first.add(chunks[0])
-                missing.update([c for c in chunks[1:] if c not in young])
-        for c in [c for c in missing if c in old]:
-            young[c] = old[c]
-            missing.discard(c)
-        self._learn(young, list(missing), " ")
-        self._learn(heads, list(first), "")
-
-    def ids(self, text: str) -> bytes:
-        """The ids of a text whose chunks are remembered."""
-        chunks = self._chunks(text)
-        if chunks is None:
-            return self._plain(text)
-        head = self.heads[chunks[0]] if chunks[0] else b""
-        return head + b"".join(map(self.young.__getitem__, chunks[1:]))
+        young, old = self.young, self.old
+        cut = [self._chunks(text) for text in texts]
+        missing = {c for chunks in cut if chunks for c in chunks if c not in young}
+        new = [c for c in missing if c not in old]
+        young.update((c, old[c]) for c in missing if c in old)
+        found = self.tokenizer.encode_batch_fast([c[1:] if c[0:1] == MARK else " " + c for c in new], add_special_tokens=False)
+        young.update((c, array("I", x.ids).tobytes()) for c, x in zip(new, found, strict=True))
+        for text, chunks in zip(texts, cut, strict=True):
+            if chunks is None:
+                yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            else:
+                yield b"".join(map(young.__getitem__, chunks))
 
 
 @lru_cache(maxsize=2)
@@ -120,9 +112,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, tokens: int,
         for first in range(0, batch.num_rows, TOGETHER):
             rows: list[tuple] = []
             own = texts.slice(first, TOGETHER).to_pylist()
-            encoder.learn([t for t in own if t])
-            for doc, text in zip(names.slice(first, TOGETHER).to_pylist(), own, strict=True):
-                ids = (encoder.ids(text) if text else b"") + stop
+            for doc, ids in zip(names.slice(first, TOGETHER).to_pylist(), encoder.ids([t or "" for t in own]), strict=True):
+                ids += stop
                 for piece, a in enumerate(range(0, len(ids), 4 * tokens)):
                     part = ids[a : a + 4 * tokens]
                     rows.append((doc, piece, a // 4, len(part) // 4, zlib.crc32(part), part if ids_too else None))

@@ -1,5 +1,6 @@
 """Packing: exact pieces, no capacity broken, close to the bound."""
 
+import random
 import zlib
 
 import numpy as np
@@ -21,9 +22,20 @@ def tokenizer():
 def test_chunks_give_the_ids_of_whole_texts(tokenizer, odd_texts):
     encoder = packing.ChunkEncoder(tokenizer_path())
     tricky = ["a  b", " a", "a \n b", "\n\n x", "x \t y", "  ", "a ", "\x1c b", "a  \n  b   c", "it's 's", "é  ñ’s\r\n 12 3", " <|endoftext|> x y", "x  y", "a  b"]
-    for text in [*tricky, *[t for _, t in odd_texts if t]]:
-        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        assert encoder.ids(text) == want, text[:40]
+    tricky += ["a, b.c d.", "a., b", "a,\nb\n\nc", "1, 2.", "日, 本.", "a\u00a0, b", "\0a \0, b", "a\n\u0301b", "x!\r\ny", "Dr. É. é: ñ; ß?", ",a ,b", "a,", "\na\nb.\n"]
+    rng = random.Random(4)
+    tricky += ["".join(rng.choice("aéZ1 .,;\n'日") for _ in range(rng.randrange(40))) for _ in range(2000)]
+    texts = [*tricky, *[t for _, t in odd_texts if t]]
+    for some in (texts, texts[::-1]):
+        for text, got in zip(some, encoder.ids(some), strict=True):
+            assert got == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:40]
+
+
+def test_a_small_memory_changes_nothing(tokenizer):
+    encoder = packing.ChunkEncoder(tokenizer_path(), remembered=10)
+    for k in range(50):
+        text = " ".join(f"w{j * k % 37}, x" for j in range(30))
+        assert list(encoder.ids([text])) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
 
 
 def test_pieces_and_places(documents, odd_texts, tokenizer):

@@ -41,8 +41,8 @@ CUT = re.compile(r"(?= \S)")
 BLANKS = re.compile(r" (?!\S)")
 #: Pre-tokens of one character that stand between others without a space: a stop after a Latin letter and before white
 #: space or the end, and a line end between something else than white space and a Latin letter.
-STOP = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])([,.;:!?])(?=[ \n]|\Z)")
-LINE = re.compile(r"(?<=\S)\n(?=[A-Za-zÀ-ÖØ-öø-ÿ])")
+STOP = re.compile(r"([,.;:!?])(?<=[A-Za-zÀ-ÖØ-öø-ÿ].)(?=[ \n]|\Z)")
+LINE = re.compile(r"\n(?<=\S\n)(?=[A-Za-zÀ-ÖØ-öø-ÿ])")
 MARK = "\0"
 
 
@@ -85,7 +85,7 @@ class ChunkEncoder:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         cut = [self._chunks(text) for text in texts]
-        missing = {c for chunks in cut if chunks for c in chunks if c not in young}
+        missing = set().union(*filter(None, cut)).difference(young)
         new = [c for c in missing if c not in old]
         young.update((c, old[c]) for c in missing if c in old)
         found = self.tokenizer.encode_batch_fast([c[1:] if c[0:1] == MARK else " " + c for c in new], add_special_tokens=False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,9 @@ def capture_histories(df: DataFrame) -> DataFrame:
     return years.select("id", F.array_join(marks, "").alias("ch"))
 
 
-def history_frequencies(histories: DataFrame) -> DataFrame:
-    return histories.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+def history_frequencies(histories: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Animals of each history, of each group where ``by`` names its columns."""
+    return histories.groupBy(*by, "ch").agg(F.count(F.lit(1)).alias("n"))
 
 
 def history_spans(histories: DataFrame, first_season: int | Column = 1) -> DataFrame:
@@ -64,18 +67,18 @@ def history_spans(histories: DataFrame, first_season: int | Column = 1) -> DataF
     ).withColumn("longevity", F.col("last_year") - F.col("first_year"))
 
 
-def _captures(frequencies: DataFrame) -> DataFrame:
+def _captures(frequencies: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Occasions of capture of each history (1-based, ascending)."""
     occasions = F.filter(
         F.sequence(F.lit(1), F.length("ch")), lambda i: F.substr("ch", i, F.lit(1)) == "1"
     )
     return frequencies.select(
-        "ch", "n", F.length("ch").alias("occasions"), occasions.alias("seen")
+        *by, "ch", "n", F.length("ch").alias("occasions"), occasions.alias("seen")
     ).where(F.size("seen") > 0)
 
 
-def m_array(frequencies: DataFrame) -> DataFrame:
-    """Reduced m-array: animals by release occasion and next capture (null: never seen again).
+def m_array(frequencies: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Reduced m-array: animals by release occasion and next capture (null: never seen again), within ``by``.
 
     Each capture is a release; those at the last occasion carry no information and are left out.
     ``occasions`` is the length of the study.
@@ -85,10 +88,10 @@ def m_array(frequencies: DataFrame) -> DataFrame:
         lambda s, i: F.struct(s.alias("release"), F.get(F.col("seen"), i + 1).alias("recapture")),
     )
     return (
-        _captures(frequencies)
-        .select("occasions", "n", F.explode(step).alias("s"))
-        .select("occasions", "s.release", "s.recapture", "n")
+        _captures(frequencies, by)
+        .select(*by, "occasions", "n", F.explode(step).alias("s"))
+        .select(*by, "occasions", "s.release", "s.recapture", "n")
         .where(F.col("release") < F.col("occasions"))
-        .groupBy("occasions", "release", "recapture")
+        .groupBy(*by, "occasions", "release", "recapture")
         .agg(F.sum("n").alias("n"))
     )

@@ -496,56 +496,59 @@ _BOX = """q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_co
       AND q3 + 1.5 * (q3 - q1) AS inside FROM events e JOIN q ON e.event_type = q.event_type)"""
 
 
-def _cjs(body: str) -> str:
-    """Constant-survival estimates by Newton steps on the gradient, its slope taken by differences."""
+def _cjs(body: str, groups: str = "SELECT DISTINCT id, 0 AS g FROM measured") -> str:
+    """Constant-survival estimates of each group by Newton steps on the gradient, its slope taken by differences."""
     h = "1e-5"
     chi = "(1 - p * phi * s)"
+    # Away from the top, where the slopes are no hill's, a step goes up the gradient.
+    hill = "k11 < 0 AND k11 * k22 > k12 * k12"
     head = _with(("measured", "histories"), "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
     return f"""{head},
-        freq AS (SELECT ch, count(*) AS n FROM histories GROUP BY ch),
+        groups AS ({groups}),
+        freq AS (SELECT g, ch, count(*) AS n FROM histories JOIN groups ON groups.id = histories.id GROUP BY g, ch),
         ends AS (SELECT min(season) AS lo, max(season) AS hi FROM measured),
-        steps AS (SELECT season, lead(season) OVER (PARTITION BY id ORDER BY season) AS next
-          FROM (SELECT DISTINCT id, season FROM measured)),
-        gaps AS (SELECT sum(next - season)::DOUBLE AS years, count(*)::DOUBLE AS n FROM steps
-          WHERE next IS NOT NULL),
-        lost AS (SELECT (hi - season)::DOUBLE AS l, count(*)::DOUBLE AS m FROM steps CROSS JOIN ends
-          WHERE next IS NULL AND season < hi GROUP BY 1),
+        steps AS (SELECT g, season, lead(season) OVER (PARTITION BY id ORDER BY season) AS next
+          FROM (SELECT DISTINCT m.id, g, season FROM measured m JOIN groups ON groups.id = m.id)),
+        gaps AS (SELECT g, sum(next - season)::DOUBLE AS years, count(*)::DOUBLE AS n FROM steps
+          WHERE next IS NOT NULL GROUP BY g),
+        lost AS (SELECT g, (hi - season)::DOUBLE AS l, count(*)::DOUBLE AS m FROM steps CROSS JOIN ends
+          WHERE next IS NULL AND season < hi GROUP BY 1, 2),
         newton AS (
-          SELECT 0 AS it, 0::DOUBLE AS b1, 0::DOUBLE AS b2, -1::DOUBLE AS h11, 0::DOUBLE AS h12,
-            -1::DOUBLE AS h22
+          SELECT g, 0 AS it, 0::DOUBLE AS b1, 0::DOUBLE AS b2, -1::DOUBLE AS h11, 0::DOUBLE AS h12,
+            -1::DOUBLE AS h22 FROM gaps
           UNION ALL
-          SELECT it + 1, b1 - greatest(-0.5, least(0.5, (g1 * k22 - g2 * k12) / (k11 * k22 - k12 * k12))),
-            b2 - greatest(-0.5, least(0.5, (g2 * k11 - g1 * k12) / (k11 * k22 - k12 * k12))), k11, k12, k22
-          FROM (SELECT it, b1, b2, max(CASE WHEN d = 0 THEN u END) AS g1,
+          SELECT g, it + 1, b1 - greatest(-0.5, least(0.5, CASE WHEN {hill} THEN (g1 * k22 - g2 * k12) / (k11 * k22 - k12 * k12) ELSE -g1 END)),
+            b2 - greatest(-0.5, least(0.5, CASE WHEN {hill} THEN (g2 * k11 - g1 * k12) / (k11 * k22 - k12 * k12) ELSE -g2 END)), k11, k12, k22
+          FROM (SELECT g, it, b1, b2, max(CASE WHEN d = 0 THEN u END) AS g1,
               max(CASE WHEN d = 0 THEN v END) AS g2,
               (max(CASE WHEN d = 1 THEN u END) - max(CASE WHEN d = 2 THEN u END)) / (2 * {h}) AS k11,
               (max(CASE WHEN d = 3 THEN u END) - max(CASE WHEN d = 4 THEN u END)) / (2 * {h}) AS k12,
               (max(CASE WHEN d = 3 THEN v END) - max(CASE WHEN d = 4 THEN v END)) / (2 * {h}) AS k22
-            FROM (SELECT it, b1, b2, d,
+            FROM (SELECT g, it, b1, b2, d,
                 phi * (1 - phi) * (max(years) / phi + sum(m * (-p * s - p * phi * ds * (1 - p)) / {chi})) AS u,
                 p * (1 - p) * (max(n) / p - (max(years) - max(n)) / (1 - p)
                   + sum(m * (-phi * s + p * phi * phi * ds) / {chi})) AS v
               FROM (SELECT *, (1 - pow(a, l)) / (1 - a) AS s,
                   ((1 - pow(a, l)) - l * pow(a, l - 1) * (1 - a)) / ((1 - a) * (1 - a)) AS ds
                 FROM (SELECT *, phi * (1 - p) AS a FROM (
-                  SELECT it, b1, b2, d,
+                  SELECT newton.g, it, b1, b2, d,
                     1 / (1 + exp(-(b1 + CASE d WHEN 1 THEN {h} WHEN 2 THEN -{h} ELSE 0 END))) AS phi,
                     1 / (1 + exp(-(b2 + CASE d WHEN 3 THEN {h} WHEN 4 THEN -{h} ELSE 0 END))) AS p
                   FROM newton CROSS JOIN (VALUES (0), (1), (2), (3), (4)) points(d) WHERE it < 60)
-                ) CROSS JOIN lost CROSS JOIN gaps)
-              GROUP BY it, b1, b2, d, phi, p)
-            GROUP BY it, b1, b2)),
+                ) points JOIN lost USING (g) JOIN gaps USING (g))
+              GROUP BY g, it, b1, b2, d, phi, p)
+            GROUP BY g, it, b1, b2)),
         fit AS (SELECT *, 1 / (1 + exp(-b1)) AS phi, 1 / (1 + exp(-b2)) AS p,
             sqrt(h22 / (h12 * h12 - h11 * h22)) AS s1,
             sqrt(h11 / (h12 * h12 - h11 * h22)) AS s2
           FROM newton WHERE it = 60),
-        parts AS (SELECT ch, n, length(ch) AS t, instr(ch, '1') AS f,
+        parts AS (SELECT g, ch, n, length(ch) AS t, instr(ch, '1') AS f,
             length(ch) - instr(reverse(ch), '1') + 1 AS l, length(replace(ch, '0', '')) - 1 AS k FROM freq),
-        cohorts AS (SELECT f, sum(n) AS r FROM parts GROUP BY f),
-        counted AS (SELECT ch, n AS observed, r * pow(phi, l - parts.f) * pow(p, k)
+        cohorts AS (SELECT g, f, sum(n) AS r FROM parts GROUP BY g, f),
+        counted AS (SELECT parts.g, ch, n AS observed, r * pow(phi, l - parts.f) * pow(p, k)
             * pow(1 - p, l - parts.f - k) * (1 - p * phi * (1 - pow(phi * (1 - p), t - l))
             / (1 - phi * (1 - p))) AS expected
-          FROM parts JOIN cohorts ON parts.f = cohorts.f CROSS JOIN fit)
+          FROM parts JOIN cohorts ON parts.f = cohorts.f AND parts.g = cohorts.g JOIN fit ON fit.g = parts.g)
         {body}"""
 
 
@@ -573,7 +576,32 @@ def _cjs_oracles() -> dict[str, str]:
           (SELECT sum(pow(observed - expected, 2) / expected) FROM counted) AS pearson,
           (SELECT -2 * sum(observed * ln(expected / r)) FROM counted JOIN parts ON counted.ch = parts.ch
             JOIN cohorts ON parts.f = cohorts.f) AS m2)"""
+    levels = "SELECT c_custkey AS id, CASE WHEN c_acctbal >= 4500 THEN 'high' ELSE 'low' END AS g FROM customer"
+    grouped_stats = f"""SELECT a.g AS balance, histories, cohorts, ess AS effective_sample_size, round(m2, 4) AS m2_log_likelihood,
+        round(sat, 4) AS saturated, round(m2 - sat, 4) AS deviance, histories - cohorts - 2 AS df,
+        round((m2 - sat) / (histories - cohorts - 2), 4) AS c_hat, round(m2 + 4, 4) AS aic,
+        round(m2 + 4 + 12 / (ess - 3), 4) AS aicc, round(m2 + 2 * ln(ess), 4) AS bic, round(pearson, 4) AS pearson
+        FROM (SELECT counted.g, count(*) AS histories, count(DISTINCT parts.f) AS cohorts,
+            -2 * sum(n * ln(n / r)) AS sat, sum(pow(observed - expected, 2) / expected) AS pearson,
+            -2 * sum(observed * ln(expected / r)) AS m2
+          FROM counted JOIN parts ON counted.g = parts.g AND counted.ch = parts.ch
+          JOIN cohorts ON parts.g = cohorts.g AND parts.f = cohorts.f GROUP BY counted.g) a
+        JOIN (SELECT g, count(*)::DOUBLE AS ess FROM steps CROSS JOIN ends WHERE season < hi GROUP BY g) b ON a.g = b.g"""
+
+    def by_balance(select: str) -> str:
+        return select.replace("SELECT ", "SELECT g AS balance, ", 1)
+
     return {
+        "q_cjs_by_balance": _cjs(
+            f"{by_balance(estimate('phi', 'b1', 's1'))} UNION ALL {by_balance(estimate('p', 'b2', 's2'))}", levels
+        ),
+        "q_cjs_fit_by_balance": _cjs(grouped_stats, levels),
+        "q_expected_counts_by_balance": _cjs(f"SELECT g AS balance, ch, observed, {_r('expected')} AS expected FROM counted", levels),
+        "q_expected_longevity_by_balance": _cjs(
+            f"""SELECT g AS balance, {_r('phi', 4)} AS phi, {_r('1 / (1 - phi)', 4)} AS longevity,
+            {_r(f"1 / (1 - {back('b1 - 1.96 * s1')})", 4)} AS lower, {_r(f"1 / (1 - {back('b1 + 1.96 * s1')})", 4)} AS upper FROM fit""",
+            levels,
+        ),
         "q_cjs": _cjs(f"{estimate('phi', 'b1', 's1')} UNION ALL {estimate('p', 'b2', 's2')}"),
         "q_cjs_fit": _cjs(stats),
         "q_expected_counts": _cjs(f"SELECT ch, observed, {_r('expected')} AS expected FROM counted"),
@@ -886,7 +914,7 @@ def oracles() -> dict[str, str]:
     )
     out["q_csv_clutches"] = _with(
         ("excavations",),
-        f"""SELECT e.event_id, unhatched, eggs, hatch, CAST(o_custkey AS VARCHAR) AS id,
+        f"""SELECT e.event_id, unhatched, eggs, {_r('hatch')} AS hatch, CAST(o_custkey AS VARCHAR) AS id,
         strftime(o_orderdate, '%-m/%-d/%Y') AS dt FROM excavations e JOIN orders ON e.event_id = o_orderkey
         WHERE shipped < TIMESTAMP '{t.NEW_TABLE_FROM}'""",
     )

@@ -316,7 +316,7 @@ def _(spark, d):
 
 @query("q_cjs")
 def _(spark, d):
-    return capture.fit_cjs(_frequencies(spark, d)).estimates(spark)
+    return capture.estimates_by(capture.fit_cjs_by(_frequencies(spark, d)))
 
 
 @query("q_cjs_fit", 4)
@@ -331,6 +331,36 @@ def _(spark, d):
     return capture.expected_counts(rows, capture.fit_cjs(rows))
 
 
+def _by_balance(spark, d):
+    """Histories of customers by the level of their balance, collapsed."""
+    level = F.when(F.col("c_acctbal") >= 4500, "high").otherwise("low").alias("balance")
+    rows = hist.capture_histories(t.measured(spark, d)).join(t.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), level), "id")
+    return hist.history_frequencies(rows, ["balance"])
+
+
+@query("q_cjs_by_balance")
+def _(spark, d):
+    """A fit for each group, in one plan."""
+    return capture.estimates_by(capture.fit_cjs_by(_by_balance(spark, d), ["balance"]), ["balance"])
+
+
+@query("q_cjs_fit_by_balance", 4)
+def _(spark, d):
+    rows = _by_balance(spark, d)
+    return capture.fit_statistics_by(rows, capture.fit_cjs_by(rows, ["balance"]), ["balance"])
+
+
+@query("q_expected_counts_by_balance")
+def _(spark, d):
+    rows = _by_balance(spark, d)
+    return capture.expected_counts_by(rows, capture.fit_cjs_by(rows, ["balance"]), ["balance"])
+
+
+@query("q_expected_longevity_by_balance", 4)
+def _(spark, d):
+    return capture.expected_longevity_by(capture.fit_cjs_by(_by_balance(spark, d), ["balance"]), ["balance"])
+
+
 @query("q_expected_longevity_by_year", 4)
 def _(spark, d):
     rows = t.measured(spark, d)

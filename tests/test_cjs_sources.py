@@ -2,6 +2,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,49 @@ def test_nothing_seen_again(spark):
         cjs.fit_cjs(spark.createDataFrame([("100", 3), ("010", 1)], "ch string, n long"))
 
 
+def test_groups_fit_as_they_do_alone(spark):
+    groups = {"a": simulated(1), "b": simulated(2, n=40), None: simulated(3, occasions=7), "long": simulated(4, occasions=20)}
+    rows_ = [(g, k, ch) for g, chs in groups.items() for k, ch in enumerate(chs)] + [("never", k, "0100") for k in range(5)]
+    rows_ += [("last", 0, "0001"), ("again", 0, "1100"), ("again", 1, "1111")]
+    freq = histories.history_frequencies(spark.createDataFrame(rows_, "g string, id long, ch string"), ["g"])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("fits", "fits")
+    fits = cjs.fit_cjs_by(freq, ["g"])
+    more = [cjs.estimates_by(fits, ["g"]), cjs.expected_counts_by(freq, fits, ["g"]), cjs.fit_statistics_by(freq, fits, ["g"]), cjs.expected_longevity_by(fits, ["g"])]
+    assert not tracker.getJobIdsForGroup("fits")
+    spark.sparkContext.setJobGroup("rest", "rest")
+    found = [{} for _ in more]
+    for k, frame in enumerate(more):
+        for r in frame.collect():
+            found[k].setdefault(r.g, []).append(r)
+    assert set(found[0]) == {*groups, "never", "again"}
+    assert all(r.estimate is None for r in found[0]["never"])
+    for g in groups:
+        own = freq.where(freq.g.eqNullSafe(g)).drop("g")
+        fit = cjs.fit_cjs(own)
+        for got, want in zip(sorted(found[0][g]), sorted(fit.estimates(spark).collect()), strict=True):
+            assert tuple(got)[1] == want[0] and tuple(got)[2:] == pytest.approx(tuple(want)[1:], rel=1e-9)
+        want = {r.ch: r.expected for r in cjs.expected_counts(own, fit).collect()}
+        assert {r.ch: r.expected for r in found[1][g]} == pytest.approx(want, rel=1e-9)
+        assert tuple(found[2][g][0])[1:] == pytest.approx(tuple(cjs.fit_statistics(own, fit).first()), rel=1e-9)
+        assert tuple(found[3][g][0])[1:] == pytest.approx(tuple(fit.expected_longevity(spark).first()), rel=1e-9)
+    assert cjs.fit_cjs_by(freq.where("false"), ["g"]).count() == 0
+
+
+def test_many_groups_step_by_themselves():
+    # A group that runs to the edge or has no information beside ordinary ones changes nothing for them.
+    rng = random.Random(3)
+    counts = [({k: rng.randrange(1, 90) for k in range(1, 9)}, {k: rng.randrange(1, 90) for k in range(1, 12)}) for _ in range(60)]
+    counts += [({1: 50}, {1: 5, 2: 5}), ({11: 3}, {1: 1}), ({1: 1}, {})]
+    gaps, lost = ([[c.get(k, 0) for k in range(12)] for c in own] for own in zip(*counts, strict=True))
+    beta, spread, value = cjs._newton(np.array(gaps, float), np.array(lost, float))
+    for k, (g, m) in enumerate(counts):
+        alone = cjs.fit_counts(g, m, 12)
+        assert beta[k].tolist() == pytest.approx(alone.beta, rel=1e-9, abs=1e-9) and value[k] == pytest.approx(alone.log_likelihood, rel=1e-12)
+        if k < 60:
+            assert spread[k].tolist() == pytest.approx(alone.se, rel=1e-7)
+
+
 def test_history_text(spark, tmp_path):
     freq = spark.createDataFrame([("0101", 3), ("1000", 12)], "ch string, n long")
     path = str(tmp_path / "h")

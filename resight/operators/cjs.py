@@ -8,11 +8,13 @@ in one lazy plan; the others hold one fit on the driver.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,9 @@ from pyspark.sql import types as T
 from resight.operators.histories import m_array
 from resight.operators.skew import null_safe_join
 
+# The steps of the grouped fit travel to the workers by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _never_again(phi: float, p: float, top: int) -> list[np.ndarray]:
     """Value, gradient (phi, p) and second derivatives (phi phi, phi p, p p) of the probability of

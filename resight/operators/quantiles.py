@@ -1,28 +1,30 @@
 """Exact medians and quartiles, and summaries built on them.
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one task's memory, which a
-continuous measure does not survive at scale. A first pass counts each group and sketches its quantiles; the
-sketch brackets the wanted order statistics, and a second pass counts only the values inside the brackets, while
-everything else collapses to a handful of counts before the shuffle. It is one lazy plan of ordinary
-aggregates and joins for groups of any number and size; the sketch is exact for small groups, whose bracket is
-their whole range. Whole-year measures have few distinct values and use the built-in function directly.
+continuous measure does not survive at scale. A first pass takes the moments of each group and sketches its
+quantiles; the sketch brackets the wanted order statistics. A second pass counts the values inside the brackets,
+while those between brackets collapse to one count each before the shuffle. What is put in order, by group, are
+those counts: the share SHARE of a group's values for each quantile, or all of a group too small for a bracket.
+
+It is one lazy plan of two aggregates, one join and one window, and reads its input twice; moments travel along
+as a struct, so that nothing is joined again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from resight.operators.ranks import running_totals
 from resight.operators.skew import null_safe_join
 
-ACCURACY = 50_000
-WHOLE_RANGE = 10_000
-"""Groups of fewer values than this are counted over their whole range."""
+ACCURACY = 100_000
+SMALL = 20_000
+"""Up to so many values two positions are more than the margin: the bracket is the group's range."""
 # Twice the sketch error, plus two positions in the smallest group that relies on the sketch.
-MARGIN = 2 / ACCURACY + 2 / WHOLE_RANGE
+MARGIN = 2 / ACCURACY + 2 / SMALL
+SHARE = 2 * MARGIN
 
 ALL = "__all"
 
@@ -55,32 +57,33 @@ def summarise(
     )
     if not by:
         rows, first = rows.withColumn(ALL, F.lit(0)), first.withColumn(ALL, F.lit(0))
-    whole = F.col("n_valid") <= WHOLE_RANGE
+    moments = ["n", "n_valid", "mean", "sd", "min", "max"]
+    small = F.col("n_valid") <= SMALL
     edges = [
-        F.when(whole, F.col(bound)).otherwise(F.col("__q")[2 * i + side]).alias(f"__{i}{tag}")
+        F.when(small, F.col(bound)).otherwise(F.col("__q")[2 * i + side]).alias(f"__{i}{tag}")
         for i in range(len(qs))
         for side, tag, bound in ((0, "lo", "min"), (1, "hi", "max"))
     ]
-    placed = null_safe_join(rows.where(v.isNotNull()), first.select(*keys, *edges), keys)
+    # Rows without a value keep their group; they count nothing and come first.
+    placed = null_safe_join(rows, first.select(*keys, F.struct(*moments).alias("__m"), *edges), keys)
     inside, region = F.lit(False), F.lit(0)
     for i in range(len(qs)):
         inside = inside | v.between(F.col(f"__{i}lo"), F.col(f"__{i}hi"))
         region = region + (v > F.col(f"__{i}hi")).cast("int")
     counts = (
-        placed.withColumn("__in", inside)
+        placed.withColumn("__in", F.coalesce(inside, F.lit(False)))
         .withColumn("__kept", F.when(F.col("__in"), v))
-        .withColumn("__region", F.when(F.col("__in"), F.lit(-1)).otherwise(region))
+        .withColumn("__region", F.when(F.col("__in"), F.lit(-1)).otherwise(F.coalesce(region, F.lit(-2))))
         .groupBy(*keys, "__region", "__kept")
-        .agg(F.count(F.lit(1)).alias("__n"), F.max(v).alias("__top"))
+        .agg(F.count(v).alias("__n"), F.max(v).alias("__top"), F.first("__m").alias("__m"))
     )
-    ordered = running_totals(counts, "__top", "__n", keys)
-    ordered = null_safe_join(ordered, first.select(*keys, F.col("n_valid").alias("__size")), keys)
-    picks = []
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("__top")))
+    picks = [F.first("__m").alias("__m")]
     for i, p in enumerate(qs):
-        h = (F.col("__size") - 1) * p
+        h = (F.col("__m.n_valid") - 1) * p
         for tag, position in (("a", F.floor(h) + 1), ("b", F.ceil(h) + 1)):
             hit = F.struct(F.col("__top"), F.col("__kept").isNull().alias("lost"))
-            picks.append(F.min(F.when(F.col("upto") >= position, hit)).alias(f"__{i}{tag}"))
+            picks.append(F.min(F.when((F.col("upto") >= position) & F.col("__top").isNotNull(), hit)).alias(f"__{i}{tag}"))
         picks.append(F.max(h - F.floor(h)).alias(f"__{i}f"))
     out = []
     for i, name in enumerate(probs):
@@ -88,7 +91,7 @@ def summarise(
         missed = F.raise_error(F.lit("quantile bracket missed")).cast("double")
         exact = a["__top"] + f * (b["__top"] - a["__top"])
         out.append(F.when(a["lost"] | b["lost"], missed).otherwise(exact).alias(name))
-    picked = ordered.groupBy(*keys).agg(*picks).select(*keys, *out)
-    # A group without any value has no picked row.
-    result = null_safe_join(first.drop("__q"), picked, keys, "left")
-    return result if by else result.drop(ALL)
+    picked = counts.withColumn("upto", upto).groupBy(*by).agg(*picks)
+    # Without groups an empty table has one row, which counts nothing.
+    known = [F.coalesce(F.col(f"__m.{m}"), F.lit(0).cast("long")).alias(m) if m in ("n", "n_valid") else F.col(f"__m.{m}").alias(m) for m in moments]
+    return picked.select(*by, *known, *out)

@@ -56,17 +56,25 @@ class Basis:
         return out
 
 
-def make_basis(df: DataFrame, x: str, k: int = 5) -> Basis:
-    """Knots at even quantiles of the distinct values; fewer knots when there are fewer values."""
-    distinct = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias(x)).distinct()
-    values = distinct.count()
-    if values < 2:
-        raise ValueError(f"{x} needs at least two distinct values")
-    m = min(k, values)
-    row = summarise(distinct, x, probs={f"q{i}": i / (m - 1) for i in range(m)}).first()
-    at = np.array([row[f"q{i}"] for i in range(m)])
-    low, high = float(at[0]), float(at[-1])
-    return Basis(x, low, high, tuple(float(v) for v in (at - low) / (high - low)))
+def make_bases(df: DataFrame, xs: Sequence[str], k: int = 5) -> tuple[Basis, ...]:
+    """Knots at even quantiles of each predictor's distinct values; fewer knots when there are fewer values.
+
+    The distinct values of all predictors are one table, and their knots come from it together.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("term"), F.col(x).cast("double").alias("value")) for i, x in enumerate(xs)])
+    distinct = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
+    found = {r["term"]: r for r in summarise(distinct, "value", ["term"], {f"q{i}": i / (k - 1) for i in range(k)}).collect()}
+    few = [i for i, r in found.items() if r["n"] < k]
+    # Fewer than k values each: all of them are knots.
+    values = distinct.where(F.col("term").isin(few)).collect() if few else []
+    out = []
+    for i, x in enumerate(xs):
+        if i not in found or found[i]["n"] < 2:
+            raise ValueError(f"{x} needs at least two distinct values")
+        at = np.array(sorted(r["value"] for r in values if r["term"] == i) if i in few else [found[i][f"q{j}"] for j in range(k)])
+        low, high = float(at[0]), float(at[-1])
+        out.append(Basis(x, low, high, tuple(float(v) for v in (at - low) / (high - low))))
+    return tuple(out)
 
 
 @dataclass(frozen=True)
@@ -171,7 +179,7 @@ def _reml(logs, gram, zy, yy, n, penalties, ranks, null_dim):
 def fit_smooths(df: DataFrame, y: str, xs: Sequence[str], k: int = 5) -> SmoothFit:
     """Fit ``y`` on the sum of smooths of ``xs`` over complete rows."""
     with cached(_complete(df, y, xs).select(y, *xs)) as rows:
-        bases = tuple(make_basis(rows, x, k) for x in xs)
+        bases = make_bases(rows, xs, k)
         n, means, cross = _moments(rows, y, bases)
     return _fit_moments(y, bases, n, means, cross)
 
@@ -179,10 +187,14 @@ def fit_smooths(df: DataFrame, y: str, xs: Sequence[str], k: int = 5) -> SmoothF
 def fit_each(df: DataFrame, y: str, xs: Sequence[str], k: int = 5) -> list[SmoothFit]:
     """One single-smooth fit per predictor, all on the rows complete in every predictor."""
     with cached(_complete(df, y, xs).select(y, *xs)) as rows:
-        out = []
-        for x in xs:
-            bases = (make_basis(rows, x, k),)
-            out.append(_fit_moments(y, bases, *_moments(rows, y, bases)))
+        bases = make_bases(rows, xs, k)
+        n, means, cross = _moments(rows, y, bases)
+    out, start = [], 0
+    for b in bases:
+        # The moments of all columns hold those of every single smooth.
+        own = [*range(start, start + b.size), len(means) - 1]
+        start += b.size
+        out.append(_fit_moments(y, (b,), n, [means[i] for i in own], cross[np.ix_(own, own)]))
     return out
 
 

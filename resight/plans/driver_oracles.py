@@ -349,6 +349,51 @@ def _ols_core(source: str, y: str, x: str, by: str = "") -> str:
           (slope / slope_se) * (slope / slope_se) AS f FROM c"""
 
 
+_TUKEY_PAIRS = """m AS (SELECT event_type AS g, count(*) AS n, avg(value) AS mean,
+          var_samp(value) * (count(*) - 1) AS ss FROM events GROUP BY 1),
+        s AS (SELECT count(*) AS k, CAST(sum(n) - count(*) AS DOUBLE) AS df, sum(ss) AS ssw FROM m),
+        d AS (SELECT b.g || '-' || a.g AS comparison, b.mean - a.mean AS diff, k, df,
+          sqrt(ssw / df / 2 * (1.0 / a.n + 1.0 / b.n)) AS se FROM m a JOIN m b ON a.g < b.g CROSS JOIN s)"""
+
+
+def _tukey(level: float = 0.95) -> str:
+    """Tails of the studentised range by Simpson's rule in both variables, the critical value by halving.
+
+    The normal distribution function is the running Simpson sum of its density over steps of 1/64, and between them
+    the sum to the step below and one panel more.
+    """
+    density = "(exp(-({0}) * ({0}) / 2) / sqrt(2 * pi()))"
+
+    def panel(a: str, b: str) -> str:
+        mid = density.format(f"(({a}) + ({b})) / 2")
+        return f"((({b}) - ({a})) / 6 * ({density.format(a)} + 4 * {mid} + {density.format(b)}))"
+
+    def upper(points: str, keys: str) -> str:
+        """The tail at q of every row of points."""
+        end = "least(z + q * t, 9.0)"
+        return f"""SELECT {keys}, 1 - sum(wt * below) / sum(wt) AS tail FROM (
+            SELECT {keys}, t, wt, k * sum(wz * pow(area + {panel('x', end)} - az, k - 1)) AS below
+            FROM ({points}) CROSS JOIN scales CROSS JOIN places JOIN normal ON i = CAST(floor({end} * 64) AS BIGINT)
+            GROUP BY {keys}, t, wt, k) GROUP BY {keys}"""
+
+    return f"""WITH RECURSIVE {_TUKEY_PAIRS},
+        normal AS (SELECT i, i / 64.0 AS x, sum(CASE WHEN i = -576 THEN 0 ELSE {panel('(i - 1) / 64.0', 'i / 64.0')} END)
+          OVER (ORDER BY i) AS area FROM range(-576, 577) r(i)),
+        places AS (SELECT i / 64.0 AS z, area AS az,
+            (CASE WHEN abs(i) = 512 THEN 1 WHEN i % 8 = 0 AND (i // 8) % 2 <> 0 THEN 4 ELSE 2 END) / 24.0 * {density.format('i / 64.0')} AS wz
+          FROM normal WHERE i % 8 = 0 AND abs(i) <= 512),
+        scales AS (SELECT t, w * exp((df - 1) * ln(t) - df * (t - 1) * (t + 1) / 2) AS wt FROM (
+            SELECT df, 1 + (j - 32) / 32.0 * 8 / sqrt(2 * df) AS t, CASE WHEN j IN (0, 64) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END AS w
+            FROM s CROSS JOIN range(0, 65) r(j)) WHERE t > 0),
+        halving AS (SELECT 0 AS it, 0::DOUBLE AS lo, 16::DOUBLE AS hi UNION ALL
+          SELECT it + 1, CASE WHEN tail > {1 - level} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN tail > {1 - level} THEN hi ELSE (lo + hi) / 2 END
+          FROM ({upper('SELECT it, lo, hi, (lo + hi) / 2 AS q, k FROM halving CROSS JOIN s WHERE it < 40', 'it, lo, hi')})),
+        tails AS ({upper('SELECT comparison, abs(diff) / se AS q, k FROM d', 'comparison')})
+        SELECT d.comparison, {_r('diff')} AS diff, {_r('se')} AS se, k, df, {_r('abs(diff) / se')} AS q, {_r('tail')} AS p_adjusted,
+          {_r('diff - (lo + hi) / 2 * se')} AS lower, {_r('diff + (lo + hi) / 2 * se')} AS upper
+        FROM d JOIN tails ON d.comparison = tails.comparison CROSS JOIN halving WHERE it = 40"""
+
+
 def _ranked(partition: str = "") -> str:
     """Row-level average ranks of event values."""
     p = f"PARTITION BY {partition}" if partition else ""
@@ -807,12 +852,9 @@ def oracles() -> dict[str, str]:
     out["q_t_test_by_group"] = _t_test("event_type")
     out["q_anova"] = _anova("events", "value")
     out["q_levene"] = _anova(_DEVIATIONS, "deviation")
-    out["q_tukey_pairs"] = f"""WITH m AS (SELECT event_type AS g, count(*) AS n, avg(value) AS mean,
-          var_samp(value) * (count(*) - 1) AS ss FROM events GROUP BY 1),
-        s AS (SELECT count(*) AS k, CAST(sum(n) - count(*) AS DOUBLE) AS df, sum(ss) AS ssw FROM m),
-        d AS (SELECT b.g || '-' || a.g AS comparison, b.mean - a.mean AS diff, k, df,
-          sqrt(ssw / df / 2 * (1.0 / a.n + 1.0 / b.n)) AS se FROM m a JOIN m b ON a.g < b.g CROSS JOIN s)
+    out["q_tukey_pairs"] = f"""WITH {_TUKEY_PAIRS}
         SELECT comparison, {_r('diff')} AS diff, {_r('se')} AS se, k, df, {_r('abs(diff) / se')} AS q FROM d"""
+    out["q_tukey"] = _tukey()
     out["q_ols_hatch_size"] = _with(("sized",), _ols("sized", "hatch", "size"))
     out["q_ols_hatch_interval"] = _with(("returned",), _ols("returned", "hatch", "return_interval"))
     out["q_ols_eggs_size"] = _with(("sized",), _ols("sized", "eggs", "size", 5))

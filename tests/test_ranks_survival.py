@@ -185,7 +185,7 @@ def brute_quantile(values, p):
 def test_exact_quantiles(spark, monkeypatch, small):
     """Once over whole ranges and once through the sketch brackets."""
     if not small:
-        monkeypatch.setattr(quantiles, "WHOLE_RANGE", 50)
+        monkeypatch.setattr(quantiles, "SMALL", 50)
         monkeypatch.setattr(quantiles, "ACCURACY", 200)
         monkeypatch.setattr(quantiles, "MARGIN", 2 / 200 + 2 / 50)
     rng = random.Random(2)

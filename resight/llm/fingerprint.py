@@ -1,16 +1,18 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch retains every shingle hash below a fixed fraction of the hash range, so the same shingle is retained
-in every document that has it. Sketches can be merged (their union is the sketch of the joined set), and the
-share of one sketch found in another estimates containment, however unequal the documents are. A set of at most
-`whole` shingles is retained in full, with a fraction of 1; two sketches are compared, and merged, at the smaller
-of their fractions.
-
-As text a sketch is `size:fraction:digest:hashes`: the number of shingles, the fraction as a divisor, a digest of
-the set, and the retained hashes, ascending, as 11 characters each. Equal texts have equal fingerprints.
-
-Nulls are empty texts; an empty set's sketch is `0:1:0:`, and two empty sets are alike (1). A text of fewer than
-five words is one shingle. Repeated rows have equal fingerprints. Columns other than the named ones are not read.
+A sketch retains every shingle hash below a fixed fraction of the hash range, the same for all documents, so the
+same shingle is retained in every document that has it. Sketches can be merged (the result is the sketch of the
+joined set), and the share of one sketch found in another estimates containment, however unequal the documents are.
+Beside it, a set of at most `whole` shingles keeps the others too, as a floor: two such sets are compared exactly,
+any other pair by what lies below the fraction.
+
+As text a sketch is `size:fraction:digest:hashes:others`: the number of shingles (where the set is not kept whole, the
+retained hashes times the divisor), the fraction as a divisor, a digest of all hashes kept, the hashes below the
+fraction and the other ones, ascending, 8 bytes each in base 64. Equal texts have equal fingerprints.
+
+Nulls are empty texts; an empty set's sketch is `0:4:0::`, and two empty sets are alike (1). A text of fewer than
+five words is one shingle. Texts of any length are read whole. Repeated rows and ties have equal fingerprints. An empty
+table gives no rows. Columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -33,57 +35,78 @@ WHOLE = 64
 WIDTH = 5
 
 
+def _digest(hashes: np.ndarray) -> int:
+    return int(np.add.reduce(tx.mixed(hashes))) if len(hashes) else 0
+
+
+def _packed(hashes: np.ndarray) -> str:
+    return base64.b64encode(hashes.astype(">u8").tobytes()).decode()
+
+
+def _unpacked(text: str) -> np.ndarray:
+    return np.frombuffer(base64.b64decode(text), ">u8").astype(np.uint64)
+
+
 @dataclass(frozen=True)
 class Sketch:
     size: int
     divisor: int
     digest: int
+    #: Ascending: those below the fraction, and the others of a set that is kept whole.
     hashes: np.ndarray
+    others: np.ndarray
 
     @staticmethod
     def of(shingles: np.ndarray, divisor: int = DIVISOR, whole: int = WHOLE) -> Sketch:
-        digest = int(np.add.reduce(tx.mixed(shingles))) if len(shingles) else 0
+        """Of distinct hashes, ascending."""
+        below = int(np.searchsorted(shingles, np.uint64((2**64 - 1) // divisor), side="right"))
+        hashes, others = shingles[:below], shingles[below:]
         if len(shingles) <= whole:
-            divisor = 1
-        return Sketch(len(shingles), divisor, digest, shingles[shingles <= np.uint64((2**64 - 1) // divisor)])
+            return Sketch(len(shingles), divisor, _digest(shingles), hashes, others)
+        return Sketch(len(hashes) * divisor, divisor, _digest(hashes), hashes, others[:0])
+
+    def complete(self, whole: int = WHOLE) -> bool:
+        """Whether the set is kept whole."""
+        return self.size == len(self.hashes) + len(self.others) <= whole
 
     def __str__(self) -> str:
-        packed = base64.b64encode(self.hashes.astype(">u8").tobytes()).decode()
-        return f"{self.size}:{self.divisor}:{self.digest:x}:{packed}"
+        return f"{self.size}:{self.divisor}:{self.digest:x}:{_packed(self.hashes)}:{_packed(self.others)}"
 
     @staticmethod
     def parse(text: str) -> Sketch:
-        size, divisor, digest, packed = text.split(":")
-        hashes = np.frombuffer(base64.b64decode(packed), ">u8").astype(np.uint64)
-        return Sketch(int(size), int(divisor), int(digest, 16), hashes)
-
-    def at(self, divisor: int) -> np.ndarray:
-        return self.hashes[self.hashes <= np.uint64((2**64 - 1) // divisor)]
-
-    def _shared(self, other: Sketch) -> tuple[int, int, int]:
-        divisor = max(self.divisor, other.divisor)
-        one, two = self.at(divisor), other.at(divisor)
+        size, divisor, digest, hashes, others = text.split(":")
+        return Sketch(int(size), int(divisor), int(digest, 16), _unpacked(hashes), _unpacked(others))
+
+    def _shared(self, other: Sketch, whole: int) -> tuple[int, int, int]:
+        if self.divisor != other.divisor:
+            raise ValueError("sketches of different fractions")
+        one, two = self.hashes, other.hashes
+        if self.complete(whole) and other.complete(whole):
+            one, two = np.concatenate([one, self.others]), np.concatenate([two, other.others])
         return len(np.intersect1d(one, two, assume_unique=True)), len(one), len(two)
 
-    def likeness(self, other: Sketch) -> float:
+    def likeness(self, other: Sketch, whole: int = WHOLE) -> float:
         """Estimated Jaccard similarity."""
         if (self.size, self.digest) == (other.size, other.digest):
             return 1.0
-        common, one, two = self._shared(other)
+        common, one, two = self._shared(other, whole)
         return common / (one + two - common) if one + two > common else 0.0
 
-    def containment(self, other: Sketch) -> float:
+    def containment(self, other: Sketch, whole: int = WHOLE) -> float:
         """Estimated share of this set that is in the other; 1 for an empty set."""
-        if self.size == 0:
+        if self.size == 0 and self.complete(whole):
             return 1.0
-        common, one, _ = self._shared(other)
+        common, one, _ = self._shared(other, whole)
         return common / one if one else 0.0
 
-    def merged(self, other: Sketch) -> Sketch:
-        """The sketch of the joined set; its size is estimated from the retained hashes, its digest is theirs."""
-        divisor = max(self.divisor, other.divisor)
-        hashes = np.union1d(self.at(divisor), other.at(divisor))
-        return Sketch(len(hashes) * divisor, divisor, int(np.add.reduce(tx.mixed(hashes))) if len(hashes) else 0, hashes)
+    def merged(self, other: Sketch, whole: int = WHOLE) -> Sketch:
+        """The sketch of the joined set."""
+        if self.divisor != other.divisor:
+            raise ValueError("sketches of different fractions")
+        if self.complete(whole) and other.complete(whole):
+            return Sketch.of(np.unique(np.concatenate([self.hashes, self.others, other.hashes, other.others])), self.divisor, whole)
+        hashes = np.union1d(self.hashes, other.hashes)
+        return Sketch(len(hashes) * self.divisor, self.divisor, _digest(hashes), hashes, hashes[:0])
 
 
 def sketches(column: pa.Array, width: int = WIDTH, divisor: int = DIVISOR, whole: int = WHOLE) -> Iterator[tuple[int, list[Sketch]]]:
@@ -112,7 +135,7 @@ def fingerprints(documents: DataFrame, texts: dict[str, str], likeness: dict[str
                 found = {c: [s for _, own in sketches(part.column(c), WIDTH, divisor, whole) for s in own] for c in texts}
                 arrays = [part.column(c) for c in columns]
                 arrays += [pa.array([str(s) for s in found[c]], pa.string()) for c, n in texts.items() if n]
-                arrays += [pa.array([a.likeness(b) for a, b in zip(found[one], found[two], strict=True)], pa.float64()) for one, two in likeness.values()]
+                arrays += [pa.array([a.likeness(b, whole) for a, b in zip(found[one], found[two], strict=True)], pa.float64()) for one, two in likeness.values()]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *named, *likeness])
 
     return documents.select(*dict.fromkeys([*columns, *texts])).mapInArrow(run, schema)

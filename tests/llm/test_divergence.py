@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from resight.llm import divergence
-from tests.llm.conftest import ASCII_LOWER
+from llm.conftest import ASCII_LOWER
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -1,12 +1,13 @@
 """Fingerprints, licence scans and chat formatting against plain versions."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from llm.conftest import plain_words
+from llm.conftest import plain_words, spaced_words
 from resight.llm import chat, fingerprint, licenses
 from resight.llm.fingerprint import Sketch
 
@@ -33,18 +34,52 @@ def test_edited(spark):
     assert [r[0] for r in df.select(fingerprint.edited(F.col("a"), F.col("b"))).collect()] == ["abcXY", "abX", "", "🙂éß"]
 
 
+def hashes(rng, n):
+    return np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+
+
 def test_sketches():
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)) for n in (4000, 40)]
+    sets = [hashes(rng, n) for n in (4000, 40)]
     big = Sketch.of(np.unique(np.concatenate(sets)))
     small, half = Sketch.of(sets[1]), Sketch.of(sets[0])
-    assert small.divisor == 1 and big.divisor == 4
+    assert small.complete() and not big.complete() and small.divisor == big.divisor == 4
     assert small.containment(big) == 1 and big.containment(small) < 0.1
     assert half.likeness(big) == pytest.approx(4000 / 4040, abs=0.02)
-    assert (half.merged(small).hashes == big.hashes).all()
-    assert str(Sketch.parse(str(big))) == str(big)
+    assert str(Sketch.parse(str(big))) == str(big) and str(Sketch.parse(str(small))) == str(small)
     none = Sketch.of(sets[0][:0])
-    assert str(none) == "0:1:0:" and none.likeness(none) == 1 and none.likeness(big) == 0
+    assert str(none) == "0:4:0::" and none.likeness(none) == 1 and none.likeness(big) == 0 == none.likeness(small)
+
+
+def test_the_merged_sketch_is_the_sketch_of_the_joined_set():
+    rng = np.random.default_rng(7)
+    for sizes in ((3, 5), (0, 20), (40, 40), (33, 32), (56, 56), (64, 64), (64, 1), (2996, 2996), (10, 2996), (0, 500), (65, 64)):
+        one, two = (hashes(rng, n) for n in sizes)
+        two = np.unique(np.concatenate([two, one[::3]]))
+        joined = Sketch.of(np.unique(np.concatenate([one, two])))
+        for a, b in ((one, two), (two, one)):
+            assert str(Sketch.of(a).merged(Sketch.of(b))) == str(joined)
+        assert Sketch.of(one).merged(Sketch.of(two)).likeness(joined) == 1
+        third = Sketch.of(hashes(rng, 30))
+        assert str(third.merged(Sketch.of(one)).merged(Sketch.of(two))) == str(third.merged(joined))
+
+
+def test_likeness_of_the_query_against_exact_sets(spark, odd_texts):
+    rng = random.Random(3)
+    texts = [t or "" for _, t in odd_texts] + [" ".join(f"w{rng.randrange(300)}" for _ in range(n)) for n in (30, 50, 90, 900, 5000, 9000)]
+
+    def exact(text):
+        w = spaced_words(text)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    rows = [(k, a, a[: len(a) // 2] + b[: len(a) // 2]) for k, (a, b) in enumerate(zip(texts, texts[1:], strict=False))]
+    frame = spark.createDataFrame(rows, "k long, a string, b string")
+    got = {r.k: r.near for r in fingerprint.fingerprints(frame, {"a": "f", "b": "g"}, {"near": ("a", "b")}, ("k",)).collect()}
+    for k, a, b in rows:
+        one, two = exact(a), exact(b)
+        true = len(one & two) / len(one | two) if one | two else 1.0
+        small = max(len(one), len(two)) <= fingerprint.WHOLE
+        assert got[k] == pytest.approx(true, abs=1e-12 if small else 4 * (true * (1 - true) * 3 / max(1, len(one | two))) ** 0.5 + 0.1), a[:50]
 
 
 def test_equal_texts_have_equal_fingerprints(documents, odd_texts):

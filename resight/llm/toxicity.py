@@ -6,8 +6,8 @@ n-gram, the numbers of toxic and of other texts that hold it, and the logarithm
 shares in both. A held n-gram has that ratio as its feature value, and a regularised logistic regression on
 these values weighs them anew. The n-grams with the clearest difference, `features` of them, are kept.
 
-An n-gram is packed into one 64-bit number, 10 bits a code point (code points over U+03FF share the values by
-their remainder), so a batch is scanned with array operations, and hits are looked up exactly.
+An n-gram is named by a 64-bit hash of its code points, each of which has a number of its own in every script, so a
+batch is scanned with array operations, and hits are looked up by the whole hash.
 
 Nulls are empty texts; empty texts have the score of a text without any kept n-gram. Without labels of both
 kinds every score is the prior (0.5 if there are no labels at all). Repeated rows score alike. Columns other
@@ -45,27 +45,38 @@ def _folded() -> np.ndarray:
     return fold
 
 
-_FOLD = _folded()
+#: The numbers of the first code points, after folding.
+_CODES = tx.mixed(_folded() + _U(1))
+_STEP = _U(0x9E3779B97F4A7C15)
+
+
+def _codes(points: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each code point, the same for those that are folded into one."""
+    high = np.flatnonzero(points >= len(_CODES))
+    codes = _CODES[np.minimum(points, len(_CODES) - 1)]
+    codes[high] = tx.mixed(points[high].astype(np.uint64) + _U(1))
+    return codes
 
 
 def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """10-bit classes of all code points with a blank around each text, and the bounds of the texts."""
+    """The numbers of all code points with a blank around each text, and the bounds of the texts."""
     lead = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     n = len(at) - 1
     bounds = lead[at]
-    out = np.full(len(points) + 2 * n, 32, np.uint64)
-    out[np.arange(len(points)) + 2 * np.repeat(np.arange(n), np.diff(bounds)) + 1] = _FOLD[np.where(points < 1024, points, points % 1009 + 15)]
+    out = np.full(len(points) + 2 * n, _CODES[32], np.uint64)
+    out[np.arange(len(points)) + 2 * np.repeat(np.arange(n), np.diff(bounds)) + 1] = _codes(points)
     return out, bounds + 2 * np.arange(n + 1)
 
 
 def ngrams(chars: np.ndarray, length: int) -> np.ndarray:
-    """The packed n-gram that begins at each character; the last ones of an array are cut short."""
+    """The hash of the n-gram that begins at each character; none begins at the last ones of an array."""
     size = max(0, len(chars) - length + 1)
     key = np.full(size, _U(length), np.uint64)
     for k in range(length):
-        key = (key << _U(10)) | chars[k : k + size]
+        key *= _STEP
+        key += chars[k : k + size]
     return key
 
 
@@ -80,7 +91,7 @@ def _inside(bounds: np.ndarray, length: int, size: int) -> np.ndarray:
 
 @dataclass
 class Linear:
-    """Sorted packed n-grams with their ratio and weight; `weight` already holds the ratio."""
+    """Sorted hashes of n-grams with their ratio and weight; `weight` already holds the ratio."""
 
     grams: np.ndarray
     weight: np.ndarray
@@ -93,7 +104,7 @@ class Linear:
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys * _U(0x9E3779B97F4A7C15)) >> _U(44)
+        return (keys * _U(0xD6E8FEB86659FD93)) >> _U(44)
 
     def held(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, gram) of every kept n-gram in every text, each once."""

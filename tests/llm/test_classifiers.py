@@ -3,11 +3,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from llm.conftest import sentence
 from resight.llm import labelled, quality, toxicity
+from resight.llm import text as tx
 
 
 @pytest.fixture(scope="module")
@@ -74,9 +76,43 @@ def test_trees_on_a_plain_rule():
 def test_ngrams_stay_within_texts():
     data, at = np.frombuffer("abé日".encode() + b"xyz", np.uint8), np.array([0, 7, 10])
     chars, bounds = toxicity.characters(data, at)
-    assert list(bounds) == [0, 6, 11] and chars[3] == 0xE9
+    assert list(bounds) == [0, 6, 11] and chars[3] == toxicity._codes(np.array([0xE9], np.uint32))[0]
     model = toxicity.Linear(np.sort(toxicity.ngrams(chars, 3)[[1, 7]]), np.array([1.0, 2.0]), 0.0)
     rows, _ = model.held(data, at)
     assert sorted(rows.tolist()) == [0, 1]
     crossing = toxicity.Linear(toxicity.ngrams(chars, 3)[[4]], np.array([1.0]), 0.0)
     assert len(crossing.held(data, at)[0]) == 0
+
+
+def grams(text):
+    data, at = tx.utf8(pa.array([text]))
+    chars, _ = toxicity.characters(data, at)
+    return {int(g) for n in range(toxicity.SHORTEST, toxicity.LONGEST + 1) for g in toxicity.ngrams(chars, n)}
+
+
+def test_scripts_share_no_ngrams():
+    texts = ["idiot moron stupid", "ЫЦЫбж идиот а н", "ηλίθιος", "غبي جدا", "טיפש", "笨蛋笨蛋笨蛋", "🙂🙃🙂🙃", "ἠλίθιος"]
+    found = [grams(t.replace(" ", "")) for t in texts]
+    assert all(not a & b for i, a in enumerate(found) for b in found[:i])
+    assert grams("IDIOT ÉÀ\n") == grams("idiot éà ") and grams("идиот") != grams("ИДИОТ")
+
+
+def test_ngrams_are_told_apart_as_strings_are():
+    rng = random.Random(12)
+    text = "".join(rng.choice("abcXЫж日🙂é") for _ in range(4000))
+    plain = {f" {text.lower() if text.isascii() else text.replace('X', 'x')} "[i : i + n] for n in range(3, 7) for i in range(len(text) + 3 - n)}
+    assert len(grams(text)) == len(plain)
+
+
+def test_statistics_against_plain_counts(spark, judged):
+    """Shares of every n-gram in texts of both labels, as the ratios are made from."""
+    docs, labels = judged
+    some = docs.limit(60).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id").where("label is not null").select("label", "text")
+    got = {r.gram: (r.p, r.q) for r in some.mapInArrow(toxicity._counted, "gram long, ones long, zeros long").groupBy("gram").agg(F.sum("ones").alias("p"), F.sum("zeros").alias("q")).collect()}
+    want = {}
+    for r in some.collect():
+        for g in grams(r.text):
+            g -= (g >> 63) << 64
+            p, q = want.get(g, (0, 0))
+            want[g] = (p + r.label, q + 1 - r.label)
+    assert got == want

@@ -621,7 +621,6 @@ def _cjs_oracles() -> dict[str, str]:
           (SELECT sum(pow(observed - expected, 2) / expected) FROM counted) AS pearson,
           (SELECT -2 * sum(observed * ln(expected / r)) FROM counted JOIN parts ON counted.ch = parts.ch
             JOIN cohorts ON parts.f = cohorts.f) AS m2)"""
-    levels = "SELECT c_custkey AS id, CASE WHEN c_acctbal >= 4500 THEN 'high' ELSE 'low' END AS g FROM customer"
     grouped_stats = f"""SELECT a.g AS balance, histories, cohorts, ess AS effective_sample_size, round(m2, 4) AS m2_log_likelihood,
         round(sat, 4) AS saturated, round(m2 - sat, 4) AS deviance, histories - cohorts - 2 AS df,
         round((m2 - sat) / (histories - cohorts - 2), 4) AS c_hat, round(m2 + 4, 4) AS aic,
@@ -638,14 +637,14 @@ def _cjs_oracles() -> dict[str, str]:
 
     return {
         "q_cjs_by_balance": _cjs(
-            f"{by_balance(estimate('phi', 'b1', 's1'))} UNION ALL {by_balance(estimate('p', 'b2', 's2'))}", levels
+            f"{by_balance(estimate('phi', 'b1', 's1'))} UNION ALL {by_balance(estimate('p', 'b2', 's2'))}", LEVELS
         ),
-        "q_cjs_fit_by_balance": _cjs(grouped_stats, levels),
-        "q_expected_counts_by_balance": _cjs(f"SELECT g AS balance, ch, observed, {_r('expected')} AS expected FROM counted", levels),
+        "q_cjs_fit_by_balance": _cjs(grouped_stats, LEVELS),
+        "q_expected_counts_by_balance": _cjs(f"SELECT g AS balance, ch, observed, {_r('expected')} AS expected FROM counted", LEVELS),
         "q_expected_longevity_by_balance": _cjs(
             f"""SELECT g AS balance, {_r('phi', 4)} AS phi, {_r('1 / (1 - phi)', 4)} AS longevity,
             {_r(f"1 / (1 - {back('b1 - 1.96 * s1')})", 4)} AS lower, {_r(f"1 / (1 - {back('b1 + 1.96 * s1')})", 4)} AS upper FROM fit""",
-            levels,
+            LEVELS,
         ),
         "q_cjs": _cjs(f"{estimate('phi', 'b1', 's1')} UNION ALL {estimate('p', 'b2', 's2')}"),
         "q_cjs_fit": _cjs(stats),
@@ -659,8 +658,11 @@ def _cjs_oracles() -> dict[str, str]:
     }
 
 
-def _mixed(body: str) -> str:
-    """Random intercept by REML: golden section on the root of the variance ratio over sums per id."""
+LEVELS = "SELECT c_custkey AS id, CASE WHEN c_acctbal >= 4500 THEN 'high' ELSE 'low' END AS g FROM customer"
+
+
+def _mixed(body: str, groups: str = "SELECT DISTINCT id, 0 AS g FROM scaled_growth") -> str:
+    """Random intercept of each group by REML: golden section on the root of the variance ratio over sums per id."""
     shrink = "(s * s / (1 + s * s * n))"
     golden = "0.6180339887498949::DOUBLE"
 
@@ -673,35 +675,36 @@ def _mixed(body: str) -> str:
             sum(sx - {shrink} * n * sx) AS a12, sum(sxx - {shrink} * sx * sx) AS a22,
             sum(sy - {shrink} * n * sy) AS c1, sum(sxy - {shrink} * sx * sy) AS c2,
             sum(syy - {shrink} * sy * sy) AS yy
-          FROM ({points}) CROSS JOIN sums GROUP BY {keys}, s)))"""
+          FROM ({points}) JOIN sums USING (g) GROUP BY {keys}, s)))"""
 
-    points = f"""SELECT it, lo, hi, side, CASE side WHEN 0 THEN hi - {golden} * (hi - lo)
+    points = f"""SELECT g, it, lo, hi, side, CASE side WHEN 0 THEN hi - {golden} * (hi - lo)
         ELSE lo + {golden} * (hi - lo) END AS s FROM search CROSS JOIN (VALUES (0), (1)) v(side)
         WHERE it < 100"""
-    last = "SELECT 0 AS k, 0::DOUBLE AS s UNION ALL SELECT 1, (lo + hi) / 2 FROM search WHERE it = 100"
+    last = "SELECT DISTINCT g, 0 AS k, 0::DOUBLE AS s FROM sums UNION ALL SELECT g, 1, (lo + hi) / 2 FROM search WHERE it = 100"
     head = _with(("scaled_growth",), "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
     return f"""{head},
-        sums AS (SELECT id, count(*)::DOUBLE AS n, sum(x)::DOUBLE AS sx, sum(y) AS sy,
-          sum(x * x)::DOUBLE AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM scaled_growth
-          WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY id),
-        search AS (SELECT 0 AS it, 0::DOUBLE AS lo, 4::DOUBLE AS hi UNION ALL
-          SELECT it + 1, CASE WHEN s0 <= s1 THEN lo ELSE hi - {golden} * (hi - lo) END,
+        groups AS ({groups}),
+        sums AS (SELECT g, id, count(*)::DOUBLE AS n, sum(x)::DOUBLE AS sx, sum(y) AS sy,
+          sum(x * x)::DOUBLE AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM scaled_growth JOIN groups USING (id)
+          WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY g, id),
+        search AS (SELECT DISTINCT g, 0 AS it, 0::DOUBLE AS lo, 4::DOUBLE AS hi FROM sums UNION ALL
+          SELECT g, it + 1, CASE WHEN s0 <= s1 THEN lo ELSE hi - {golden} * (hi - lo) END,
             CASE WHEN s0 <= s1 THEN lo + {golden} * (hi - lo) ELSE hi END
-          FROM (SELECT it, lo, hi, max(CASE WHEN side = 0 THEN score END) AS s0,
+          FROM (SELECT g, it, lo, hi, max(CASE WHEN side = 0 THEN score END) AS s0,
             max(CASE WHEN side = 1 THEN score END) AS s1
-          FROM ({criterion(points, 'it, lo, hi, side')}) GROUP BY it, lo, hi)),
-        tried AS ({criterion(last, 'k')}),
+          FROM ({criterion(points, 'g, it, lo, hi, side')}) GROUP BY g, it, lo, hi)),
+        tried AS ({criterion(last, 'g, k')}),
         fit AS (SELECT *, sqrt(rss / (rows - 2)) AS sigma, s * sqrt(rss / (rows - 2)) AS tau
-          FROM tried ORDER BY score, k LIMIT 1)
+          FROM tried QUALIFY row_number() OVER (PARTITION BY g ORDER BY score, k) = 1)
         {body}"""
 
 
 def _mixed_oracles() -> dict[str, str]:
-    def term(name: str, est: str, diagonal: str) -> str:
+    def term(name: str, est: str, diagonal: str, keys: str = "") -> str:
         se = f"sigma * sqrt({diagonal} / det)"
-        return f"""SELECT '{name}' AS term, {_r(est, 5)} AS estimate, {_r(se, 5)} AS se,
+        return f"""SELECT {keys}'{name}' AS term, {_r(est, 5)} AS estimate, {_r(se, 5)} AS se,
             {_r(f'{est} / ({se})', 5)} AS t, {_r('sigma', 5)} AS sigma, {_r('tau', 5)} AS tau,
-            {_r('score', 5)} AS reml, CAST(rows AS BIGINT) AS n, (SELECT count(*) FROM sums) AS groups,
+            {_r('score', 5)} AS reml, CAST(rows AS BIGINT) AS n, (SELECT count(*) FROM sums WHERE sums.g = fit.g) AS groups,
             tau <= 1e-4 * sigma AS singular FROM fit"""
 
     effect = "(s * s / (1 + s * s * n)) * (sy - beta0 * n - beta1 * sx)"
@@ -710,11 +713,17 @@ def _mixed_oracles() -> dict[str, str]:
     return {
         "q_lmm_conditional": _mixed(
             f"""SELECT g.id, season, {_r(line, 5)} AS fitted, {_r(f'g.y - {line}', 5)} AS residual
-            FROM scaled_growth g JOIN sums ON g.id = sums.id CROSS JOIN fit WHERE g.x IS NOT NULL AND g.y IS NOT NULL"""
+            FROM scaled_growth g JOIN sums ON g.id = sums.id JOIN fit ON sums.g = fit.g WHERE g.x IS NOT NULL AND g.y IS NOT NULL"""
         ),
         "q_lmm": _mixed(f"{term('intercept', 'beta0', 'a22')} UNION ALL {term('slope', 'beta1', 'a11')}"),
         "q_lmm_effects": _mixed(
-            f"SELECT id, CAST(n AS BIGINT) AS n, {_r(effect, 5)} AS effect FROM sums CROSS JOIN fit"
+            f"SELECT id, CAST(n AS BIGINT) AS n, {_r(effect, 5)} AS effect FROM sums JOIN fit USING (g)"
+        ),
+        "q_lmm_by_balance": _mixed(
+            f"{term('intercept', 'beta0', 'a22', 'g AS balance, ')} UNION ALL {term('slope', 'beta1', 'a11', 'g AS balance, ')}", LEVELS
+        ),
+        "q_lmm_effects_by_balance": _mixed(
+            f"SELECT g AS balance, id, CAST(n AS BIGINT) AS n, {_r(effect, 5)} AS effect FROM sums JOIN fit USING (g)", LEVELS
         ),
     }
 

@@ -331,10 +331,14 @@ def _(spark, d):
     return capture.expected_counts(rows, capture.fit_cjs(rows))
 
 
+def _balance_level(spark, d):
+    level = F.when(F.col("c_acctbal") >= 4500, "high").otherwise("low").alias("balance")
+    return t.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), level)
+
+
 def _by_balance(spark, d):
     """Histories of customers by the level of their balance, collapsed."""
-    level = F.when(F.col("c_acctbal") >= 4500, "high").otherwise("low").alias("balance")
-    rows = hist.capture_histories(t.measured(spark, d)).join(t.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), level), "id")
+    rows = hist.capture_histories(t.measured(spark, d)).join(_balance_level(spark, d), "id")
     return hist.history_frequencies(rows, ["balance"])
 
 
@@ -582,6 +586,26 @@ def _(spark, d):
     return fit.random_effects(rows, "growth_rate", "years_reproducing")
 
 
+def _growth_by_balance(spark, d):
+    return _scaled_growth(spark, d).join(_balance_level(spark, d), "id")
+
+
+def _lmm_by_balance(spark, d):
+    return mixed.fit_random_intercept_by(_growth_by_balance(spark, d), "growth_rate", "years_reproducing", ["balance"])
+
+
+@query("q_lmm_by_balance", 5)
+def _(spark, d):
+    """A fit for each group, in one plan."""
+    return mixed.terms_by(_lmm_by_balance(spark, d), ["balance"])
+
+
+@query("q_lmm_effects_by_balance", 5)
+def _(spark, d):
+    rows = _growth_by_balance(spark, d)
+    return mixed.random_effects_by(rows, _lmm_by_balance(spark, d), "growth_rate", "years_reproducing", ["balance"])
+
+
 def _smooth_rows(spark, d):
     rows = t.measured(spark, d)
     span = longevity.reproductive_span(rows).select(

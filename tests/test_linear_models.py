@@ -165,6 +165,59 @@ def test_random_intercept_against_dense_matrices(spark):
         assert effects[g] == pytest.approx(ratio * sum(off) / (1 + ratio * len(off)))
 
 
+def test_random_intercept_by_group(spark):
+    """Every group as if it were alone, null keys and groups without estimates included."""
+    parts = {"a": grouped_data(1), "b": grouped_data(2, 0.3), None: [(g, x + 2000, y) for g, x, y in grouped_data(3)]}
+    rows = [(k, *r) for k, part in parts.items() for r in part]
+    rows += [("one value", 1, 5.0, y) for y in (1.0, 2.0, 3.0)] + [("two rows", 1, 1.0, 1.0), ("two rows", 1, 2.0, 2.0)]
+    rows += [("no pairs", 1, None, 1.0), ("a", None, 1.0, 9.0), ("a", 3, None, 9.0), ("a", 3, 1.0, None)]
+    single = [(g, float(g % 7), float(g % 5)) for g in range(12)]
+    rows += [("single rows", *r) for r in single] + [("one id", 1, x, y) for _, x, y in single]
+    df = spark.createDataFrame(rows, "k string, id long, x double, y double").repartition(7)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy-fit", "fit")
+    fits = mixed.fit_random_intercept_by(df, "y", "x", ["k"])
+    assert not tracker.getJobIdsForGroup("lazy-fit")
+    spark.sparkContext.setJobGroup("rest", "rest")
+    found = {r.k: r for r in fits.collect()}
+    assert set(found) == {*parts, "one value", "two rows", "single rows", "one id"}
+    for k, part in parts.items():
+        fit = found[k]
+        score, beta, var, cov = brute_reml(part, (fit.tau / fit.sigma) ** 2)
+        assert fit.reml == pytest.approx(score, rel=1e-9) and (fit.n, fit.groups) == (len(part), 40)
+        assert (fit.intercept, fit.slope) == pytest.approx(tuple(beta), rel=1e-6)
+        assert (fit.intercept_se, fit.slope_se) == pytest.approx(tuple(np.sqrt(var * np.diag(cov))), rel=1e-6)
+        ratio = (fit.tau / fit.sigma) ** 2
+        assert all(score <= brute_reml(part, r)[0] + 1e-9 for r in (ratio * 0.9, ratio * 1.1, 0.0, ratio + 1))
+    for k in ("one value", "two rows"):
+        assert found[k].reml is None and found[k].slope is None and found[k].singular is None
+    slope, intercept = np.polyfit([x for _, x, _ in single], [y for _, _, y in single], 1)
+    for k in ("single rows", "one id"):
+        assert found[k].singular and found[k].tau == 0
+        assert (found[k].slope, found[k].intercept) == pytest.approx((slope, intercept))
+    terms = {(r.k, r.term): r for r in mixed.terms_by(fits, ["k"]).collect()}
+    assert len(terms) == 14 and terms["a", "slope"].t == pytest.approx(found["a"].slope / found["a"].slope_se)
+    effects = {(r.k, r.id): r for r in mixed.random_effects_by(df, fits, "y", "x", ["k"]).collect()}
+    assert {k for k, _ in effects} == {*parts, "single rows", "one id"}
+    for k, part in parts.items():
+        fit = found[k]
+        alone = spark.createDataFrame(part, "id long, x double, y double")
+        whole = mixed.fit_random_intercept(alone, "y", "x")
+        assert whole.tau == pytest.approx(fit.tau, rel=1e-6) and whole.slope == pytest.approx(fit.slope)
+        for r in whole.random_effects(alone, "y", "x").collect():
+            assert effects[k, r.id].n == r.n and effects[k, r.id].effect == pytest.approx(r.effect, rel=1e-5, abs=1e-8)
+
+
+def test_random_intercept_without_rows(spark):
+    empty = spark.createDataFrame([], "k string, id long, x double, y double")
+    assert mixed.fit_random_intercept_by(empty, "y", "x", ["k"]).collect() == []
+    with pytest.raises(ValueError, match="no complete rows"):
+        mixed.fit_random_intercept(empty, "y", "x")
+    flat = spark.createDataFrame([("a", 1, 2.0, y) for y in (1.0, 2.0, 4.0)], empty.schema)
+    with pytest.raises(ValueError, match="two values"):
+        mixed.fit_random_intercept(flat, "y", "x")
+
+
 def test_random_intercept_singular(spark):
     rng = np.random.default_rng(3)
     data = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resight.llm import decontam, minhash, packing, quality, toxicity
@@ -14,38 +14,55 @@ from resight.llm.store import kept
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 GOOD, TOXIC = 0.7, 0.3
-#: Added while a stage decides, and dropped again.
-MARK = "_stage_mark"
+
+
+def _free(docs: DataFrame) -> str:
+    """A name that no column has: added while a stage decides, and dropped again."""
+    taken = {c.lower() for c in docs.columns}
+    name = "_stage_mark"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones among them, does not reject."""
+    mark = _free(docs)
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, tuple(docs.columns), MARK).where(F.col(MARK) >= GOOD).drop(MARK)
+    return quality.scored(docs, model, tuple(docs.columns), mark).where(F.col(mark) >= GOOD).drop(mark)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier, fitted on the labelled ones among them, does not reject."""
+    mark = _free(docs)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, tuple(docs.columns), MARK).where(F.col(MARK) < TOXIC).drop(MARK)
+    return toxicity.scored(docs, model, tuple(docs.columns), mark).where(F.col(mark) < TOXIC).drop(mark)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class; of rows that share its doc_id the one of the least text hash.
+    """One document of each near-duplicate class, that of the smallest doc_id.
 
-    Rows with a null doc_id are in no class and stay.
+    Different texts that share a doc_id are documents of their own, each named by 64 bits of a hash of both: only
+    near copies go. Of rows equal in doc_id and text one stays. Rows with a null doc_id are in no class and stay.
     """
-    stay = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.join(stay, "doc_id", "left_semi").withColumn(MARK, F.row_number().over(first)).where(F.col(MARK) == 1).drop(MARK)
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    mark = _free(docs)
+    digest = F.xxhash64("text")
+    shared = docs.groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low < high and doc_id is not null")
+    shared = kept(shared.select("doc_id", F.xxhash64("doc_id").alias(mark)), "shared-ids")
+    name = F.when(F.col(mark).isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text"))
+    rows = docs.where("doc_id is not null").join(shared, "doc_id", "left").withColumn(mark, name)
+    found = minhash.near_duplicates(rows.select(F.col(mark).alias("doc_id"), "text"))
+    stay = found.where("kept").select(F.col("doc_id").alias(mark)).distinct()
+    one = rows.join(stay, mark, "left_semi").dropDuplicates([mark])
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
+    mark = _free(docs)
     found = decontam.contaminated_words(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("n_hit > 0").select(F.col("row").alias(MARK)).distinct()
-    return docs.withColumn(MARK, decontam.row_name(F.col("doc_id"), F.col("text"))).join(gone, MARK, "left_anti").select(*docs.columns)
+    gone = found.where("n_hit > 0").select(F.col("row").alias(mark)).distinct()
+    return docs.withColumn(mark, decontam.row_name(F.col("doc_id"), F.col("text"))).join(gone, mark, "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,13 +190,14 @@ def near_duplicates(
             mixed = here.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
             open_ = here.join(mixed, "bucket").select("bucket", "node", "n", "c", "lead").where("node <> lead")
             named = open_.select(F.col("node").alias("doc_id")).distinct()
-            fine = texts.join(named, "doc_id", "left_semi").mapInArrow(lambda b: _finely(b, width), "node long, sketch array<long>").dropDuplicates(["node"])
-            every = leads.select("node", "bands").dropDuplicates(["node"])
+            fine = texts.join(named, "doc_id", "left_semi").mapInArrow(lambda b: _finely(b, width), "node long, sketch array<long>").distinct()
+            # A doc_id with several sets has all their sketches, and no one list of bands.
+            every = leads.groupBy("node").agg(F.when(F.count("*") == 1, F.first("bands")).alias("bands"))
             open_ = kept(open_.join(fine.join(every, "node"), "node"), "open")
             other = open_.select("bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("sketch").alias("t"), F.col("bands").alias("e"))
             apart = (F.col("a") < F.col("node")) & (F.col("c") != F.col("d")) & alike("n", "m") & alike("m", "n")
             near = likely(F.col("sketch"), F.col("t"), percent / 100 - MARGIN)
-            # Of the buckets that a pair shares one builds it. A doc_id with several sets may differ in them: all do.
+            # Of the buckets that a pair shares one builds it; those of a doc_id with several sets all do.
             once = F.coalesce(F.array_min(F.array_intersect("bands", "e")), F.col("bucket")) == F.col("bucket")
             pairs = open_.join(other, "bucket").where(apart & near & once)
             pairs = pairs.select("a", F.col("node").alias("b"))

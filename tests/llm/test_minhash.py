@@ -67,6 +67,21 @@ def test_chains_and_groups_around_the_threshold(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_a_doc_id_with_several_texts_loses_no_link(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(12):
+        # Texts near a hub that is smaller than all of them lead to no leader of their own.
+        words = sentence(rng, 120, 5000).split()
+        for copy in range(4):
+            changed = list(words)
+            for place in range(copy):
+                changed[40 * place + copy] = f"n{k}-{copy}-{place}"
+            rows.append((rng.choice((1, 2, 500, 1000 + 10 * k + copy)), " ".join(changed)))
+    rng.shuffle(rows)
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
+
+
 def test_a_band_takes_different_functions():
     functions = minhash.BANDS * minhash.ROWS // 2
     plain = minhash.band_keys(np.zeros((1, 2 * functions), np.uint32), minhash.BANDS, minhash.ROWS)

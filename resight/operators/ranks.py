@@ -139,10 +139,7 @@ def pairs(groups: DataFrame, group: str, by: Sequence[str] = ()) -> DataFrame:
     return both if by else both.drop("__all")
 
 
-def dunn(
-    df: DataFrame, value: str, group: str, by: Sequence[str] = (), alpha: float = 0.05
-) -> DataFrame:
-    """Pairwise comparisons after the rank test, with the Bonferroni correction."""
+def _dunn(df: DataFrame, value: str, group: str, by: Sequence[str], alpha: float) -> DataFrame:
     sums = rank_sums(df, value, group, by)
     whole = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     sums = sums.withColumns(
@@ -158,7 +155,8 @@ def dunn(
     m = F.col("k") * (F.col("k") - 1) / 2
     out = pairs(sums, group, by).select(
         *by,
-        F.concat_ws(" - ", F.col(f"a.{group}"), F.col(f"b.{group}")).alias("comparison"),
+        F.col(f"a.{group}").alias("__first"),
+        F.col(f"b.{group}").alias("__second"),
         z.alias("z"),
         m.alias("__m"),
     )
@@ -171,6 +169,65 @@ def dunn(
     )
 
 
+def dunn(
+    df: DataFrame, value: str, group: str, by: Sequence[str] = (), alpha: float = 0.05
+) -> DataFrame:
+    """Pairwise comparisons after the rank test, with the Bonferroni correction."""
+    comparison = F.concat_ws(" - ", "__first", "__second").alias("comparison")
+    return _dunn(df, value, group, by, alpha).select(*by, comparison, "z", "p", "p_adjusted", "significant")
+
+
+def letters(
+    tests: DataFrame, first: str, second: str, significant: str = "significant", by: Sequence[str] = (), name: str = "group"
+) -> DataFrame:
+    """Compact letters of pairwise tests: groups share a letter just if no test tells them apart.
+
+    ``tests`` has a row per compared pair. The letters are the largest sets of groups without a significant pair:
+    starting from all groups, each significant pair splits the sets that hold both, and sets inside another go.
+    They are named in the order of their sorted members, after z with a number added. An unknown significance is
+    none; rows without both names, or of a group with itself, are left out, and so are groups compared with nothing.
+    One row per group and ``by`` keys, from map-side combined sets of names. It is a display for tens of groups: in
+    the worst case the sets grow exponentially with them, as letters do.
+    """
+    a, b = F.col(first), F.col(second)
+    told = F.when(F.col(significant), F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")))
+    known = tests.where(a.isNotNull() & b.isNotNull() & (a != b)).groupBy(*by).agg(
+        F.array_sort(F.array_union(F.collect_set(a), F.collect_set(b))).alias("__groups"),
+        F.array_sort(F.collect_set(told)).alias("__told"),
+    )
+
+    def split(sets: Column, pair: Column) -> Column:
+        def parts(c: Column) -> Column:
+            both = F.array_contains(c, pair["a"]) & F.array_contains(c, pair["b"])
+            return F.when(both, F.array(F.array_remove(c, pair["a"]), F.array_remove(c, pair["b"]))).otherwise(F.array(c))
+
+        found = F.array_distinct(F.flatten(F.transform(sets, parts)))
+
+        def inside(c: Column) -> Column:
+            return F.exists(found, lambda d: (F.size(d) > F.size(c)) & (F.size(F.array_except(c, d)) == 0))
+
+        return F.filter(found, lambda c: ~inside(c))
+
+    def letter(k: Column) -> Column:
+        return F.concat(F.char(97 + k % 26), F.when(k >= 26, F.floor(k / 26).cast("string")).otherwise(""))
+
+    rows = known.withColumn("__sets", F.array_sort(F.aggregate("__told", F.array("__groups"), split)))
+
+    def named(group: Column) -> Column:
+        own = F.transform("__sets", lambda c, k: F.when(F.array_contains(c, group), letter(k)))
+        return F.struct(group.alias("g"), F.array_join(own, "").alias("l"))
+
+    out = rows.select(*by, F.explode(F.transform("__groups", named)).alias("__row"))
+    return out.select(*by, F.col("__row.g").alias(name), F.col("__row.l").alias("letters"))
+
+
+def dunn_letters(
+    df: DataFrame, value: str, group: str, by: Sequence[str] = (), alpha: float = 0.05
+) -> DataFrame:
+    """The letters of Dunn's comparisons, one row per group."""
+    return letters(_dunn(df, value, group, by, alpha), "__first", "__second", "significant", by, group)
+
+
 def comparison_key(c: Column) -> Column:
     """The form that labels are matched on: ranges of numbers as ``1_10``, the two groups parted by a hyphen."""
     return F.regexp_replace(F.regexp_replace(c, r"([0-9]+)-([0-9]+)", "$1_$2"), " - ", "-")

@@ -418,18 +418,37 @@ def _rank_groups(source: str, value: str, group: str) -> str:
         total AS (SELECT CAST(sum(n) AS DOUBLE) AS nn, sum(tt) AS tt, count(*) AS k FROM sums)"""
 
 
-def _dunn(source: str, value: str, group: str, needs: tuple[str, ...] = ()) -> str:
+def _dunn_pairs(source: str, value: str, group: str, needs: tuple[str, ...] = ()) -> str:
     head = _with(needs, "").rstrip() + ", " if needs else "WITH "
     return f"""{head}{_rank_groups(source, value, group)},
         z AS (SELECT a.g AS ga, b.g AS gb, k, (a.rs / a.n - b.rs / b.n) / sqrt((nn * (nn + 1) / 12
           - total.tt / (12 * (nn - 1))) * (1.0 / a.n + 1.0 / b.n)) AS z
           FROM sums a JOIN sums b ON a.g < b.g CROSS JOIN total),
         p AS (SELECT *, {_normal_p('z')} AS p FROM z),
-        q AS (SELECT *, least(1, p * k * (k - 1) / 2) AS adj FROM p)
+        q AS (SELECT *, least(1, p * k * (k - 1) / 2) AS adj FROM p)"""
+
+
+def _dunn(source: str, value: str, group: str, needs: tuple[str, ...] = ()) -> str:
+    return f"""{_dunn_pairs(source, value, group, needs)}
         SELECT ga || ' - ' || gb AS comparison, {_r('z')} AS z, {_r('p')} AS p, {_r('adj')} AS p_adjusted,
         adj < 0.05 AS significant, {_KEY} AS comparison_key FROM q"""
 
 
+def _dunn_letters(source: str, value: str, group: str, name: str) -> str:
+    """All subsets of the groups as bit masks: those without a significant pair that no such set contains."""
+    return f"""{_dunn_pairs(source, value, group)},
+        numbered AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS bit FROM sums),
+        bad AS (SELECT (1 << x.bit) + (1 << y.bit) AS pair FROM q JOIN numbered x ON ga = x.g JOIN numbered y ON gb = y.g
+          WHERE adj < 0.05),
+        free AS (SELECT mask FROM (SELECT unnest(range(1, CAST(pow(2, (SELECT count(*) FROM sums)) AS BIGINT))) AS mask)
+          WHERE NOT EXISTS (SELECT 1 FROM bad WHERE (mask & pair) = pair)),
+        top AS (SELECT mask FROM free f WHERE NOT EXISTS (SELECT 1 FROM free o WHERE o.mask <> f.mask AND (o.mask & f.mask) = f.mask)),
+        members AS (SELECT mask, g FROM top JOIN numbered ON (mask >> bit) & 1 = 1),
+        lettered AS (SELECT mask, chr(CAST(96 + row_number() OVER (ORDER BY list(g ORDER BY g)) AS INTEGER)) AS letter
+          FROM members GROUP BY mask)
+        SELECT g AS {name}, string_agg(letter, '' ORDER BY letter) AS letters FROM members JOIN lettered USING (mask) GROUP BY g"""
+
+
 def _kruskal(source: str, value: str, group: str, needs: tuple[str, ...] = ()) -> str:
     head = _with(needs, "").rstrip() + ", " if needs else "WITH "
     return f"""{head}{_rank_groups(source, value, group)}
@@ -849,6 +868,8 @@ def oracles() -> dict[str, str]:
     out["q_midrank_within_group"] = _midrank("event_type", "event_type, value")
     out["q_kruskal"] = _kruskal("events", "value", "event_type")
     out["q_kruskal_growth"] = _kruskal("individual", "mean_rate", "longevity_group", ("individual",))
+    lengths = "(SELECT length(text)::DOUBLE AS length, CAST(least(turn, 6) AS VARCHAR) AS place FROM conversations)"
+    out["q_dunn_letters"] = _dunn_letters(lengths, "length", "place", "place")
     out["q_dunn"] = _dunn("events", "value", "event_type")
     out["q_dunn_growth"] = _dunn("individual", "mean_rate", "longevity_group", ("individual",))
     out["q_signed_rank"] = _signed_rank("events", "value", "40.0::DOUBLE")

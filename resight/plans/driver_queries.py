@@ -440,6 +440,15 @@ def _(spark, d):
     return out.withColumn("comparison_key", ranks.comparison_key(F.col("comparison")))
 
 
+@query("q_dunn_letters")
+def _(spark, d):
+    """Letters of the lengths of texts by their place in a conversation, later places together."""
+    rows = t.table(spark, d, "conversations").select(
+        F.length("text").cast("double").alias("length"), F.least("turn", F.lit(6)).cast("string").alias("place")
+    )
+    return ranks.dunn_letters(rows, "length", "place")
+
+
 @query("q_signed_rank")
 def _(spark, d):
     return ranks.signed_rank(t.events(spark, d), "value", 40.0)

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -216,3 +217,34 @@ def test_equal_values_have_no_spread(spark):
     assert linear.t_test(df, "x", 1.0).first().t is None
     assert math.isclose(linear.shapiro(df, "x").first().n, 3)
     assert linear.shapiro(df, "x").first().w is None
+
+
+def test_letters_are_the_largest_sets_without_a_significant_pair(spark):
+    rng = random.Random(6)
+    tests, want = [], {}
+    for case in range(25):
+        groups = [f"g{i}" for i in range(rng.randrange(2, 8))]
+        told = {p for p in itertools.combinations(groups, 2) if rng.random() < rng.choice((0.1, 0.5, 0.9))}
+        for a, b in itertools.combinations(groups, 2):
+            one, two = rng.sample((a, b), 2)
+            tests.append((case, one, two, True if (a, b) in told else rng.choice((False, None))))
+        free = [
+            set(c) for n in range(1, len(groups) + 1) for c in itertools.combinations(groups, n)
+            if not any(p in told for p in itertools.combinations(c, 2))
+        ]
+        top = sorted(sorted(c) for c in free if not any(c < d for d in free))
+        for g in groups:
+            want[case, g] = "".join("abcdefghijklmnopqrstuvwxyz"[k] for k, c in enumerate(top) if g in c)
+    tests += [(0, "g0", "g0", True), (0, None, "g1", True), (99, "alone", None, True), (None, "x", "y", True)]
+    want |= {(None, "x"): "a", (None, "y"): "b"}
+    df = spark.createDataFrame(tests + tests[:40], "k int, one string, two string, significant boolean")
+    got = {(r.k, r.group): r.letters for r in ranks.letters(df, "one", "two", by=["k"]).collect()}
+    assert got == want
+    assert ranks.letters(df.where("k = 99"), "one", "two").collect() == []
+
+
+def test_more_letters_than_the_alphabet(spark):
+    groups = [f"g{i:02}" for i in range(30)]
+    df = spark.createDataFrame([(*p, True) for p in itertools.combinations(groups, 2)], "one string, two string, significant boolean")
+    got = [r.letters for r in ranks.letters(df, "one", "two").orderBy("group").collect()]
+    assert got == [*"abcdefghijklmnopqrstuvwxyz", "a1", "b1", "c1", "d1"]

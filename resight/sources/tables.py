@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,11 @@ def csv_lines(df: DataFrame) -> DataFrame:
 
 def parse_csv_lines(lines: DataFrame, header: list[str], columns: Columns, keep_corrupt: bool = False) -> DataFrame:
     """CSV lines without a header line, ``value``, as columns of their declared types."""
+    return lines.select(_parsed(F.col("value"), header, columns, keep_corrupt).alias("row")).select("row.*")
+
+
+def _parsed(line: Column, header: list[str], columns: Columns, keep_corrupt: bool) -> Column:
+    """A CSV line as a struct with the header's names and their declared types."""
     fields = [T.StructField(c, columns[c][1] if c in columns else T.StringType()) for c in header]
     if keep_corrupt:
         fields.append(T.StructField(CORRUPT, T.StringType()))
@@ -77,7 +83,46 @@ def parse_csv_lines(lines: DataFrame, header: list[str], columns: Columns, keep_
         "ignoreTrailingWhiteSpace": "true",
     }
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return lines.select(F.from_csv("value", schema, options).alias("row")).select("row.*")
+    return F.from_csv(line, schema, options)
+
+
+LAYOUTS = 64
+"""More different headers under one path are taken for files without any: an error."""
+
+
+def read_layouts(spark: SparkSession, path: str, columns: Columns, keep_corrupt: bool = False) -> DataFrame:
+    """CSV files of different headers under one path: known columns under their short names, and `source_file`.
+
+    Each file's first line is its header; columns are bound by name, file by file, in any order. A short name that a
+    file has not is null in its rows. With ``keep_corrupt`` a bad row carries its source line. Files without lines
+    give no rows; records over several lines are not read this way. Only the different headers reach the driver;
+    the lines are read once for them, and then parsed in one pass.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(
+        "value", meta["file_path"].alias("source_file"), meta["file_block_start"].alias("__start"), F.monotonically_increasing_id().alias("__at")
+    )
+    headers = lines.where("__start = 0").groupBy("source_file").agg(F.min_by("value", "__at").alias("__header"))
+    found = sorted(r[0] for r in headers.select("__header").distinct().limit(LAYOUTS + 1).collect())
+    if len(found) > LAYOUTS:
+        raise ValueError(f"more than {LAYOUTS} different headers under {path}")
+    short = {name: kind for name, kind in columns.values()}
+    empty = F.struct(*[F.lit(None).cast(kind).alias(name) for name, kind in short.items()])
+    record, bad = empty, F.lit(None).cast("string")
+    for line in found:
+        header = [c.strip() for c in next(csv.reader([line], skipinitialspace=True))]
+        if len(set(header)) < len(header):
+            raise ValueError(f"a header names a column twice: {line}")
+        row = _parsed(F.col("value"), header, columns, keep_corrupt)
+        cells = {name: [row[c] for c, (n, _) in columns.items() if n == name and c in header] for name in short}
+        own = F.struct(*[F.coalesce(*cells[n], F.lit(None).cast(kind)).alias(n) for n, kind in short.items()])
+        here = F.col("__header") == line
+        record = F.when(here, own).otherwise(record)
+        if keep_corrupt:
+            bad = F.when(here, row[CORRUPT]).otherwise(bad)
+    rows = lines.join(headers, "source_file").where((F.col("value") != F.col("__header")) & (F.trim("value") != ""))
+    out = rows.select("source_file", record.alias("__row"), *([bad.alias(CORRUPT)] if keep_corrupt else []))
+    return out.select("__row.*", "source_file", *([CORRUPT] if keep_corrupt else []))
 
 
 def canonical(df: DataFrame, columns: Columns) -> DataFrame:
@@ -99,7 +144,8 @@ def read_sightings(spark: SparkSession, path: str, columns: Columns = SIGHTINGS)
 
 
 def read_clutches(spark: SparkSession, path: str, columns: Columns = EXCAVATION) -> DataFrame:
-    return canonical(read_csv(spark, path, columns), columns)
+    """Excavations from files whose headers may differ, one row a line."""
+    return read_layouts(spark, path, columns).drop("source_file")
 
 
 def rejects(df: DataFrame) -> DataFrame:

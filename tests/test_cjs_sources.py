@@ -212,3 +212,29 @@ def test_cjs_is_math_safe_at_the_edge():
     # Everything seen again at once: detection runs to one and must not overflow.
     fit = cjs.fit_counts({1: 50}, {1: 5, 2: 5}, 3)
     assert math.isfinite(fit.log_likelihood) and fit.real[1] > 0.99
+
+
+def test_clutch_files_of_two_layouts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        'SPNWR_ID,Total eggs,Total unhatched,Hatch success (%),OriginalTagID,Date,Notes\n'
+        'e1,100,10,90.5,T1,5/1/1999,"fine, all"\ne2,NA, 4 ,x,T2,,\n\n'
+    )
+    (tmp_path / "b.csv").write_text('DateOfActivity, "Hatch success (%)",OriginalTagID,SPNWR_ID\r\n6/2/2000,80,T3,e3\r\nNA,,T4,e4\r\n')
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv").write_text("SPNWR_ID,Date\n")
+    names = ("event_id", "dt", "unhatched", "eggs", "hatch", "id")
+    got = tables.read_clutches(spark, str(tmp_path))
+    assert set(got.columns) == set(names)
+    assert rows(got, *names) == [
+        ("e1", "5/1/1999", 10.0, 100.0, 90.5, "T1"),
+        ("e2", None, 4.0, None, None, "T2"),
+        ("e3", "6/2/2000", None, None, 80.0, "T3"),
+        ("e4", None, None, None, None, "T4"),
+    ]
+    full = tables.read_layouts(spark, str(tmp_path), tables.EXCAVATION, keep_corrupt=True)
+    (bad,) = tables.rejects(full).collect()
+    assert bad.event_id == "e2" and bad.source_file.endswith("a.csv") and bad[tables.CORRUPT].startswith("e2,NA")
+    for k in range(tables.LAYOUTS):
+        (tmp_path / f"many{k}.csv").write_text(f"c{k}\n1\n")
+    with pytest.raises(ValueError, match="different headers"):
+        tables.read_layouts(spark, str(tmp_path), tables.EXCAVATION)

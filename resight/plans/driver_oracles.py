@@ -984,7 +984,7 @@ def oracles() -> dict[str, str]:
         ("sightings",),
         "SELECT id, event_id, dt, result, size, CAST(year(dt) AS INTEGER) AS season FROM sightings",
     )
-    out["q_csv_clutches"] = _with(
+    out["q_clutch_files"] = out["q_csv_clutches"] = _with(
         ("excavations",),
         f"""SELECT e.event_id, unhatched, eggs, {_r('hatch')} AS hatch, CAST(o_custkey AS VARCHAR) AS id,
         strftime(o_orderdate, '%-m/%-d/%Y') AS dt FROM excavations e JOIN orders ON e.event_id = o_orderkey

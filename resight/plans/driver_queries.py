@@ -801,6 +801,24 @@ def _(spark, d):
     return io.canonical(io.parse_csv_lines(lines, header, io.EXCAVATION), io.EXCAVATION)
 
 
+@query("q_clutch_files")
+def _(spark, d):
+    """Excavations written as CSV files of two layouts and read by their headers."""
+    rows = t.clutch_tables(spark, d)[2]
+    even = rows.where("id % 2 = 0").select(
+        F.col("event_id").alias("SPNWR_ID"), F.col("unhatched").alias("Total unhatched"), F.col("eggs").alias("Total eggs"),
+        F.col("hatch").alias("Hatch success (%)"), F.col("id").alias("OriginalTagID"), F.col("dt").alias("Date"),
+    )
+    odd = rows.where("id % 2 = 1").select(
+        F.col("dt").alias("DateOfActivity"), F.lit("none").alias("Notes"), F.col("id").alias("OriginalTagID"), F.col("hatch").alias("Hatch success (%)"),
+        F.col("eggs").alias("Total eggs"), F.col("unhatched").alias("Total unhatched"), F.col("event_id").alias("SPNWR_ID"),
+    )
+    folder = io.shared_folder(spark, "clutches")
+    for name, layout in (("even", even), ("odd", odd)):
+        io.write_table(layout, f"{folder}/{name}", "csv")
+    return io.read_clutches(spark, [f"{folder}/even", f"{folder}/odd"])
+
+
 @query("q_dunn_growth")
 def _(spark, d):
     """Pairs of growth groups, whose names hold number ranges, with the keys that labels are matched on."""

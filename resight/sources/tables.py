@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,7 +92,7 @@ LAYOUTS = 64
 """More different headers under one path are taken for files without any: an error."""
 
 
-def read_layouts(spark: SparkSession, path: str, columns: Columns, keep_corrupt: bool = False) -> DataFrame:
+def read_layouts(spark: SparkSession, path: str | list[str], columns: Columns, keep_corrupt: bool = False) -> DataFrame:
     """CSV files of different headers under one path: known columns under their short names, and `source_file`.
 
     Each file's first line is its header; columns are bound by name, file by file, in any order. A short name that a
@@ -143,7 +145,7 @@ def read_sightings(spark: SparkSession, path: str, columns: Columns = SIGHTINGS)
     return canonical(df, columns)
 
 
-def read_clutches(spark: SparkSession, path: str, columns: Columns = EXCAVATION) -> DataFrame:
+def read_clutches(spark: SparkSession, path: str | list[str], columns: Columns = EXCAVATION) -> DataFrame:
     """Excavations from files whose headers may differ, one row a line."""
     return read_layouts(spark, path, columns).drop("source_file")
 
@@ -182,3 +184,13 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "er
         df.write.mode(mode).option("header", True).option("nullValue", "NA").csv(path)
     else:
         raise ValueError(f"unknown kind: {kind}")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, spark.checkpoint.dir; on one machine without it, a temporary one."""
+    own = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="resight-")
+    return f"{own.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -104,7 +104,7 @@ def encoder_of(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, tokens: int, ids_too: bool) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, tokens: int, ids_too: bool, short_first: bool = False) -> Iterator[pa.RecordBatch]:
     encoder = encoder_of(path)
     stop = np.array([end], dtype="<u4").tobytes()
     for batch in batches:
@@ -114,20 +114,23 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, tokens: int,
             own = texts.slice(first, TOGETHER).to_pylist()
             for doc, ids in zip(names.slice(first, TOGETHER).to_pylist(), encoder.ids([t or "" for t in own]), strict=True):
                 ids += stop
-                for piece, a in enumerate(range(0, len(ids), 4 * tokens)):
-                    part = ids[a : a + 4 * tokens]
-                    rows.append((doc, piece, a // 4, len(part) // 4, zlib.crc32(part), part if ids_too else None))
+                # With the short piece first, the first cut lies so that all after it are full.
+                early = -len(ids) % (4 * tokens) if short_first else 0
+                for piece, a in enumerate(range(-early, len(ids), 4 * tokens)):
+                    part = ids[max(a, 0) : a + 4 * tokens]
+                    rows.append((doc, piece, max(a, 0) // 4, len(part) // 4, zlib.crc32(part), part if ids_too else None))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays[: 5 + ids_too], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids_too])
 
 
-def token_pieces(documents: DataFrame, tokenizer: str, end: int = 2, tokens: int = TOKENS, ids: bool = False) -> DataFrame:
+def token_pieces(documents: DataFrame, tokenizer: str, end: int = 2, tokens: int = TOKENS, ids: bool = False, short_first: bool = False) -> DataFrame:
     """Pieces of at most `tokens` ids of every text and its end: doc_id, piece, start, length, ids_crc32, and
-    with `ids` the ids themselves as little-endian 32-bit bytes. Only a longer text is cut, from its start."""
+    with `ids` the ids themselves as little-endian 32-bit bytes. Only a longer text is cut: all its pieces are full
+    but the last one or, with `short_first`, the first one."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
-    return documents.select("doc_id", "text").mapInArrow(lambda b: _pieces(b, tokenizer, end, tokens, ids), schema)
+    return documents.select("doc_id", "text").mapInArrow(lambda b: _pieces(b, tokenizer, end, tokens, ids, short_first), schema)
 
 
 def best_fit(
@@ -211,6 +214,6 @@ def pack(
     return packed.unionByName(alone.withColumn("sequence_id", number).withColumn("offset", F.lit(0).cast("long")))
 
 
-def packed_documents(documents: DataFrame, tokenizer: str, end: int = 2, tokens: int = TOKENS) -> DataFrame:
+def packed_documents(documents: DataFrame, tokenizer: str, end: int = 2, tokens: int = TOKENS, short_first: bool = False) -> DataFrame:
     """Pieces of all documents with their places, tokenised once."""
-    return pack(kept(token_pieces(documents, tokenizer, end, tokens), "pieces"), tokens)
+    return pack(kept(token_pieces(documents, tokenizer, end, tokens, short_first=short_first), "pieces"), tokens)

@@ -56,8 +56,8 @@ def tokenizer_path() -> str:
 
 
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents as pieces of packed sequences of at most 1024 tokens."""
-    return packing.packed_documents(table(spark, folder, "documents"), tokenizer_path(), end=2, tokens=1024)
+    """All documents as pieces of packed sequences of at most 1024 tokens; of a longer one the first piece may be shorter."""
+    return packing.packed_documents(table(spark, folder, "documents"), tokenizer_path(), end=2, tokens=1024, short_first=True)
 
 
 def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from resight.llm import packing
-from resight.llm.queries import tokenizer_path
+from resight.llm.queries import op4_packing, tokenizer_path
 
 pytest.importorskip("public_tokenizers")
 
@@ -64,6 +64,27 @@ def test_pieces_and_places(documents, odd_texts, tokenizer):
     assert len(sequences) <= -(-total // 1024) + 2
 
 
+def test_only_the_first_piece_of_the_query_is_shorter(spark, tokenizer, tmp_path):
+    # One token a word, and the end: under, at and over the bounds, and several pieces.
+    texts = {n: " ".join(["the"] * n) for n in (0, 1, 1022, 1023, 1024, 2047, 2048, 2600, 5000)}
+    rows = [*texts.items(), (-1, None), (2600, texts[2600])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for doc, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids), 1024), len(ids)] if len(ids) > 1024 else [0, len(ids)]
+        want += [(doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    got = op4_packing(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in places.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert sum(n for _, n in parts) <= 1024
+
+
 @pytest.mark.parametrize("measure", ["dot", "norm"])
 def test_every_capacity_is_kept(measure):
     lengths = np.sort(np.random.default_rng(2).integers(1, 700, 3000))[::-1]

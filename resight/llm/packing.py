@@ -35,6 +35,8 @@ TOKENS = 1024
 RUN = 6000
 #: Chunks in one of the two generations that a worker remembers (some 80 MB each), and texts learned together.
 REMEMBERED, TOGETHER = 400_000, 512
+#: Chunks joined into one text for the tokenizer, and the most characters of such a chunk.
+JOINED, SHORT = 4096, 64
 #: A text can be cut before a single space that a word follows: pre-tokens never reach over it.
 CUT = re.compile(r"(?= \S)")
 #: A space that no word follows.
@@ -44,6 +46,25 @@ BLANKS = re.compile(r" (?!\S)")
 STOP = re.compile(r"([,.;:!?])(?<=[A-Za-zÀ-ÖØ-öø-ÿ].)(?=[ \n]|\Z)")
 LINE = re.compile(r"\n(?<=\S\n)(?=[A-Za-zÀ-ÖØ-öø-ÿ])")
 MARK = "\0"
+#: How a byte-level vocabulary writes a space.
+SPACE = "\u0120"
+
+
+class _Memory(dict):
+    """Ids of chunks. A chunk that is asked for and not known has an empty run of bytes, to be filled: all that were
+    handed out stand in `new`."""
+
+    def __init__(self, old: dict[str, bytes]):
+        super().__init__()
+        self.old = old
+        self.new: dict[str, bytearray] = {}
+
+    def __missing__(self, chunk: str) -> bytes | bytearray:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.new[chunk] = bytearray()
+        self[chunk] = ids
+        return ids
 
 
 class ChunkEncoder:
@@ -51,6 +72,7 @@ class ChunkEncoder:
     encoded together, each once, and the last ones met are remembered in two generations of `remembered`.
 
     A chunk is named by what follows the space that it begins with, or by MARK and itself if it begins without one.
+    Short ones that hold no other space are encoded as one text, whose tokens that begin with a space begin a chunk.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -59,9 +81,11 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        words = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(words.values()) + 1, bool)
+        self.leads[[i for word, i in words.items() if word[:1] == SPACE]] = True
         self.remembered = remembered
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young = _Memory({})
 
     def _chunks(self, text: str) -> list[str] | None:
         """The names of a text's chunks; None for a text that is not cut."""
@@ -79,22 +103,42 @@ class ChunkEncoder:
             rest = [x[1:] for x in rest]
         return [MARK + first, *rest] if first else rest
 
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield array("I", found.ids).tobytes()
+
+    def _joined(self, chunks: list[str]) -> Iterator[bytes]:
+        """The ids of chunks that hold no space but their first."""
+        for first in range(0, len(chunks), JOINED):
+            own = chunks[first : first + JOINED]
+            (ids,) = self._encoded([" " + " ".join(own)])
+            starts = (4 * np.flatnonzero(self.leads[np.frombuffer(ids, "<u4")])).tolist()
+            for _, a, b in zip(own, starts, [*starts[1:], len(ids)], strict=True):
+                yield ids[a:b]
+
+    def _learn(self, memory: _Memory) -> None:
+        """Fill what was handed out."""
+        joined = [c for c in memory.new if len(c) <= SHORT and " " not in c and c[0] != MARK]
+        others = [c for c in memory.new if len(c) > SHORT or " " in c or c[0] == MARK]
+        for chunks, found in ((joined, self._joined(joined)), (others, self._encoded([c[1:] if c[0] == MARK else " " + c for c in others]))):
+            for chunk, ids in zip(chunks, found, strict=True):
+                memory.new[chunk][:] = ids
+                memory[chunk] = ids
+        memory.new.clear()
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
         if len(self.young) >= self.remembered:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        cut = [self._chunks(text) for text in texts]
-        missing = set().union(*filter(None, cut)).difference(young)
-        new = [c for c in missing if c not in old]
-        young.update((c, old[c]) for c in missing if c in old)
-        found = self.tokenizer.encode_batch_fast([c[1:] if c[0:1] == MARK else " " + c for c in new], add_special_tokens=False)
-        young.update((c, array("I", x.ids).tobytes()) for c, x in zip(new, found, strict=True))
-        for text, chunks in zip(texts, cut, strict=True):
-            if chunks is None:
+            self.young.old = {}
+            self.young = _Memory(self.young)
+        known = self.young.__getitem__
+        parts = [None if chunks is None else list(map(known, chunks)) for chunks in map(self._chunks, texts)]
+        self._learn(self.young)
+        for text, own in zip(texts, parts, strict=True):
+            if own is None:
                 yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             else:
-                yield b"".join(map(young.__getitem__, chunks))
+                yield b"".join(own)
 
 
 @lru_cache(maxsize=2)

@@ -38,6 +38,25 @@ def test_a_small_memory_changes_nothing(tokenizer):
         assert list(encoder.ids([text])) == [np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
 
 
+def test_new_chunks_are_encoded_together(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "JOINED", 100)
+    encoder, asked = packing.ChunkEncoder(tokenizer_path()), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counting()
+    texts = [" ".join(f"w{k * 7 + j}é\n{j}" for j in range(300)) + " " + "y" * 5000 + "." for k in range(4)]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(encoder.ids(texts)) == want
+    assert len(asked) < 30
+    asked.clear()
+    assert list(encoder.ids(texts)) == want
+    assert not asked
+
+
 def test_pieces_and_places(documents, odd_texts, tokenizer):
     rows = packing.packed_documents(documents, tokenizer_path()).collect()
     texts = {}

@@ -21,6 +21,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ TOKENS = 1024
 RUN = 6000
 #: Chunks in one of the two generations that a worker remembers (some 80 MB each), and texts learned together.
 REMEMBERED, TOGETHER = 400_000, 512
+#: Chunks that a worker still remembers when its task is over: it may wait for long.
+RESTING = 50_000
 #: Chunks joined into one text for the tokenizer, and the most characters of such a chunk.
 JOINED, SHORT = 4096, 64
 #: A text can be cut before a single space that a word follows: pre-tokens never reach over it.
@@ -126,6 +129,12 @@ class ChunkEncoder:
                 memory[chunk] = ids
         memory.new.clear()
 
+    def rest(self, most: int = RESTING) -> None:
+        """Forget all but the chunks met first, the frequent ones among them."""
+        few = _Memory({})
+        few.update(islice(self.young.items(), most))
+        self.young = few
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
         if len(self.young) >= self.remembered:
@@ -167,6 +176,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, tokens: int,
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays[: 5 + ids_too], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids_too])
+    encoder.rest()
 
 
 def token_pieces(documents: DataFrame, tokenizer: str, end: int = 2, tokens: int = TOKENS, ids: bool = False, short_first: bool = False) -> DataFrame:

@@ -57,6 +57,17 @@ def test_new_chunks_are_encoded_together(tokenizer, monkeypatch):
     assert not asked
 
 
+def test_a_worker_at_rest_remembers_little(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing.ChunkEncoder.rest, "__defaults__", (20,))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["the a", " ".join(f"q{k}" for k in range(500))])], names=["doc_id", "text"])
+    made = [list(packing._pieces(iter([batch]), tokenizer_path(), 2, 1024, False)) for _ in range(2)]
+    memory = packing.encoder_of(tokenizer_path()).young
+    assert len(memory) <= 20 and not memory.old
+    assert made[0] == made[1]
+
+
 def test_pieces_and_places(documents, odd_texts, tokenizer):
     rows = packing.packed_documents(documents, tokenizer_path()).collect()
     texts = {}

@@ -36,6 +36,8 @@ from resight.llm.store import kept
 BLOCK = 12 << 20
 #: Distinct n-grams of a shard and level, about.
 SHARD = 1_000_000
+#: Codes of a block that are smoothed together.
+PART = 1 << 18
 CONTEXT_BITS, SUCCESSOR_BITS = 40, 32
 _U = np.uint64
 BEGIN, END = _U(0x1234567890ABCDEF), _U(0xFEDCBA0987654321)
@@ -87,24 +89,29 @@ class Block:
         marks[starts[:-1]] = marks[starts[1:] - 1] = False
         sequence[marks] = hashes
         sequence[starts[:-1]], sequence[starts[1:] - 1] = BEGIN, END
+        del hashes, parts, marks
         words, codes = np.unique(sequence, return_inverse=True)
         return Block(words, codes.astype(np.uint32), starts)
 
     def of_text(self) -> np.ndarray:
         """The number of the text of every code."""
-        return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+        return np.repeat(np.arange(len(self.starts) - 1, dtype=np.int32), np.diff(self.starts))
 
     def levels(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For lengths 2 to order: contexts and successors of the distinct n-grams as hashes, the n-gram of each
         code (or -1), the n-gram of the level below that is each one's context, and its last word."""
         text, size = self.of_text(), len(self.words)
-        below, context_hash = self.codes.astype(np.int64), self.words
+        below, context_hash = self.codes, self.words
         for length in range(2, order + 1):
-            where = np.flatnonzero(text[length - 1 :] == text[: len(text) - length + 1]) + length - 1
-            key, inverse = np.unique(below[where - 1] * size + self.codes[where], return_inverse=True)
+            inside = np.append(np.zeros(length - 1, bool), text[length - 1 :] == text[: len(text) - length + 1])
+            key = below[np.flatnonzero(inside) - 1].astype(np.int64)
+            key *= size
+            key += self.codes[inside]
+            key, inverse = np.unique(key, return_inverse=True)
+            ids = np.full(len(self.codes), -1, np.int32)
+            ids[inside] = inverse
             context, last = key // size, key % size
-            ids = np.full(len(self.codes), -1, np.int64)
-            ids[where] = inverse
+            del key, inverse, inside
             yield context_hash[context], self.words[last], ids, context, last
             context_hash = tx.mixed(context_hash[context] * _U(0x9E3779B97F4A7C15) + self.words[last])
             below = ids
@@ -252,6 +259,7 @@ def _block_scores(words: np.ndarray, codes: np.ndarray, starts: np.ndarray, answ
     n = len(starts) - 1
     base = np.bincount(text[token], logs[codes[token]], n)
     known = np.bincount(text[token], counts[codes[token]] > 0, n).astype(np.int64)
+    del logs
     p = ((counts + 1) / (tokens + types + 1))[codes]
     before = counts.astype(float)
     for level, (context, successor, ids, own, _) in enumerate(block.levels(order), 2):
@@ -260,9 +268,11 @@ def _block_scores(words: np.ndarray, codes: np.ndarray, starts: np.ndarray, answ
         for s in range(shards[level - 1]):
             if cut[s] < cut[s + 1]:
                 value[by[cut[s] : cut[s + 1]]] = decoded(unpacked(answers[level, s])[0])
-        at = np.flatnonzero(ids >= 0)
-        gram = ids[at]
-        p[at] = (value[gram] + prior * p[at]) / (np.maximum(before[own[gram]], value[gram]) + prior)
+        del context, successor, by
+        for first in range(0, len(ids), PART):
+            at = first + np.flatnonzero(ids[first : first + PART] >= 0)
+            gram = ids[at]
+            p[at] = (value[gram] + prior * p[at]) / (np.maximum(before[own[gram]], value[gram]) + prior)
         before = value
     score = np.bincount(text[token], np.log10(p[token]), n)
     return np.bincount(text[token], minlength=n), known, base, score

@@ -102,3 +102,20 @@ def test_no_documents(no_documents):
 def test_codes():
     counts = np.array([0, 1, 2, 3, 10, 1000, 10**9])
     assert ngram_lm.decoded(ngram_lm.coded(counts)) == pytest.approx(counts, rel=3e-4)
+
+
+def test_scores_of_a_block_take_little_memory():
+    import tracemalloc
+
+    n, rng = 1_000_000, np.random.default_rng(5)
+    words, codes = np.sort(rng.integers(1, 2**64, 30_000, dtype=np.uint64)), (rng.zipf(1.3, n) % 30_000).astype(np.uint32)
+    starts = np.arange(0, n + 1, 500)
+    answers = {(1, 0): ngram_lm.packed(rng.integers(1, 99, len(words)).astype(np.uint32))}
+    for level, (context, *_) in enumerate(ngram_lm.Block(words, codes, starts).levels(3), 2):
+        answers[level, 0] = ngram_lm.packed(ngram_lm.coded(rng.integers(1, 99, len(context))))
+    tracemalloc.start()
+    try:
+        ngram_lm._block_scores(words, codes, starts, answers, 3, [1, 1, 1], 10**6, len(words), 100.0)
+        assert tracemalloc.get_traced_memory()[1] < 110 * n
+    finally:
+        tracemalloc.stop()

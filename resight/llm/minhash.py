@@ -21,6 +21,7 @@ its own with a null id. Columns other than the named ones are not read, whatever
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ ROWS = 4
 #: the similarity: 0.08 is 7 standard deviations of it (5 for sets of a single shingle).
 FINE = 1024
 MARGIN = 0.08
+#: Rows of a bucket that are compared in one group; larger buckets are cut into parts.
+PART = 1024
 _U = np.uint64
 
 
@@ -120,11 +123,85 @@ def _finely(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], names=["node", "sketch"])
 
 
-def likely(one: Column, other: Column, least: float) -> Column:
-    """Whether two fine sketches agree as often as sets of similarity `least` do."""
-    half = FINE // 32
-    agree = [F.bit_count(F.bitwise_not(one[i].bitwiseXOR(other[i]).bitwiseOR(one[i + half].bitwiseXOR(other[i + half])))) for i in range(half)]
-    return sum(agree[1:], agree[0]) >= int((least + (1 - least) / 4) * 2 * FINE)
+def likely(one: np.ndarray, other: np.ndarray, least: float) -> np.ndarray:
+    """Whether two fine sketches, row by row, agree as often as sets of similarity `least` do."""
+    # Unsigned: of negative numbers the bits of the absolute value would be counted.
+    apart = (one ^ other).view(np.uint64)
+    half = apart.shape[1] // 2
+    differ = np.bitwise_count(apart[:, :half] | apart[:, half:]).sum(axis=1, dtype=np.int64)
+    return 64 * half - differ >= int((least + (1 - least) / 4) * 64 * half)
+
+
+def _rows_of(column: pa.ListArray, where: np.ndarray) -> np.ndarray:
+    """The lists of the rows in `where`, all of one length, as rows of a matrix; of the others zeros."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), len(flat) // max(1, int(where.sum()))), np.int64)
+    out[where] = flat.reshape(-1, out.shape[1])
+    return out
+
+
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """near_pairs of the rows of in_parts, in the order of bucket, low and high.
+
+    Every row meets the next one of its group, then the second next and so on, all groups of a batch at once; the
+    last group may go on in the next batch and waits for it.
+    """
+    least = percent / 100 - MARGIN
+    waiting: list[pa.RecordBatch] = []
+    for batch in chain(batches, (None,)):
+        found = [x for x in (*waiting, batch) if x is not None and x.num_rows]
+        if not found:
+            continue
+        rows = pa.Table.from_batches(found).combine_chunks()
+        plain = {k: rows.column(k).to_numpy() for k in ("bucket", "low", "high", "part", "node", "n", "c")}
+        new = np.ones(rows.num_rows + 1, bool)
+        new[1:-1] = np.any([plain[k][1:] != plain[k][:-1] for k in ("bucket", "low", "high")], axis=0)
+        heads = np.flatnonzero(new)
+        ready = rows.num_rows if batch is None else int(heads[-2])
+        waiting = rows.slice(ready).to_batches()
+        if not ready:
+            continue
+        rows = rows.slice(0, ready).combine_chunks()
+        ends = np.repeat(heads[1:], np.diff(heads))
+        sketch = _rows_of(rows.column("sketch").combine_chunks(), np.ones(ready, bool))
+        bands = rows.column("bands").combine_chunks()
+        one_set = bands.is_valid().to_numpy(zero_copy_only=False)
+        keys = _rows_of(bands, one_set)
+        bucket, node, n, c, part, low, high = (plain[k] for k in ("bucket", "node", "n", "c", "part", "low", "high"))
+        live, step = np.arange(ready), 0
+        while len(live):
+            step += 1
+            live = live[ends[live] > live + step]
+            i, j = live, live + step
+            i = i[(c[i] != c[j]) & ((low[i] == high[i]) | (part[i] != part[j])) & (n[i] * 100 >= n[j] * percent) & (n[j] * 100 >= n[i] * percent)]
+            for first in range(0, len(i), 1024):
+                x = i[first : first + 1024]
+                x = x[likely(sketch[x], sketch[x + step], least)]
+                if not len(x):
+                    continue
+                y = x + step
+                # Of the buckets that a pair shares one builds it; those of a doc_id with several sets all do.
+                earliest = np.where(keys[x] == keys[y], keys[x], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
+                once = ~(one_set[x] & one_set[y]) | (earliest >= bucket[x])
+                x, y = x[once], y[once]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["a", "b"])
+
+
+def in_parts(members: DataFrame, size: int = PART) -> DataFrame:
+    """The rows, those of a bucket of more than `size` rows cut into parts of about as many by a hash. Every two parts
+    of a bucket, and every part alone, are a group of their own: (bucket, low, high) with low <= high; `part` is the row's own."""
+    large = members.groupBy("bucket").agg(F.count("*").alias("rows")).where(F.col("rows") > size)
+    cut = members.join(large.select("bucket", F.ceil(F.col("rows") / size).alias("parts")), "bucket", "left")
+    cut = cut.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node", "sketch"), "parts"))
+    met = cut.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return met.withColumn("low", F.least("part", "with")).withColumn("high", F.greatest("part", "with")).drop("with", "parts")
+
+
+def near_pairs(members: DataFrame, percent: int = 75, size: int = PART) -> DataFrame:
+    """Pairs (a < b) of nodes of one bucket in different components `c`, of sizes `n` and fine sketches that come near the
+    threshold; `bands` are all buckets of a node, or null where it has several sets. No task holds a whole large bucket."""
+    dealt = in_parts(members, size).repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return dealt.mapInArrow(lambda batches: _near(batches, percent), "a long, b long")
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -167,9 +244,6 @@ def near_duplicates(
     named = members.select(F.col("node").alias("doc_id")).distinct()
     texts = kept(documents.select("doc_id", "text").join(named, "doc_id", "left_semi"), "texts")
 
-    def alike(n: str, m: str) -> Column:
-        return F.col(n) * 100 >= F.col(m) * percent
-
     def confirmed(pairs: DataFrame) -> DataFrame:
         linked = overlaps(pairs, texts, width).where(F.col("common") * 100 >= F.col("every") * percent)
         return linked.select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -188,19 +262,13 @@ def near_duplicates(
             pairs = pairs.where("c <> coalesce(lead_c, lead)").select(F.col("lead").alias("a"), F.col("node").alias("b"))
         else:
             mixed = here.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-            open_ = here.join(mixed, "bucket").select("bucket", "node", "n", "c", "lead").where("node <> lead")
+            open_ = here.join(mixed, "bucket").where("node <> lead").select("bucket", "node", "n", "c")
             named = open_.select(F.col("node").alias("doc_id")).distinct()
             fine = texts.join(named, "doc_id", "left_semi").mapInArrow(lambda b: _finely(b, width), "node long, sketch array<long>").distinct()
             # A doc_id with several sets has all their sketches, and no one list of bands.
             every = leads.groupBy("node").agg(F.when(F.count("*") == 1, F.first("bands")).alias("bands"))
             open_ = kept(open_.join(fine.join(every, "node"), "node"), "open")
-            other = open_.select("bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("sketch").alias("t"), F.col("bands").alias("e"))
-            apart = (F.col("a") < F.col("node")) & (F.col("c") != F.col("d")) & alike("n", "m") & alike("m", "n")
-            near = likely(F.col("sketch"), F.col("t"), percent / 100 - MARGIN)
-            # Of the buckets that a pair shares one builds it; those of a doc_id with several sets all do.
-            once = F.coalesce(F.array_min(F.array_intersect("bands", "e")), F.col("bucket")) == F.col("bucket")
-            pairs = open_.join(other, "bucket").where(apart & near & once)
-            pairs = pairs.select("a", F.col("node").alias("b"))
+            pairs = near_pairs(open_, percent)
         pairs = kept(pairs.distinct(), "pairs")
         if pairs.isEmpty():
             continue

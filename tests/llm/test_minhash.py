@@ -1,8 +1,11 @@
 """Near-duplicates against all pairs of full shingle sets."""
 
 import random
+import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm.conftest import sentence, spaced_words
@@ -82,6 +85,88 @@ def test_a_doc_id_with_several_texts_loses_no_link(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
 
 
+NEAR = "bucket long, node long, n long, c long, sketch array<long>, bands array<long>"
+
+
+def crowd(nodes, buckets, changed):
+    """Rows of NEAR: sketches of one base with some bits of their own, each node in some of the buckets."""
+    rng = np.random.default_rng(17)
+    words = 2 * minhash.FINE // 32
+    base = rng.integers(0, 2, words * 64, dtype=np.uint8)
+    rows = []
+    for node in range(nodes):
+        bits = base.copy()
+        bits[rng.integers(0, len(bits), int(rng.integers(0, changed)))] ^= 1
+        sketch = np.packbits(bits, bitorder="little").view(np.int64).tolist()
+        own = sorted(rng.choice(buckets, int(rng.integers(1, buckets + 1)), replace=False).tolist())
+        bands = None if node % 11 == 0 else [b if b in own else 1000 * (node + 1) + b for b in range(buckets)]
+        for bucket in own:
+            rows.append((bucket, node, 100 + node % 40, node - node % 3, sketch, bands))
+    return rows
+
+
+def near_by_bits(rows, percent=75):
+    """All pairs of rows, bit by bit."""
+    least = int((percent / 100 - minhash.MARGIN + (1 - percent / 100 + minhash.MARGIN) / 4) * 2 * minhash.FINE)
+    half = len(rows[0][4]) // 2
+    found = Counter()
+    for k, (bucket, one, n, c, s, e) in enumerate(rows):
+        for other_bucket, other, m, d, t, f in rows[:k]:
+            if bucket == other_bucket and c != d and 100 * n >= percent * m and 100 * m >= percent * n:
+                apart = [(s[i] ^ t[i]) | (s[i + half] ^ t[i + half]) for i in range(half)]
+                same = sum(64 - (x & (2**64 - 1)).bit_count() for x in apart)
+                if same >= least and (not e or not f or min(set(e) & set(f)) == bucket):
+                    found[min(one, other), max(one, other)] += 1
+    return found
+
+
+@pytest.mark.parametrize("size", [5, 60, 1000])
+def test_near_pairs_in_parts_are_all_pairs(spark, size):
+    rows = crowd(90, 4, 700)
+    want = near_by_bits(rows)
+    assert 200 < len(want) < 3500
+    got = minhash.near_pairs(spark.createDataFrame(rows, NEAR).repartition(3), 75, size).collect()
+    assert Counter((r.a, r.b) for r in got) == want
+
+
+def test_near_pairs_of_groups_over_several_batches():
+    rows = sorted(crowd(60, 3, 700))
+    whole = pa.table({k: pa.array([r[i] for r in rows]) for i, k in enumerate(("bucket", "node", "n", "c", "sketch", "bands"))})
+    for k in ("low", "high", "part"):
+        whole = whole.append_column(k, pa.array(np.zeros(len(rows), np.int64)))
+    want = near_by_bits(rows)
+    for batch in (1, 7, 1000):
+        found = Counter()
+        for r in minhash._near(iter(whole.to_batches(batch)), 75):
+            found.update(zip(r.column("a").to_pylist(), r.column("b").to_pylist(), strict=True))
+        assert found == want
+    assert list(minhash._near(iter([]), 75)) == []
+
+
+def test_no_group_holds_a_large_bucket_and_every_two_rows_meet_once(spark):
+    rows = [(b, i, 100, i, [i], None) for b, n in ((1, 400), (2, 30), (3, 1)) for i in range(n)]
+    got = minhash.in_parts(spark.createDataFrame(rows, NEAR), 50).collect()
+    groups = {}
+    for r in got:
+        assert r.part in (r.low, r.high) and r.low <= r.high
+        groups.setdefault((r.bucket, r.low, r.high), []).append(r)
+    assert max(map(len, groups.values())) <= 4 * 50
+    met = Counter()
+    for (bucket, low, high), g in groups.items():
+        met.update((bucket, min(x.node, y.node), max(x.node, y.node)) for k, x in enumerate(g) for y in g[:k] if low == high or x.part != y.part)
+    assert met == Counter({(b, i, j): 1 for b, n in ((1, 400), (2, 30), (3, 1)) for j in range(n) for i in range(j)})
+
+
+def test_a_bucket_of_distant_near_copies_takes_seconds(spark):
+    # Two million pairs, not near: as a join of the bucket with itself they took 82 seconds.
+    rng = np.random.default_rng(3)
+    rows = [(1, i, 100, i, rng.integers(-(2**63), 2**63, 2 * minhash.FINE // 32).tolist(), [1]) for i in range(2000)]
+    members = spark.createDataFrame(rows, NEAR).localCheckpoint()
+    began = time.monotonic()
+    assert minhash.near_pairs(members).count() == 0
+    assert time.monotonic() - began < 30
+
+
 def test_a_band_takes_different_functions():
     functions = minhash.BANDS * minhash.ROWS // 2
     plain = minhash.band_keys(np.zeros((1, 2 * functions), np.uint32), minhash.BANDS, minhash.ROWS)
